@@ -7,6 +7,9 @@ from importlib import import_module
 #: query name -> module of this subpackage that defines it
 WHERE = {
     "op2_token_orc": "token_orc",
+    "op3_secrets": "secrets",
+    "op6_pii": "pii",
+    "op7_mixing": "mixing",
     "op8_simhash": "simhash",
     "op9_packing": "packing",
 }
