@@ -12,6 +12,7 @@ WHERE = {
     "op7_mixing": "mixing",
     "op8_simhash": "simhash",
     "op9_packing": "packing",
+    "op10_toxicity": "toxicity",
 }
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in WHERE.items()}
 ORACLE_SQL: dict[str, str] = {}
