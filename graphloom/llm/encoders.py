@@ -38,7 +38,7 @@ class Encoder:
         missing: set = set()
         for pieces in cut:
             missing.update(pieces)
-        missing -= self.cache.keys()
+        missing = {p for p in missing if p not in self.cache}
         if len(self.cache) + len(missing) > CACHE_PIECES:
             self.cache.clear()
             for pieces in cut:

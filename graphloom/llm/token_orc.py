@@ -68,20 +68,20 @@ def write_token_orc(
     )
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """part, base: ids of all parts before it. A sum a file, then a running sum over those."""
+    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return sums.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+
+
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids. Stripes are read in parallel.
 
-    Only n_tokens and part are read to place the files one after another: a sum a file, then a running sum of those.
+    Only n_tokens and part are read to place the files one after another.
     """
     rows = spark.read.schema(SCHEMA).orc(path)
-    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = sums.select(
-        "part",
-        F.coalesce(
-            F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("base"),
-    )
-    return rows.join(before, "part").select(
+    return rows.join(_starts(rows), "part").select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids"
     )
 
@@ -96,15 +96,22 @@ def _crc(batches):
         lists = b.column("ids")
         values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
         crc = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+        kept = [b.column(c) for c in ("doc_id", "part", "local_start", "n_tokens")]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())],
-            names=["doc_id", "start", "n_tokens", "ids_crc32"],
+            [*kept, pa.array(crc, pa.int64())], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"]
         )
 
 
-def digest(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers."""
-    return rows.mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digest(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers, from the files.
+
+    Ids turn into their crc32 where the stripe is read, so that they are not shuffled to learn a file's start.
+    """
+    rows = spark.read.schema(SCHEMA).orc(path)
+    small = rows.mapInArrow(_crc, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    return small.join(_starts(rows), "part").select(
+        "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
+    )
 
 
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,4 +120,4 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark) + "-tokens.orc"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_token_orc(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
-    return digest(read_token_orc(spark, path))
+    return digest(spark, path)
