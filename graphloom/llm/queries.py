@@ -6,8 +6,10 @@ from importlib import import_module
 
 #: query name -> module of this subpackage that defines it
 WHERE = {
+    "op1_pivots": "pivots",
     "op2_token_orc": "token_orc",
     "op3_secrets": "secrets",
+    "op4_topk": "bitslice",
     "op6_pii": "pii",
     "op7_mixing": "mixing",
     "op8_simhash": "simhash",
@@ -15,4 +17,6 @@ WHERE = {
     "op10_toxicity": "toxicity",
 }
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in WHERE.items()}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_topk": import_module(f"{__package__}.bitslice").ORACLE,
+}
