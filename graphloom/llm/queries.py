@@ -10,6 +10,7 @@ WHERE = {
     "op2_token_orc": "token_orc",
     "op3_secrets": "secrets",
     "op4_topk": "bitslice",
+    "op5_lm": "lm",
     "op6_pii": "pii",
     "op7_mixing": "mixing",
     "op8_simhash": "simhash",
