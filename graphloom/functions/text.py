@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Leading scaffolding of passive spans.
 AGENTIVE = (
@@ -30,7 +31,7 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKD", t))
 
@@ -147,13 +148,13 @@ def lexically_contains(a: Column, b: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[.!?]\\s+"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[.!?]\\s+"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
 def triple_line(line: Column) -> Column:
     """struct<s, r, o> of "s | r | o" or "s | o"; null where the line holds none."""
-    p = F.transform(F.split(F.trim(line), "\\|", 3), F.trim)
+    p = F.transform(F.split(F.trim(line), "\\|", 3), lambda x: F.trim(x))
     three = F.struct(p[0].alias("s"), F.when(p[1] == "", "related_to").otherwise(p[1]).alias("r"), F.get(p, F.lit(2)).alias("o"))
     two = F.struct(p[0].alias("s"), F.lit("related_to").alias("r"), F.get(p, F.lit(1)).alias("o"))
     found = F.when(F.size(p) == 3, three).when(F.size(p) == 2, two)
