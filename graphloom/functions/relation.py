@@ -57,11 +57,11 @@ def _any(conditions) -> Column:
 
 def cue(fact: Column) -> Column:
     t = F.lower(F.trim(F.coalesce(fact, F.lit(""))))
-    return F.coalesce(*[F.when(t.rlike(p), F.lit(name)) for name, p, _ in CUES], F.lit(GENERAL_CUE))
+    return T.let(t, lambda x: F.coalesce(*[F.when(x.rlike(p), F.lit(name)) for name, p, _ in CUES], F.lit(GENERAL_CUE)))
 
 
 def cue_relation(cue_name: Column) -> Column:
-    return F.coalesce(*[F.when(cue_name == name, F.lit(r)) for name, _, r in CUES], F.lit(WEAK))
+    return T.let(cue_name, lambda c: F.coalesce(*[F.when(c == name, F.lit(r)) for name, _, r in CUES], F.lit(WEAK)))
 
 
 def strip_article(text: Column) -> Column:
@@ -70,21 +70,22 @@ def strip_article(text: Column) -> Column:
 
 def parse_fact(fact: Column) -> Column:
     """struct<s, r, o> of a fact sentence that ends in a full stop, or null."""
-    t = F.trim(F.coalesce(fact, F.lit("")))
-    out = []
-    diuretic = "(?is)^(.+?)\\s+is\\s+a\\s+diuretic\\s*\\.\\s*$"
-    shape = lambda s, r, o: F.struct(F.trim(s).alias("s"), r.alias("r"), o.alias("o"))
-    out.append(F.when(t.rlike(diuretic), shape(F.regexp_extract(t, diuretic, 1), F.lit("causes"), F.lit("diuretic"))))
-    for verb, relation in FACT_VERBS:
-        verb = verb.replace(" ", "\\s+")
-        if relation == "immune":
-            p = f"(?is)^(.+?)\\s+{verb}\\s*\\.\\s*$"
-            out.append(F.when(t.rlike(p), shape(F.regexp_extract(t, p, 1), F.lit("causes"), F.lit("the immune system"))))
-        else:
-            p = f"(?is)^(.+?)\\s+{verb}\\s+(.+?)\\s*\\.\\s*$"
-            tail = strip_article(F.regexp_extract(t, p, 2))
-            out.append(F.when(t.rlike(p), shape(F.regexp_extract(t, p, 1), F.lit(relation), tail)))
-    return F.coalesce(*out)
+    shape = lambda s, r, o: F.struct(F.trim(s).alias("s"), F.lit(r).alias("r"), o.alias("o"))
+
+    def tried(t: Column) -> Column:
+        diuretic = "(?is)^(.+?)\\s+is\\s+a\\s+diuretic\\s*\\.\\s*$"
+        out = [F.when(t.rlike(diuretic), shape(F.regexp_extract(t, diuretic, 1), "causes", F.lit("diuretic")))]
+        for verb, relation in FACT_VERBS:
+            head = f"(?is)^(.+?)\\s+{verb.replace(' ', chr(92) + 's+')}"
+            if relation == "immune":
+                p = head + "\\s*\\.\\s*$"
+                out.append(F.when(t.rlike(p), shape(F.regexp_extract(t, p, 1), "causes", F.lit("the immune system"))))
+            else:
+                p = head + "\\s+(.+?)\\s*\\.\\s*$"
+                out.append(F.when(t.rlike(p), shape(F.regexp_extract(t, p, 1), relation, strip_article(F.regexp_extract(t, p, 2)))))
+        return F.coalesce(*out)
+
+    return T.let(F.trim(F.coalesce(fact, F.lit(""))), tried)
 
 
 def _slug(relation: Column) -> Column:
@@ -92,30 +93,36 @@ def _slug(relation: Column) -> Column:
 
 
 def is_passive(relation: Column) -> Column:
-    r = _slug(relation)
-    return _any([r.contains(p) for p in PASSIVE]) | r.endswith("_cause_of") | (r == "cause_of") | r.isin("metabolizes", "metabolize") | r.startswith("metabolizes_")
+    return T.let(
+        _slug(relation),
+        lambda r: _any([r.contains(p) for p in PASSIVE]) | r.endswith("_cause_of") | (r == "cause_of") | r.isin("metabolizes", "metabolize") | r.startswith("metabolizes_"),
+    )
+
+
+def is_forward(relation: Column) -> Column:
+    return T.let(_slug(relation), lambda r: ~_any([r.contains(p) for p in BY_PASSIVE]) & _any([r.contains(p) for p in FORWARD]))
 
 
 def preprocess(s: Column, r: Column, o: Column) -> Column:
     """struct<s, r, o>: endpoints of passive relations swapped, then scaffolding in the wrong slot swapped and stripped."""
-    s, r, o = (F.trim(F.coalesce(x, F.lit(""))) for x in (s, r, o))
-    s, o = F.when(is_passive(r), o).otherwise(s), F.when(is_passive(r), s).otherwise(o)
-    x = _slug(r)
-    forward = ~_any([x.contains(p) for p in BY_PASSIVE]) & _any([x.contains(p) for p in FORWARD])
-    wrong = forward & T.had_agentive(o) & ~T.had_agentive(s)
-    first, second = F.when(wrong, o).otherwise(s), F.when(wrong, s).otherwise(o)
-    return F.struct(T.strip_agentive(first).alias("s"), r.alias("r"), T.strip_agentive(second).alias("o"))
+    plain = F.struct(*[F.trim(F.coalesce(x, F.lit(""))).alias(n) for n, x in (("s", s), ("r", r), ("o", o))])
+    turned = lambda x, test, end: F.struct(
+        end(F.when(test, x["o"]).otherwise(x["s"])).alias("s"), x["r"].alias("r"), end(F.when(test, x["s"]).otherwise(x["o"])).alias("o")
+    )
+    wrong = lambda x: is_forward(x["r"]) & T.had_agentive(x["o"]) & ~T.had_agentive(x["s"])
+    tested = lambda x, test: F.struct(x.alias("x"), test(x).alias("t"))
+    swapped = T.let(plain, lambda x: T.let(tested(x, lambda v: is_passive(v["r"])), lambda y: turned(y["x"], y["t"], lambda e: e)))
+    return T.let(swapped, lambda x: T.let(tested(x, wrong), lambda y: turned(y["x"], y["t"], T.strip_agentive)))
 
 
 def upgrade_prevents(canonical: Column, raw: Column, preprocessed: Column) -> Column:
     said = F.lower(F.concat_ws(" ", F.coalesce(raw, F.lit("")), F.coalesce(preprocessed, F.lit(""))))
-    treat = said.rlike("\\btreat(?:ed|s|ing|ment)?\\b") | F.replace(said, F.lit(" "), F.lit("_")).rlike("treated_with|is_treated")
-    return F.when((F.lower(F.trim(canonical)) == "prevents") & treat, "treats").otherwise(canonical)
+    treat = lambda t: t.rlike("\\btreat(?:ed|s|ing|ment)?\\b") | F.replace(t, F.lit(" "), F.lit("_")).rlike("treated_with|is_treated")
+    return T.let(canonical, lambda c: F.when((F.lower(F.trim(c)) == "prevents") & T.let(said, treat), "treats").otherwise(c))
 
 
 def fact_gold(relation: Column) -> Column:
-    r = F.lower(F.trim(relation))
-    return F.when(r.isin(*SEMANTIC), r)
+    return T.let(F.lower(F.trim(relation)), lambda r: F.when(r.isin(*SEMANTIC), r))
 
 
 def head_label(label: Column) -> Column:

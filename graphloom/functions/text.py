@@ -26,6 +26,11 @@ ASCII = "^[\\x00-\\x7F]*$"
 AGENTIVE_PREFIX = "(?i)^(?:\\s*(?:" + "|".join(x.replace(" ", "\\s+") for x in AGENTIVE) + ")\\s+){1,4}"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it and wherever the optimiser moves it."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(text, "\\s+", " "))
@@ -37,8 +42,8 @@ def nfkd(texts: pd.Series) -> pd.Series:
 
 
 def rewrite_domain(surface: Column) -> Column:
-    hit = surface.contains("bleeding") & (surface.contains("stomach") | surface.contains("gastric"))
-    return F.when(hit, "gastric bleeding").otherwise(surface)
+    hit = lambda x: x.contains("bleeding") & (x.contains("stomach") | x.contains("gastric"))
+    return let(surface, lambda x: F.when(hit(x), "gastric bleeding").otherwise(x))
 
 
 def normalize_surface(text: Column, decomposed: bool = False) -> Column:
@@ -60,7 +65,7 @@ def strip_agentive(text: Column) -> Column:
 
 
 def had_agentive(text: Column) -> Column:
-    return strip_agentive(text) != F.trim(F.coalesce(text, F.lit("")))
+    return let(F.trim(F.coalesce(text, F.lit(""))), lambda x: strip_agentive(x) != x)
 
 
 def canonical_entity(text: Column) -> Column:
@@ -99,15 +104,18 @@ def stopword_ratio(tokens: Column, stops: tuple[str, ...] = ()) -> Column:
 
 def drop_reason(text: Column, stops: tuple[str, ...] = ()) -> Column:
     """Why an entity is no entity, or ok. Without stop words (the default) their rules never fire."""
-    t = validity_surface(text)
-    tokens = content_tokens(t)
-    ratio = stopword_ratio(tokens, stops)
-    return (
-        F.when(t == "", "empty").when(F.length(t) < 3, "too_short").when(F.size(tokens) == 0, "no_content_tokens")
-        .when(tokens[0].rlike("^[0-9]+$"), "leading_numeric_token").when(numeric_ratio(t) >= 0.45, "numeric_heavy")
-        .when((F.size(tokens) == 1) & (ratio >= 1.0), "single_stopword_token")
-        .when((ratio >= 0.72) & (F.size(tokens) <= 4), "stopword_heavy").otherwise("ok")
-    )
+
+    def rules(v: Column) -> Column:
+        t, tokens = v["t"], v["w"]
+        ratio = stopword_ratio(tokens, stops)
+        return (
+            F.when(t == "", "empty").when(F.length(t) < 3, "too_short").when(F.size(tokens) == 0, "no_content_tokens")
+            .when(tokens[0].rlike("^[0-9]+$"), "leading_numeric_token").when(numeric_ratio(t) >= 0.45, "numeric_heavy")
+            .when((F.size(tokens) == 1) & (ratio >= 1.0), "single_stopword_token")
+            .when((ratio >= 0.72) & (F.size(tokens) <= 4), "stopword_heavy").otherwise("ok")
+        )
+
+    return let(validity_surface(text), lambda t: let(F.struct(t.alias("t"), content_tokens(t).alias("w")), rules))
 
 
 def generic_object(text: Column) -> Column:

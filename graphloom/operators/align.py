@@ -14,37 +14,57 @@ from ..functions import text as T
 WEAK_FACTOR = 0.5
 
 
-def _same(a: Column, b: Column) -> Column:
-    x, y = T.canonical_entity(a), T.canonical_entity(b)
-    return (x != "") & (x == y)
+def _ends(s: Column, o: Column, fs: Column, fo: Column) -> Column:
+    """Both ends and the fact's, each with its canonical form."""
+    named = {"s": s, "o": o, "fs": fs, "fo": fo}
+    return F.struct(*[v.alias(k) for k, v in named.items()], *[T.canonical_entity(v).alias(f"c{k}") for k, v in named.items()])
 
 
-def _int(c: Column) -> Column:
-    return c.cast("int")
+def _same(e: Column, a: str, b: str) -> Column:
+    return (e[f"c{a}"] != "") & (e[f"c{a}"] == e[f"c{b}"])
 
 
-def flipped(s: Column, o: Column, fs: Column, fo: Column) -> Column:
-    """Whether a triple's ends are the other way round than the fact's: by surface, then by containment, then by score."""
-    both = (F.trim(fs) != "") & (F.trim(fo) != "")
-    eq = [_same(s, fs), _same(o, fo), _same(s, fo), _same(o, fs)]
-    al = [T.surfaces_align(x, y) for x, y in ((s, fs), (o, fo), (s, fo), (o, fs))]
-    first = F.when(eq[0] & eq[1], F.lit(False)).when(eq[2] & eq[3], F.lit(True)).when(both & al[0] & al[1], F.lit(False)).when(both & al[2] & al[3], F.lit(True)).otherwise(F.lit(False))
-    return F.coalesce(first, F.lit(False))
+def _aligned(e: Column, a: str, b: str) -> Column:
+    return T.surfaces_align(F.trim(e[a]), F.trim(e[b]))
 
 
-def _seed_flip(s: Column, o: Column, fs: Column, fo: Column) -> Column:
-    both = (F.trim(fs) != "") & (F.trim(fo) != "")
-    hit = lambda a, b: _int(_same(a, b))
-    direct, turned = hit(s, fs) + hit(o, fo), hit(s, fo) + hit(o, fs)
-    near = lambda a, b: _int(_same(a, b) | T.surfaces_align(a, b))
-    lexical = near(s, fo) + near(o, fs) > near(s, fs) + near(o, fo)
-    return F.coalesce(both & F.when(turned > direct, F.lit(True)).when(direct > turned, F.lit(False)).otherwise(lexical), F.lit(False))
+def _known(e: Column) -> Column:
+    return (F.trim(e["fs"]) != "") & (F.trim(e["fo"]) != "")
+
+
+def flipped(e: Column) -> Column:
+    """Whether a triple's ends are the other way round than the fact's: by canonical form, then by containment."""
+    return (
+        F.when(_same(e, "s", "fs") & _same(e, "o", "fo"), False).when(_same(e, "s", "fo") & _same(e, "o", "fs"), True)
+        .when(_known(e) & _aligned(e, "s", "fs") & _aligned(e, "o", "fo"), False)
+        .when(_known(e) & _aligned(e, "s", "fo") & _aligned(e, "o", "fs"), True).otherwise(False)
+    )
+
+
+def seed_flipped(e: Column) -> Column:
+    """Whether more ends fit the fact's when turned: by canonical form, then with containment; ties keep."""
+    n = lambda test, *pairs: sum((test(e, a, b).cast("int") for a, b in pairs), F.lit(0))
+    near = lambda e, a, b: _same(e, a, b) | _aligned(e, a, b)
+    straight, turned = (("s", "fs"), ("o", "fo")), (("s", "fo"), ("o", "fs"))
+    exact = n(_same, *turned) - n(_same, *straight)
+    return _known(e) & F.when(exact > 0, True).when(exact < 0, False).otherwise(n(near, *turned) > n(near, *straight))
+
+
+def _turn(e: Column, test) -> Column:
+    """The ends after a test: swapped where it says so."""
+    return T.let(
+        F.struct(e.alias("e"), F.coalesce(test(e), F.lit(False)).alias("t")),
+        lambda x: F.struct(
+            *[F.when(x["t"], x["e"][b]).otherwise(x["e"][a]).alias(a) for a, b in (("s", "o"), ("o", "s"), ("cs", "co"), ("co", "cs"))],
+            *[x["e"][c].alias(c) for c in ("fs", "fo", "cfs", "cfo")],
+        ),
+    )
 
 
 def normalize_relation(relation: Column, gold: Column, mapped: Column) -> Column:
     """The fact's own relation if it has a recognised one; else a literal canonical one, else the learned map's, else unknown."""
     slug = F.regexp_replace(F.lower(F.trim(F.coalesce(relation, F.lit("")))), "[ -]", "_")
-    literal = F.when(slug.isin(*[r for r in R.CANONICAL if r != "unknown"]), slug)
+    literal = T.let(slug, lambda x: F.when(x.isin(*[r for r in R.CANONICAL if r != "unknown"]), x))
     return F.coalesce(R.fact_gold(gold), literal, mapped, F.lit("unknown"))
 
 
@@ -57,9 +77,8 @@ def align(raw: DataFrame, label_map: DataFrame | None = None, mapper: DataFrame
     mapper.
     """
     p = R.preprocess(F.col("s"), F.col("r"), F.col("o"))
-    parsed = R.parse_fact(F.col("fact"))
     d = raw.withColumn("_bad", F.col("s").isNull() | F.col("r").isNull() | F.col("o").isNull())
-    d = d.withColumn("_p", p).withColumn("_f", parsed)
+    d = d.withColumn("_p", p).withColumn("_f", R.parse_fact(F.col("fact")))
     d = d.select(
         "set_id", "note", "seq", "fact", "_bad", F.col("r").alias("_raw"), F.col("_p.r").alias("_r"),
         T.validity_surface(F.col("_p.s")).alias("_s"), T.validity_surface(F.col("_p.o")).alias("_o"),
@@ -72,25 +91,38 @@ def align(raw: DataFrame, label_map: DataFrame | None = None, mapper: DataFrame
     else:
         d = d.withColumn("_mapped", F.lit(None).cast("string"))
     r = R.upgrade_prevents(normalize_relation(F.col("_r"), F.col("_gold"), F.col("_mapped")), F.col("_raw"), F.col("_r"))
-    d = d.withColumn("_c", r)
-    weak = F.col("_c").isin("unknown", R.WEAK)
-    d = d.withColumn("r", F.when(weak, R.WEAK).otherwise(F.col("_c"))).withColumn("confidence", F.when(weak, F.lit(WEAK_FACTOR)).otherwise(F.lit(1.0)))
-    for turn in (flipped, _seed_flip):
-        f = turn(F.col("_s"), F.col("_o"), F.col("_fs"), F.col("_fo"))
-        d = d.withColumn("_t", f).withColumn("_a", F.when(F.col("_t"), F.col("_o")).otherwise(F.col("_s")))
-        d = d.withColumn("_o", F.when(F.col("_t"), F.col("_s")).otherwise(F.col("_o"))).withColumn("_s", F.col("_a")).drop("_a", "_t")
+    weak = lambda c: c.isin("unknown", R.WEAK)
+    told = T.let(r, lambda c: F.struct(F.when(weak(c), R.WEAK).otherwise(c).alias("r"), F.when(weak(c), F.lit(WEAK_FACTOR)).otherwise(F.lit(1.0)).alias("confidence")))
+    d = d.withColumn("_told", told).withColumn("r", F.col("_told.r")).withColumn("confidence", F.col("_told.confidence"))
+    ends = T.let(_ends(F.col("_s"), F.col("_o"), F.col("_fs"), F.col("_fo")), lambda e: T.let(_turn(e, flipped), lambda x: _turn(x, seed_flipped)))
+    d = d.withColumn("_e", ends)
     if mapper is not None and not light:
         named = mapper.groupBy("key").agg(F.max("cui").alias("cui"))
+        d = d.withColumn("_s", F.col("_e.s")).withColumn("_o", F.col("_e.o"))
         for end in ("_s", "_o"):
             m = named.select(F.col("key").alias("_k"), F.col("cui").alias("_cui"))
             d = d.join(m, T.mapper_key(T.strip_agentive(F.col(end))) == F.col("_k"), "left").withColumn(end, F.coalesce("_cui", end)).drop("_k", "_cui")
-    s, o = T.validity_surface(T.canonical_entity(F.col("_s"))), T.validity_surface(T.canonical_entity(F.col("_o")))
-    d = d.withColumn("s", s).withColumn("o", o)
-    drop = lambda c: (T.drop_reason(F.col(c)) != "ok") & (~T.is_ontology_id(F.col(c)) if id_exempt else F.lit(True))
-    bad = T.low_value_node(F.col("s")) | T.low_value_node(F.col("o")) | drop("s") | drop("o")
-    reason = F.when(F.col("_bad"), "bad_shape").when(T.generic_object(F.col("o")), "generic_object").when(bad, "low_value").when(F.col("s") == F.col("o"), "same_node").otherwise("ok")
+        d = d.withColumn("_e", F.struct(F.col("_s").alias("s"), F.col("_o").alias("o")))
+
+    def judged(e: Column) -> Column:
+        drop = lambda x: (T.drop_reason(x) != "ok") & (~T.is_ontology_id(x) if id_exempt else F.lit(True))
+        bad = T.low_value_node(e["s"]) | T.low_value_node(e["o"]) | drop(e["s"]) | drop(e["o"])
+        reason = F.when(T.generic_object(e["o"]), "generic_object").when(bad, "low_value").when(e["s"] == e["o"], "same_node").otherwise("ok")
+        return F.struct(e["s"].alias("s"), e["o"].alias("o"), reason.alias("reason"))
+
+    final = T.let(
+        F.col("_e"),
+        lambda e: T.let(
+            F.struct(T.validity_surface(T.canonical_entity(e["s"])).alias("s"), T.validity_surface(T.canonical_entity(e["o"])).alias("o")), judged
+        ),
+    )
+    d = d.withColumn("_j", final)
+    reason = F.when(F.col("_bad"), "bad_shape").otherwise(F.col("_j.reason"))
     source = F.concat(F.lit("set"), F.col("set_id").cast("string"), F.lit(":p"), F.col("note").cast("string"))
-    return d.select("set_id", "note", "seq", source.alias("source"), "s", "r", "o", F.col("o").alias("k"), F.lit("positive").alias("polarity"), "confidence", reason.alias("reason"))
+    return d.select(
+        "set_id", "note", "seq", source.alias("source"), F.col("_j.s").alias("s"), "r", F.col("_j.o").alias("o"), F.col("_j.o").alias("k"),
+        F.lit("positive").alias("polarity"), "confidence", reason.alias("reason"),
+    )
 
 
 def distinct_in_note(aligned: DataFrame) -> DataFrame:
