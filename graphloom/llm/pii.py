@@ -148,13 +148,13 @@ def anonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     surrogate in the whole corpus. Null and clean texts, all other columns, row counts and repeats stay as they are; an
     empty table stays empty.
     """
-    clash = {"n_entities", "_hash", "_parts"} & set(docs.columns)
+    clash = {"n_entities", "__pii_hash", "__pii_parts"} & set(docs.columns)
     base = docs.drop(*clash)
     hit = text_or_empty().rlike(ANY)
     clean = base.where(~hit).withColumn("n_entities", F.lit(0).cast("long"))
-    dirty = base.where(hit).withColumn("_hash", F.sha2("text", 256))
-    texts = dirty.groupBy("_hash").agg(F.first("text").alias("text"))
-    found = texts.select("_hash", F.explode(find_spans(F.col("text"), ANY)).alias("x")).select("_hash", "x.s", "x.e", F.col("x.g0").alias("value"))
+    dirty = base.where(hit).withColumn("__pii_hash", F.sha2("text", 256))
+    texts = dirty.groupBy("__pii_hash").agg(F.first("text").alias("text"))
+    found = texts.select("__pii_hash", F.explode(find_spans(F.col("text"), ANY)).alias("x")).select("__pii_hash", "x.s", "x.e", F.col("x.g0").alias("value"))
     found = found.withColumn("kind", _kind(F.col("value"))).withColumn("title", F.when(F.col("kind") == "name", _title(F.col("value"))).otherwise(""))
     found = found.withColumn("norm", _norm(F.col("kind"), F.col("value")))
     given = F.split(F.col("norm"), " ")[0]
@@ -167,18 +167,18 @@ def anonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     entities = stage(found.groupBy("kind", "norm").agg(F.max("gender").alias("gender")), "entities")
     named = found.join(replacements(entities, key), ["kind", "norm"])
     shown = named.withColumn("new", _shown(F.col("kind"), F.col("value"), F.col("title"), F.col("norm"), F.col("new")))
-    per_text = shown.groupBy("_hash").agg(F.sort_array(F.collect_list(F.struct("s", "e", "new"))).alias("_parts"))
-    mended = dirty.join(per_text, "_hash", "left")
+    per_text = shown.groupBy("__pii_hash").agg(F.sort_array(F.collect_list(F.struct("s", "e", "new"))).alias("__pii_parts"))
+    mended = dirty.join(per_text, "__pii_hash", "left")
     text = F.aggregate(
-        "_parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("t")),
+        "__pii_parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("t")),
         lambda a, x: F.struct(
             x["e"].alias("at"),
             F.concat(a["t"], F.array(F.substr(F.col("text"), (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int")), x["new"])).alias("t"),
         ),
         lambda a: F.concat(F.array_join(a["t"], ""), F.substr(F.col("text"), (a["at"] + 1).cast("int"))),
     )
-    mended = mended.withColumn("text", F.coalesce(text, "text")).withColumn("n_entities", F.coalesce(F.size("_parts"), F.lit(0)).cast("long"))
-    return reduce(DataFrame.unionByName, [clean, mended.drop("_hash", "_parts")])
+    mended = mended.withColumn("text", F.coalesce(text, "text")).withColumn("n_entities", F.coalesce(F.size("__pii_parts"), F.lit(0)).cast("long"))
+    return reduce(DataFrame.unionByName, [clean, mended.drop("__pii_hash", "__pii_parts")])
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
