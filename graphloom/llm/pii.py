@@ -33,15 +33,15 @@ ABC = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзий
 _OCTET = "(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)"
 _WORD = "\\p{Lu}[\\p{L}'’-]+"
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *ANY_TITLES))
-#: kind -> pattern, in order of preference where they start together
+#: kind -> pattern, in order of preference where they start together. Each tests its first character before all else.
 PATTERNS = {
-    "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}_%+-][\\p{L}\\p{N}._%+-]*+@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
-    "ip": f"(?<![\\p{{L}}\\p{{N}}.]){_OCTET}(?:\\.{_OCTET}){{3}}(?!\\.?[\\p{{L}}\\p{{N}}])",
-    "ssn": "(?<![\\p{N}-])\\d{3}-\\d{2}-\\d{4}(?![\\p{N}-])",
-    "phone": "(?<![\\p{L}\\p{N}+])(?:\\+\\d{1,3}[ .-]?)?(?:\\(\\d{2,4}\\) ?|\\d{3}[.-])\\d{3,4}[ .-]\\d{3,4}(?!\\p{N})|(?<![\\p{L}\\p{N}+])\\+\\d{1,3}(?:[ .-]?\\d{2,4}){3,5}(?!\\p{N})",
-    "iban": "(?<![\\p{L}\\p{N}])[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\\p{L}\\p{N}])",
-    "card": "(?<![\\p{L}\\p{N}.-])\\d(?:[ -]?\\d){12,18}(?![\\p{L}\\p{N}])",
-    "name": f"(?<![\\p{{L}}\\p{{N}}])(?:(?:{_TITLES})\\.?\\x20{_WORD}(?:\\x20{_WORD})?|(?:{'|'.join((*MALE_NAMES, *FEMALE_NAMES))})\\x20{_WORD})",
+    "email": "(?=[\\p{L}\\p{N}_%+-])(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}_%+-][\\p{L}\\p{N}._%+-]*+@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
+    "ip": f"(?=\\d)(?<![\\p{{L}}\\p{{N}}.]){_OCTET}(?:\\.{_OCTET}){{3}}(?!\\.?[\\p{{L}}\\p{{N}}])",
+    "ssn": "(?=\\d)(?<![\\p{N}-])\\d{3}-\\d{2}-\\d{4}(?![\\p{N}-])",
+    "phone": "(?=[+(\\d])(?<![\\p{L}\\p{N}+])(?:\\+\\d{1,3}[ .-]?)?(?:\\(\\d{2,4}\\) ?|\\d{3}[.-])\\d{3,4}[ .-]\\d{3,4}(?!\\p{N})|(?=\\+)(?<![\\p{L}\\p{N}+])\\+\\d{1,3}(?:[ .-]?\\d{2,4}){3,5}(?!\\p{N})",
+    "iban": "(?=[A-Z])(?<![\\p{L}\\p{N}])[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\\p{L}\\p{N}])",
+    "card": "(?=\\d)(?<![\\p{L}\\p{N}.-])\\d(?:[ -]?\\d){12,18}(?![\\p{L}\\p{N}])",
+    "name": f"(?=[\\p{{Lu}}гκ])(?<![\\p{{L}}\\p{{N}}])(?:(?:{_TITLES})\\.?\\x20{_WORD}(?:\\x20{_WORD})?|(?:{'|'.join((*MALE_NAMES, *FEMALE_NAMES))})\\x20{_WORD})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
