@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from .common import connected_components, stage
 
 THRESHOLD = 0.95
-#: Pivots follow the root of the number of distinct vectors between these bounds: lists then keep their length, and at
-#: most MOST_PIVOTS vectors, chosen by a hash, are read to fit the index.
+#: Pivots follow the root of the number of distinct vectors between these bounds: lists then keep their length. They are
+#: chosen among POOL times as many vectors (at most MOST_READ) with the smallest hashes, which are read to fit the index.
 FEWEST_PIVOTS, MOST_PIVOTS = 64, 4_096
+POOL, MOST_READ = 4, 8_192
+#: Pivots are apart: none has a cosine above the first of these with another. The next ones count only while there are
+#: fewer than FEWEST_PIVOTS.
+APART = (0.5, 0.6, 0.7, 0.8)
 NEAREST, SHARED = 7, 3
-BLOCK = 256
+BLOCK = 1024
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
@@ -42,6 +46,26 @@ def nearest_pivots(units: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :k]
 
 
+def spread(units: np.ndarray, count: int) -> np.ndarray:
+    """Up to `count` of the candidates as pivots, in their order, each apart from those before.
+
+    In a group of near copies the pivots that lie inside it are ordered by noise; a hot group would own its share of a
+    plain sample, and its links would share too few of their nearest pivots.
+    """
+    chosen: list[int] = []
+    for level in APART:
+        if chosen and len(chosen) >= FEWEST_PIVOTS:
+            break
+        nearest = (units @ units[chosen].T).max(axis=1) if chosen else np.full(len(units), -2.0)
+        for i in range(len(units)):
+            if len(chosen) == count:
+                break
+            if nearest[i] <= level:
+                chosen.append(i)
+                nearest = np.maximum(nearest, units @ units[i])
+    return units[chosen]
+
+
 def _posted(pivots: np.ndarray, near: int, shared: int):
     dims = pivots.shape[1]
     subsets = np.array(list(combinations(range(near), shared)))
@@ -77,8 +101,7 @@ def _checked(threshold: float, shared: int):
         np.fill_diagonal(hit, False)
         if bi != bj:
             hit &= block[:, None] != block[None, :]
-        i, j = np.nonzero(np.triu(hit))
-        if not len(i):
+        if not hit.any():
             return None
         root = np.arange(len(cid))
         for _ in range(len(cid)):  # the smallest member that links reach
@@ -86,17 +109,10 @@ def _checked(threshold: float, shared: int):
             if (low == root).all():
                 break
             root = low[low]
-        links = np.zeros(len(cid), np.int64)
-        for at in range(0, len(i), 65536):
-            a, b = i[at : at + 65536], j[at : at + 65536]
-            same = (near[a][:, :, None] == near[b][:, None, :]).any(axis=2)
-            first = np.argsort(~same, axis=1, kind="stable")[:, :shared]
-            own = np.zeros(len(a), np.int64)
-            for s in range(shared):
-                own = own * MOST_PIVOTS + near[a, first[:, s]]
-            a, b = a[own == key], b[own == key]  # a pair counts in the first list that both are in
-            np.add.at(links, a, n[b])
-            np.add.at(links, b, n[a])
+        last = key % MOST_PIVOTS  # a pair counts in the first list that both are in: no other shared pivot up to its last
+        few = np.unique(near[near <= last])
+        held = (near[:, :, None] == few[None, None, :]).any(axis=1).astype(np.float32)
+        links = (hit & (held @ held.T == shared)) @ n
         some = np.flatnonzero(hit.any(axis=1))
         return cid[some], cid[root[some]], links[some]
 
@@ -140,10 +156,10 @@ def near_links(classes: DataFrame, threshold: float = THRESHOLD, near: int = NEA
     """
     n, dims = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     count = min(MOST_PIVOTS, max(FEWEST_PIVOTS, 1 << int(np.ceil(np.log2(max(1, n) ** 0.5)))))
-    picked = classes.orderBy(F.xxhash64("embedding"), "cid").limit(count).select("embedding").collect() if n else []
-    if len(picked) < 2:
+    if n < 2:
         return classes.select("cid", F.col("cid").alias("root"), F.lit(0).cast("long").alias("links")).limit(0)
-    pivots = _unit([r[0] for r in picked], dims)
+    picked = classes.orderBy(F.xxhash64("embedding"), "cid").limit(min(POOL * count, MOST_READ)).select("embedding").collect()
+    pivots = spread(_unit([r[0] for r in picked], dims), count)
     near = min(near, len(pivots))
     shared = min(shared, near)
     posted = "cid long, n long, unit binary, near binary, keys array<long>"

@@ -258,6 +258,44 @@ def test_pivot_recall():
     assert np.mean([len(set(i) & set(j)) >= pivots.SHARED for i, j in zip(a, b, strict=True)]) >= 0.9
 
 
+def hot_group(n, share, cosine=0.97, dims=64):
+    """Unit vectors of which the first `share` are one group of near copies, at about `cosine` with each other."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hot = int(n * share)
+    x[:hot] = np.sqrt(cosine) * x[n - 1] + np.sqrt(1 - cosine) * x[:hot]
+    return x / np.linalg.norm(x, axis=1, keepdims=True), hot
+
+
+@pytest.mark.parametrize("cosine", [0.97, 0.94, 0.8])
+def test_pivot_recall_in_a_hot_group(cosine):
+    x, hot = hot_group(10_000, 1 / 3, cosine)
+    rng = np.random.default_rng(7)
+    p = pivots.spread(x[rng.permutation(len(x))[: pivots.POOL * 128]], 128)
+    z = rng.normal(size=(500, 64))
+    a = x[:500]
+    z -= (z * a).sum(1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    copies = 0.955 * a + np.sqrt(1 - 0.955**2) * z
+    near = pivots.nearest_pivots(np.concatenate([x[:hot], copies]), p, pivots.NEAREST)
+    inside = near[: hot : hot // 300]
+    share = lambda i, j: len(set(i) & set(j)) >= pivots.SHARED
+    assert np.mean([share(i, j) for i, j in zip(near[:500], near[hot:], strict=True)]) >= 0.9
+    if cosine >= 0.97:
+        assert np.mean([share(i, j) for k, i in enumerate(inside) for j in inside[:k]]) >= 0.9
+
+
+def test_pivots_link_a_hot_group(spark):
+    x, hot = hot_group(1_500, 1 / 3)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicates(d).collect()}
+    assert sum(got.values()) >= 0.9 * want.sum() and all(got[i] <= w for i, w in enumerate(want))
+    alone = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:100])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.n_links for r in pivots.near_duplicates(alone).collect()} == {i: int(w) for i, w in enumerate((x[:100] @ x[:100].T >= 0.95).sum(axis=1) - 1)}
+
+
 def test_top_k(vecs):
     got = defaultdict(list)
     for r in bitslice.top_k(vecs, vecs.where("vec_id % 10 = 0")).collect():
