@@ -373,6 +373,17 @@ def test_lm_counts(spark, docs, empty):
     assert lm.score(empty, F.lit(False), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_lm_network_learns_from_every_training_text(spark, docs, monkeypatch):
+    path, seen = public_tokenizers.path("byte_bpe_50k.json"), []
+    whole = lm.train
+    monkeypatch.setattr(lm, "train", lambda learn, *more: seen.append(([r.text for r in learn.collect()], whole(learn, *more))) or seen[-1][1])
+    lm.score(docs, F.col("doc_id") == 4, path)
+    texts, (tokens, _) = seen[0]
+    assert Counter(texts) == Counter(x[1] or "" for x in rows() if x[0] != 4)
+    ids = [len(i) for i in lm.subwords(path).encode([lm.words_of(t) for t in texts])]
+    assert tokens == sum(n + max(1, -(-n // lm.STREAM)) for n in ids)
+
+
 def test_queries_are_named():
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
 
