@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm import bitslice, encoders, lm, mixing, packing, pii, pivots, queries, secrets, simhash, token_orc, toxicity
+from graphloom.llm import bitslice, encoders, lm, mixing, packing, pii, pivots, queries, secrets, shingles, simhash, token_orc, toxicity
 from graphloom.llm import attention as A
 from graphloom.llm.common import connected_components, shared_dir
 from graphloom.llm.spans import find_spans
@@ -388,6 +388,50 @@ def test_queries_are_named():
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
 
 
+def near_texts():
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    out = []
+    for k in range(30):
+        base = rng.choice(words, 60 + 7 * k).tolist()
+        for edits in (0, 0, 1, 1, 2, 3):
+            t = list(base)
+            for at in rng.integers(0, len(t), edits):
+                t[at] = "new" + str(rng.integers(1000))
+            out.append(" ".join(t))
+    line = " ".join(rng.choice(words, 12))
+    return out + [line + " " + " ".join(rng.choice(words, 20)) for _ in range(40)] + ["", "two words", "Two  words"]
+
+
+def near_groups(texts):
+    sets = [set(shingles.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and ((not a and not b) or (a | b and len(a & b) / len(a | b) >= 0.8)):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    texts = near_texts()
+    got = {r["hash"]: r["root"] for r in shingles.near_copies(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    mine = [got[hashlib.md5(t.encode()).hexdigest()] for t in texts]
+    want = near_groups(texts)
+    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want)) < len(texts) - 30
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline as C
+
+    texts = near_texts()
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in C.drop_near_copies(spark, d, "").collect()) == sorted(set(near_groups(texts)))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
