@@ -432,6 +432,15 @@ def test_pipeline_drops_near_copies(spark):
     assert sorted(r.doc_id for r in C.drop_near_copies(spark, d, "").collect()) == sorted(set(near_groups(texts)))
 
 
+def test_pipeline_tells_rows_with_one_id_apart(spark):
+    import corpus_pipeline as C
+
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey"
+    d = spark.createDataFrame([(1, a), (1, b), (2, b), (None, c), (None, c), (None, a), (3, a)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in C.drop_near_copies(spark, d, "").collect())
+    assert got == Counter([(1, a), (1, b), (None, c)])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
