@@ -11,13 +11,13 @@ WEIGHTS, SHARE, CEILING = (3, 1, 2), 1.5, 2.0
 SEED, SHARDS, BLOCKS = 20240, 8, 128
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words between ASCII white space; null text: 0), _u (a keyed permutation), _row."""
+def sizes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size (words between ASCII white space; null text: 0), and the columns to carry."""
     text = F.trim(F.regexp_replace(text_or_empty(), "[\\x20\\x09-\\x0D]+", " "))
     size = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        size.cast("long").alias("size"),
+        size.cast("long").alias("size"), *carry,
     )
 
 
@@ -138,9 +138,11 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     )
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, copies, shards (one a copy), position of every document of the mix.
 
+    Columns named in `carry`, which tell rows apart, come along at the end.
+
     A keyed hash permutes each source's documents and deals them to blocks of consecutive hash values. The source's
     quota of blocks, counting epochs, is exact: whole epochs, then whole blocks while they fit the target; the block in
     which the target falls is resolved by document, and the document that fits the rest best closes it. The splitting
@@ -151,15 +153,15 @@ def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int =
     separate documents; other columns are ignored; an empty table gives no row. Sizes by (source, block) are all that
     is summed across workers; running sums go over those sums, then over the rows of one block a source.
     """
-    rows = stage(sizes(docs), "sizes")
+    rows = stage(sizes(docs, carry), "sizes")
     salt = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     rows = rows.withColumn("_u", salt)
     count = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     goal = targets(stage(count, "sources")).withColumnRenamed("source", "_source")
-    return _placed(rows, count, goal, shards, blocks, seed)
+    return _placed(rows, count, goal, shards, blocks, seed, carry)
 
 
-def _placed(rows: DataFrame, count: DataFrame, goal: DataFrame, shards: int, blocks: int, seed: int) -> DataFrame:
+def _placed(rows: DataFrame, count: DataFrame, goal: DataFrame, shards: int, blocks: int, seed: int, carry: tuple[str, ...]) -> DataFrame:
     n = F.greatest(F.lit(blocks), F.ceil(F.col("_n") / 4096)).cast("long")
     known = stage(
         count.join(goal.select("_source", "target"), F.col("source").eqNullSafe(F.col("_source")), "left")
@@ -190,7 +192,7 @@ def _placed(rows: DataFrame, count: DataFrame, goal: DataFrame, shards: int, blo
 
     # the one block of each source in which its target falls, by document
     edge = rows.where("b_state = 1")
-    order = Window.partitionBy("source").orderBy("_u", "doc_id", "size")
+    order = Window.partitionBy("source").orderBy("_u", "doc_id", "size", *carry)
     edge = edge.withColumn("_upto", F.col("b_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     edge = edge.withColumn("_in", F.col("_upto") <= F.col("_rest"))
     got = Window.partitionBy("source")
@@ -198,7 +200,7 @@ def _placed(rows: DataFrame, count: DataFrame, goal: DataFrame, shards: int, blo
     gap = F.abs(F.col("_short") - F.col("size"))
     edge = edge.withColumn("_best", F.min(F.when(~F.col("_in") & (gap < F.abs(F.col("_short"))), F.struct(gap.alias("g"), F.col("_u").alias("u"), F.col("doc_id").alias("d"))).otherwise(None)).over(got))
     closes = ~F.col("_in") & (F.col("_best.u") == F.col("_u")) & F.col("_best.d").eqNullSafe(F.col("doc_id"))
-    twin = F.row_number().over(Window.partitionBy("source", closes).orderBy("_u", "doc_id", "size"))
+    twin = F.row_number().over(Window.partitionBy("source", closes).orderBy("_u", "doc_id", "size", *carry))
     edge = edge.withColumn("_more", F.when(F.col("_in") | (closes & (twin == 1)), 1).otherwise(0))
     edge = edge.drop("_upto", "_in", "_short", "_best")
     rows = rows.where("b_state <> 1").withColumn("_more", F.when(F.col("b_state") == 2, 1).otherwise(0)).unionByName(edge)
@@ -215,7 +217,7 @@ def _placed(rows: DataFrame, count: DataFrame, goal: DataFrame, shards: int, blo
     return rows.select(
         "doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies",
         each.cast("array<int>").alias("shards"),
-        F.when(F.col("copies") > 0, F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("_u"))).alias("position"),
+        F.when(F.col("copies") > 0, F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("_u"))).alias("position"), *carry,
     )
 
 

@@ -441,6 +441,28 @@ def test_pipeline_tells_rows_with_one_id_apart(spark):
     assert got == Counter([(1, a), (1, b), (None, c)])
 
 
+def test_pipeline_mixes_rows_by_shard(spark, tmp_path):
+    import corpus_pipeline as C
+
+    d = spark.createDataFrame([(None if i % 9 == 0 else i // 2, f"{i} " + "w " * (i % 40), "en", f"s{i % 3}", 0) for i in range(600)], "doc_id long, text string, lang string, source string, n_chars long")
+    C.mix_sources(spark, d, "").write.parquet(str(tmp_path / "mixed"))
+    out = spark.read.parquet(str(tmp_path / "mixed")).withColumn("_at", F.input_file_name()).withColumn("_no", F.monotonically_increasing_id())
+    got = [(r.text, r.source) for r in sorted(out.collect(), key=lambda r: (r["_at"].rsplit("/", 1)[1], r["_no"]))]
+    rows = d.withColumn("_row", F.col("text"))
+    want = mixing.mix(rows, carry=("_row",)).collect()
+    assert Counter(t for t, _ in got) == Counter({r["_row"]: r.copies for r in want if r.copies})
+    goal, taken = {r.source: r.target for r in want}, Counter()
+    for text, source in got:
+        taken[source] += len(text.split())
+    assert all(abs(taken[k] - v) <= 45 for k, v in goal.items())
+    shards, at = {r["_row"]: r.shards for r in want}, 0
+    for text, _ in got:
+        assert any(x >= at for x in shards[text])
+        at = min(x for x in shards[text] if x >= at)
+    assert at == mixing.SHARDS - 1
+    assert sum(a == b for a, b in zip(got, got[1:], strict=False)) < 10
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
