@@ -24,7 +24,7 @@ def _encoded(path: str, end_id: int):
     def run(batches):
         enc, part, start = encoder(SpacedEncoder, path), TaskContext.get().partitionId(), 0
         for b in slices(batches):
-            ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
+            ids = [x + end for x in enc.encode(b.column("text").cast(pa.binary()).to_pylist())]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             stops = start + np.cumsum(n)
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
@@ -54,8 +54,7 @@ def write_token_orc(
     row, so a task's memory is bounded by a slice of 256 texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h")
-    rows = rows.sortWithinPartitions("doc_id", "_h").drop("_h")
+    rows = rows.repartitionByRange("doc_id").withColumn("_h", F.xxhash64("text")).sortWithinPartitions("doc_id", "_h").drop("_h")
     (
         rows.mapInArrow(_encoded(tokenizer, end_id), SCHEMA)
         .write.option("orc.stripe.size", stripe_mb << 20)
@@ -95,7 +94,7 @@ def _crc(batches):
     for b in slices(batches, 1024):
         lists = b.column("ids")
         values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-        crc = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+        crc = [zlib.crc32(values[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         kept = [b.column(c) for c in ("doc_id", "part", "local_start", "n_tokens")]
         yield pa.RecordBatch.from_arrays(
             [*kept, pa.array(crc, pa.int64())], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"]
