@@ -2,56 +2,130 @@
 
 from __future__ import annotations
 
-import bisect
 from array import array
+from collections import deque
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stage, text_or_empty
+from .common import slices, text_or_empty
 from .encoders import WordEncoder, encoder
 
 CAPACITY, END_ID = 4096, 2
-PIECES = "doc_id long, start long, length long, doc_tokens long, part int, rank long, ids binary"
+#: The last class holds all lengths up to capacity / CLASSES.
+CLASSES = 64
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def classes(capacity: int) -> list[int]:
-    """Piece lengths of the reciprocal classes: the k-th holds pieces of capacity // k, k to a bin."""
-    return sorted({capacity // k for k in range(1, capacity + 1)})
-
-
-def cut(n: int, sizes: list[int]) -> list[int]:
-    """Lengths of n tokens' pieces: always the longest class that fits, so the rest falls with its square."""
-    out = []
-    while n:
-        size = sizes[bisect.bisect_right(sizes, n) - 1]
-        out += [size] * (n // size if size == sizes[-1] else 1)
-        n -= size * (n // size if size == sizes[-1] else 1)
-    return out
+class Harmonic:
+    """One worker's bins. A piece is (doc_id, start, length, doc_tokens, ids); `closed` gets full sequences of pieces.
 
+    Class k holds what is longer than capacity / (k + 1) and at most capacity / k; its bin takes k whole documents.
+    What such a bin leaves free waits for a later document, which is cut to close waiting bins as soon as they have
+    room for all of it; all others stay whole. Documents above the capacity first give pieces of just that length.
+    """
 
-def _cut_pieces(path: str, capacity: int, end_id: int):
-    sizes, end = classes(capacity), array("I", [end_id]).tobytes()
+    def __init__(self, capacity: int = CAPACITY, most: int = CLASSES):
+        self.capacity, self.most = capacity, min(most, capacity)
+        self.open: dict[int, list] = {}
+        self.used: dict[int, int] = {}
+        self.waiting: deque = deque()  # [pieces, room]
+        self.room = 0
+        self.closed: list[list[tuple]] = []
+
+    def add(self, doc_id, ids: bytes) -> None:
+        n, at = len(ids) // 4, 0
+        piece = lambda a, b: (doc_id, a, b - a, n, ids[a * 4 : b * 4])
+        while n - at >= self.capacity:
+            self.closed.append([piece(at, at + self.capacity)])
+            at += self.capacity
+        if n - at and n - at <= self.room:
+            while at < n:
+                bin_ = self.waiting[0]
+                take = min(bin_[1], n - at)
+                bin_[0].append(piece(at, at + take))
+                bin_[1] -= take
+                self.room -= take
+                at += take
+                if not bin_[1]:
+                    self.closed.append(self.waiting.popleft()[0])
+        elif n - at:
+            self.keep(piece(at, n))
+
+    def keep(self, piece: tuple) -> None:
+        k = min(self.capacity // piece[2], self.most)
+        bin_ = self.open.setdefault(k, [])
+        free = self.capacity - self.used.get(k, 0)
+        if k == self.most and piece[2] >= free:  # the class of short ones has no fixed count: its bin closes when full
+            first, rest = cut(piece, free)
+            self.closed.append([*bin_, first])
+            self.open[k], self.used[k] = ([rest], rest[2]) if rest else ([], 0)
+            return
+        bin_.append(piece)
+        self.used[k] = self.capacity - free + piece[2]
+        if len(bin_) == k < self.most:
+            room = self.capacity - self.used[k]
+            self.open[k], self.used[k] = [], 0
+            if room:
+                self.waiting.append([bin_, room])
+                self.room += room
+            else:
+                self.closed.append(bin_)
+
+    def finish(self) -> None:
+        """What is left of all classes fills sequences of the capacity; the end goes to sequences of powers of two."""
+        left = deque(p for bin_ in [*self.open.values(), *[w[0] for w in self.waiting]] for p in bin_)
+        todo = sum(p[2] for p in left)
+        while todo:
+            size = self.capacity if todo >= self.capacity else 1 << (todo.bit_length() - 1)
+            todo -= size
+            bin_ = []
+            while size:
+                first, rest = cut(left.popleft(), size)
+                bin_.append(first)
+                size -= first[2]
+                if rest:
+                    left.appendleft(rest)
+            self.closed.append(bin_)
+        self.open, self.used, self.room = {}, {}, 0
+        self.waiting.clear()
+
+
+def cut(piece: tuple, length: int) -> tuple[tuple, tuple | None]:
+    doc_id, start, n, total, ids = piece
+    if n <= length:
+        return piece, None
+    return (doc_id, start, length, total, ids[: length * 4]), (doc_id, start + length, n - length, total, ids[length * 4 :])
+
+
+def _packed(path: str, capacity: int, end_id: int):
+    end = array("I", [end_id]).tobytes()
 
     def run(batches):
-        enc, part, ranks = encoder(WordEncoder, path), TaskContext.get().partitionId(), {}
+        enc, bins, sequence = encoder(WordEncoder, path), Harmonic(capacity), TaskContext.get().partitionId() << 32
+
+        def rows():
+            nonlocal sequence
+            out = []
+            for bin_ in bins.closed:
+                offset = 0
+                for p in bin_:
+                    out.append((*p[:4], sequence, offset, p[4]))
+                    offset += p[2]
+                sequence += 1
+            bins.closed = []
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            arrays = [*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+
         for b in slices(batches):
-            cols: list[list] = [[], [], [], [], [], []]
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
-                ids += end
-                at, n = 0, len(ids) // 4
-                for length in cut(n, sizes):
-                    rank = ranks[length] = ranks.get(length, -1) + 1
-                    for c, v in zip(cols, (doc_id, at, length, n, rank, ids[at * 4 : (at + length) * 4]), strict=True):
-                        c.append(v)
-                    at += length
-            arrays = [pa.array(c, pa.int64()) for c in cols[:4]]
-            arrays += [pa.array(np.full(len(cols[0]), part, np.int32)), pa.array(cols[4], pa.int64())]
-            arrays += [pa.array(cols[5], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", "part", "rank", "ids"])
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").cast(pa.binary()).to_pylist()), strict=True):
+                bins.add(doc_id, ids + end)
+            yield rows()
+        bins.finish()
+        yield rows()
 
     return run
 
@@ -59,59 +133,14 @@ def _cut_pieces(path: str, capacity: int, end_id: int):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of docs(doc_id, text) with their place: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
-    Every worker cuts its documents into pieces of the harmonic classes' lengths and numbers them by class, without
-    seeing the others; a bin of class k holds k pieces. Counts by (class, worker) give the numbers over all workers;
-    only these counts are gathered. The last, unfilled bin of each class (under `capacity` tokens a class) is poured
-    into sequences that are full or, for the rest, of a power of two.
+    Every worker fills the bins of its classes without seeing the others, and holds no more than their open bins; a
+    sequence's number is its worker's and a counter. Nothing is shuffled, and no sequence needs padding.
 
-    Null text is an empty document (one end id); null or repeated doc_ids are kept as they come; an empty table gives
-    no piece. A document of any length is cut into pieces of `capacity` first.
+    Null text is an empty document (one end id); null or repeated doc_ids are kept as they come; other columns are
+    ignored; an empty table gives no piece.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    pieces = stage(rows.mapInArrow(_cut_pieces(tokenizer, capacity, end_id), PIECES), "pieces")
-    counts = stage(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row a class
-    w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("length", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
-
-    base, poured, full, start_of, seq = {}, 0, {}, {}, 0
-    for length in sorted(totals, reverse=True):
-        k = capacity // length
-        full[length], base[length], start_of[length] = totals[length] // k * k, seq, poured
-        seq += totals[length] // k
-        poured += (totals[length] - full[length]) * length
-    ends, at = [], 0
-    while at < poured:
-        room = min(capacity, 1 << ((poured - at).bit_length() - 1))
-        ends.append((at, at + room, seq + len(ends)))
-        at += room
-
-    def per_length(values: dict) -> F.Column:
-        pairs = [F.lit(int(x)).cast("long") for kv in sorted(values.items()) for x in kv]
-        return F.create_map(*pairs)[F.col("length")] if pairs else F.lit(None).cast("long")
-
-    rows = pieces.join(first, ["length", "part"]).withColumn("number", F.col("first") + F.col("rank"))
-    rows = rows.withColumn("_full", per_length(full))
-    k = F.floor(F.lit(capacity) / F.col("length"))
-    out = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-    filled = rows.where("number < _full").select(
-        "doc_id", "start", "length", "doc_tokens",
-        (per_length(base) + F.floor(F.col("number") / k)).cast("long").alias("sequence_id"),
-        (F.col("number") % k * F.col("length")).cast("long").alias("offset"), "ids",
-    )
-    if not ends:
-        return filled.select(*out)
-    bins = F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip("abs", e, strict=True)]) for e in ends])
-    rest = rows.where("number >= _full").withColumn("_at", per_length(start_of) + (F.col("number") - F.col("_full")) * F.col("length"))
-    rest = rest.withColumn("_bin", F.explode(F.filter(bins, lambda x: (x["a"] < F.col("_at") + F.col("length")) & (x["b"] > F.col("_at")))))
-    lo = F.greatest(F.col("_at"), F.col("_bin.a"))
-    size = F.least(F.col("_at") + F.col("length"), F.col("_bin.b")) - lo
-    rest = rest.select(
-        "doc_id", (F.col("start") + lo - F.col("_at")).alias("start"), size.alias("length"), "doc_tokens",
-        F.col("_bin.s").alias("sequence_id"), (lo - F.col("_bin.a")).alias("offset"),
-        F.col("ids").substr(((lo - F.col("_at")) * 4 + 1).cast("int"), (size * 4).cast("int")).alias("ids"),
-    )
-    return filled.select(*out).unionByName(rest.select(*out))
+    return rows.mapInArrow(_packed(tokenizer, capacity, end_id), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
@@ -120,6 +149,7 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all whole documents in sequences of 4096 ids, with their crc32."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
