@@ -11,23 +11,27 @@ from pyspark.sql import functions as F
 from .common import stage
 
 SCALE, TOP, EVERY = 256, 5, 50
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 128
-WIDEST = 1 << 24
+BLOCK_ROWS = 16_384
+#: Queries of a block: as many as give TASKS pairs of blocks, between these bounds; the index is copied to each block of queries.
+LEAST_QUERIES, MOST_QUERIES, TASKS = 64, 16_384, 48
+#: Products of components below this have 34 digits: sums of up to 10,000 of them are a decimal.
+WIDEST = 1 << 56
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component. Vectors that are null, empty or hold null or non-finite components go.
+    """vec_id, v: floor(scale * x) of each component. Vectors that are null or hold null or non-finite components go.
 
-    So do those with a component beyond 2**24 after scaling, whose sums a long could not hold for certain.
+    So do those with a component of 2**56 or more after scaling, whose sums no decimal of 38 digits holds for certain.
     """
     e = F.col("embedding").cast("array<double>")
     v = F.transform(e, lambda x: F.floor(x * scale).cast("long"))
-    fine = F.forall(e, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x * scale) < WIDEST), F.lit(False)))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("_e"), v.alias("v")).where(F.size("_e") > 0).where(fine).select("vec_id", "v")
+    fine = e.isNotNull() & F.forall(e, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x * scale) < float(WIDEST)), F.lit(False)))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), fine.alias("_fine")).where("_fine").drop("_fine")
 
 
 def _matrix(lists: list[list[int]]) -> np.ndarray:
-    width = max(map(len, lists))
+    width = max(1, *map(len, lists))
     out = np.zeros((len(lists), width), np.int64)
     for i, x in enumerate(lists):
         out[i, : len(x)] = x
@@ -37,18 +41,16 @@ def _matrix(lists: list[list[int]]) -> np.ndarray:
 def slice_block(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Each column's smallest value, and its bitmaps: the bits of what lies above that, lowest first, padded to words."""
     base = values.min(axis=0)
-    above = values - base
-    bits = max(1, int(above.max()).bit_length())
+    above = (values - base).view(np.uint64)
     words = -(-len(values) // 64)
     out = []
     for col in above.T:
         n = int(col.max()).bit_length()
         maps = np.zeros((n, words * 8), np.uint8)
         for b in range(n):
-            packed = np.packbits(((col >> b) & 1).astype(np.uint8), bitorder="little")
+            packed = np.packbits(((col >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little")
             maps[b, : len(packed)] = packed
         out.append(maps.view(np.uint64))
-    assert bits >= max((len(x) for x in out), default=0)
     return base, out
 
 
@@ -180,13 +182,12 @@ def _search(k: int):
                     slices, constant = add_slices(q, base, maps)
                     allowed = full & ~np.packbits(np.resize(ids == q_id, words * 64) & (np.arange(words * 64) < len(ids)), bitorder="little").view(np.uint64)
                     got = top_rows(slices, allowed, ids, k)
-                    scores = np.full(len(got), constant, np.int64)
-                    for w, s in enumerate(slices):
-                        scores += ((s[got >> 6] >> (got & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
-                    out += zip([q_id] * len(got), ids[got].tolist(), scores.tolist(), strict=True)
+                    bits = [((s[got >> 6] >> (got & 63).astype(np.uint64)) & np.uint64(1)).tolist() for s in slices]
+                    scores = [constant + sum(b[i] << w for w, b in enumerate(bits)) for i in range(len(got))]
+                    out += zip([q_id] * len(got), ids[got].tolist(), [str(x) for x in scores], strict=True)
                 if out:
                     cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -195,28 +196,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with all other rows.
 
     Rows become blocks of bitmaps once; blocks of queries meet every block of rows, and only k rows a query and block
-    go on. Ties go to the smaller vec_id. Vectors with null or non-finite components take no part, nor do null ids;
-    missing components of shorter vectors are 0; rows that repeat a query's id are its own; repeated query ids are
-    answered once; other columns are ignored; empty tables give no row.
+    go on. Ties go to the smaller vec_id. Sums are exact integers of any width; a score beyond a long is given as the
+    nearest long, its rank stays exact. Vectors with null or non-finite components take no part, nor do null ids or
+    components of 2**56 or more after scaling; an empty vector's components and the missing ones of shorter vectors are 0; rows
+    that repeat a query's id are its own; repeated query ids are answered once; other columns are ignored; empty
+    tables give no row.
     """
     index = quantised(vectors, scale).where("vec_id is not null").mapInArrow(_index(BLOCK_ROWS), INDEX)
     index = stage(index, "bit-slices")
-    asked = quantised(queries, scale).where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_blocks = asked.count() // BLOCK_QUERIES + 1
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
-    asked = asked.groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("q"))  # BLOCK_QUERIES or so
+    asked = stage(quantised(queries, scale).where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    n_index = max(1, index.count())
+    size = min(MOST_QUERIES, max(LEAST_QUERIES, asked.count() * n_index // TASKS))
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(asked.count() // size + 1)))
+    asked = asked.groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("q"))  # MOST_QUERIES or so
     asked = asked.select("qb", F.col("q.vec_id").alias("q_ids"), F.col("q.v").alias("q_vs"))
     # a query set against all rows, in blocks: query blocks are copied to each row block, not rows to rows
     number = index.select("block", F.row_number().over(Window.orderBy("block")).alias("no"))  # a row a block
-    met = asked.withColumn("no", F.explode(F.sequence(F.lit(1), F.lit(max(1, index.count())))))
+    met = asked.withColumn("no", F.explode(F.sequence(F.lit(1), F.lit(n_index))))
     pairs = met.join(number, "no").join(index, "block").repartition("block", "qb")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score string")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.col("score").cast("decimal(38,0)")), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    within = F.greatest(F.lit(LONG[0]).cast("decimal(38,0)"), F.least(F.lit(LONG[1]).cast("decimal(38,0)"), F.col("score").cast("decimal(38,0)")))
+    return ranked.select("query_id", "rank", "vec_id", within.cast("long").alias("score"))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows with the highest scores for every vector whose vec_id is divisible by 50."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(rows, rows.where(F.col("vec_id") % EVERY == 0))
 
@@ -225,9 +231,9 @@ ORACLE = """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+  WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
