@@ -9,10 +9,12 @@ from .common import stage, text_or_empty
 
 WEIGHTS, SHARE, CEILING = (3, 1, 2), 1.5, 2.0
 SEED, SHARDS, BLOCKS = 20240, 8, 128
+#: Sources of one row of the splitting tree.
+GROUP = 512
 
 
 def sizes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size (words between ASCII white space; null text: 0), and the columns to carry."""
+    """doc_id, source, size of every row, and the columns to carry. size: words between ASCII white space; null text: 0."""
     text = F.trim(F.regexp_replace(text_or_empty(), "[\\x20\\x09-\\x0D]+", " "))
     size = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1)
     return docs.select(
@@ -90,38 +92,43 @@ def _draw(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     )
 
 
+def _drawn(items: Column, want: Column, *key: Column) -> Column:
+    """How many of `want` draws without replacement fall on each of items(id, n), item after item."""
+    total = F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    u = lambda x: (F.pmod(F.xxhash64(*key, x["id"]), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    return F.aggregate(
+        items,
+        F.struct(total.alias("rest"), want.cast("long").alias("want"), F.array().cast("array<long>").alias("out")),
+        lambda a, x: let(
+            _draw(a["rest"], x["n"], a["want"], u(x)).cast("long"),
+            lambda d: F.struct((a["rest"] - x["n"]).alias("rest"), (a["want"] - d).alias("want"), F.concat(a["out"], F.array(d)).alias("out")),
+        ),
+    )["out"]
+
+
 def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(source, shard, n_blocks, first_block): how the exact block quotas(source, quota) fall on the shards.
 
-    Each level halves every node: the left child's blocks are drawn without replacement from the node's, source after
-    source, each draw hypergeometric given those before; so a node's children always add up to it. One row a node
-    holds the sources' counts; draws are keyed by seed, node and source. Shard ranges of a source's permuted blocks are
-    disjoint, in shard order.
+    Each level halves every node: the left child's blocks are drawn without replacement from the node's, so a node's
+    children always add up to it. A node's sources lie in groups of about GROUP, one row each: the draw first falls on
+    the groups, then, group by group in parallel, on their sources; each draw is hypergeometric given those before
+    (probabilities beyond 12 deviations and steps of 2**-30 aside). Draws are keyed by seed, node and source. Shard
+    ranges of a source's permuted blocks are disjoint, in shard order.
     """
-    src = F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("z"), "source", F.col("quota").cast("int").alias("n"))))
-    node = quotas.groupBy().agg(src.alias("q")).select(F.lit(1).alias("node"), F.lit(shards).alias("leaves"), "q")
+    item = F.struct(F.col("source").alias("id"), F.col("quota").cast("long").alias("n"))
+    groups = -(-quotas.count() // GROUP) or 1
+    rows = quotas.groupBy(F.pmod(F.xxhash64("source"), F.lit(groups)).alias("part")).agg(F.sort_array(F.collect_list(item)).alias("q"))
+    rows = stage(rows.select(F.lit(1).cast("long").alias("node"), F.lit(shards).alias("leaves"), "part", "q"), "tree")
+    half = F.floor(F.col("leaves") / 2).cast("int")
     for _ in range((shards - 1).bit_length()):
-        split = F.aggregate(
-            "q",
-            F.struct(
-                F.aggregate("q", F.lit(0), lambda a, x: a + x["n"]).alias("rest"),
-                F.floor(F.aggregate("q", F.lit(0), lambda a, x: a + x["n"]) * F.floor(F.col("leaves") / 2) / F.col("leaves")).cast("int").alias("want"),
-                F.array().cast("array<int>").alias("out"),
-            ),
-            lambda a, x: F.transform(
-                F.array(
-                    _draw(
-                        a["rest"], x["n"], a["want"],
-                        (F.pmod(F.xxhash64(F.lit(seed), F.col("node"), x["source"]), F.lit(1 << 30)) + 0.5) / float(1 << 30),
-                    ).cast("int")
-                ),
-                lambda d: F.struct((a["rest"] - x["n"]).alias("rest"), (a["want"] - d).alias("want"), F.concat(a["out"], F.array(d)).alias("out")),
-            )[0],
-        )["out"]
-        node = node.withColumn("l", split)
-        left = F.transform("q", lambda x, i: F.struct(x["z"].alias("z"), x["source"].alias("source"), F.get(F.col("l"), i).alias("n")))
-        right = F.transform("q", lambda x, i: F.struct(x["z"].alias("z"), x["source"].alias("source"), (x["n"] - F.get(F.col("l"), i)).alias("n")))
-        half = F.floor(F.col("leaves") / 2).cast("int")
+        size = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        top = rows.groupBy("node", "leaves").agg(F.sort_array(F.collect_list(F.struct(F.col("part").alias("id"), size.alias("n")))).alias("c"))
+        want = F.floor(F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["n"]) * half / F.col("leaves"))
+        top = top.select("node", F.explode(F.arrays_zip("c", _drawn(F.col("c"), want, F.lit(seed), F.col("node"), F.lit("group")).alias("d"))).alias("x"))
+        top = top.select("node", F.col("x.c.id").alias("part"), F.col("x.d").alias("want"))
+        split = rows.join(top, ["node", "part"]).withColumn("l", _drawn(F.col("q"), F.col("want"), F.lit(seed), F.col("node")))
+        left = F.transform("q", lambda x, i: F.struct(x["id"].alias("id"), F.get(F.col("l"), i).alias("n")))
+        right = F.transform("q", lambda x, i: F.struct(x["id"].alias("id"), (x["n"] - F.get(F.col("l"), i)).alias("n")))
         kids = F.when(
             F.col("leaves") > 1,
             F.array(
@@ -129,8 +136,8 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
                 F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("leaves") - half).alias("leaves"), right.alias("q")),
             ),
         ).otherwise(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("leaves"), F.col("q"))))
-        node = stage(node.select(F.explode(kids).alias("k")).select("k.*"), "tree")
-    flat = node.select("node", F.explode("q").alias("x")).select("node", "x.source", F.col("x.n").alias("n_blocks"))
+        rows = stage(split.select("part", F.explode(kids).alias("k")).select("k.node", "k.leaves", "part", "k.q"), "tree")
+    flat = rows.select("node", F.explode("q").alias("x")).select("node", F.col("x.id").alias("source"), F.col("x.n").alias("n_blocks"))
     key = Window.partitionBy("source").orderBy("node")  # a row a shard
     return flat.select(
         "source", (F.row_number().over(key) - 1).alias("shard"), "n_blocks",
@@ -222,5 +229,6 @@ def _placed(rows: DataFrame, count: DataFrame, goal: DataFrame, shards: int, blo
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and where its copies go."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards", "position")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, text_or_empty
@@ -12,10 +12,20 @@ from .spans import find_spans
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"
-#: Candidates the method adds where owners' frequency says that they are live: well-known token shapes and long mixed runs.
-SHAPED = "(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]+|AIza[A-Za-z0-9_-]{30,}|sk_live_[A-Za-z0-9]{16,})"
-KINDS = ("assign", "access", "hex", "shaped")
-WIDELY = 3
+#: Candidates that the method adds: long runs of the letters keys are made of; those count that mix kinds of characters
+#: and repeat few of them, as drawn at random. Where ownership says that they are live, they are reported.
+RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}+(?![A-Za-z0-9+/_-])"
+MIXED, VARIED = 3, 12
+KINDS = ("assign", "access", "hex", "keylike")
+#: A value spreads by its owners and, at half weight, by their further repositories. From this spread, and this share of
+#: all owners, it is a widely copied example.
+SPREAD, SHARE = 3.0, 0.01
+
+
+def keylike(value: Column) -> Column:
+    """Whether a run has at least MIXED of digits, lower, upper case and signs, and VARIED different characters."""
+    kinds = [value.rlike(p).cast("int") for p in ("[0-9]", "[a-z]", "[A-Z]", "[+/_-]")]
+    return (sum(kinds[1:], kinds[0]) >= MIXED) & value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= VARIED)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -36,18 +46,19 @@ def candidates(docs: DataFrame) -> DataFrame:
             kind(find_spans(text, ASSIGN, (0, 2)), 0, lambda x: F.length(x["g1"]) >= 6, "g1"),
             kind(find_spans(text, ACCESS), 1, lambda x: x["e"] - x["s"] >= 20),
             kind(find_spans(text, HEX), 2),
-            kind(find_spans(text, SHAPED), 3),
+            kind(find_spans(text, RUN), 3, lambda x: keylike(x["g0"])),
         )).alias("cands"),
     )
     return d
 
 
-def scan(docs: DataFrame, widely: int = WIDELY) -> DataFrame:
+def scan(docs: DataFrame, spread: float = SPREAD, share: float = SHARE) -> DataFrame:
     """doc_id and `spans`: an array of (s, k, e, h, n_owners, n_repos, n_docs, live) in order of start, kind.
 
     Candidate values are hashed; hashes are counted over the whole corpus by distinct owners (source) and repositories
-    (source and language). A value with fewer than `widely` owners is live-looking; one that more owners share is a
-    copied example. Base kinds (assign, access, hex) are always reported; shaped tokens only where live.
+    (source and language). A value's spread is its owners and half its further repositories; below `spread`, or below
+    `share` of all the corpus's owners, it is live-looking, else a copied example. Base kinds (assign, access, hex) are
+    always reported; other key-like runs only where live.
 
     Null text is empty; a null source or language counts as one unnamed owner or repository; null doc_ids and repeated
     rows are kept as rows of their own; other columns are ignored; an empty table gives no row. Distinct owners are
@@ -58,7 +69,9 @@ def scan(docs: DataFrame, widely: int = WIDELY) -> DataFrame:
     per = flat.groupBy("h", "owner", "repo").agg(F.count("*").alias("n"))
     per = per.groupBy("h", "owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"))
     freq = per.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"), F.sum("n").alias("n_found"))
-    told = flat.join(freq, "h").withColumn("live", F.col("n_owners") < widely)
+    owners = rows.select(F.coalesce("owner", F.lit("\0")).alias("o")).distinct().agg((F.count("*") * share).alias("_bar"))  # a row
+    freq = freq.crossJoin(F.broadcast(owners)).withColumn("live", F.col("n_owners") + (F.col("n_repos") - F.col("n_owners")) / 2 < F.greatest(F.lit(spread), "_bar"))
+    told = flat.join(freq.drop("_bar"), "h")
     told = told.where((F.col("k") < 3) | F.col("live"))
     spans = told.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e", "h", "n_owners", "n_repos", "n_found", "live"))).alias("spans"))
     empty = F.array().cast(spans.schema["spans"].dataType)
@@ -79,4 +92,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all whole documents, counted and digested."""
     return digest(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
