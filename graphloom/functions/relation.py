@@ -160,3 +160,78 @@ def questions(s: Column, r: Column, o: Column) -> Column:
     known = [F.when(r == k, F.array(F.format_string(a, s), F.format_string(b, o))) for k, (a, b) in asked.items()]
     other = F.array(F.concat(F.lit("What is linked to "), s, F.lit(" via "), r, F.lit("?")), F.concat(F.lit("What is linked to "), o, F.lit(" via "), r, F.lit("?")))
     return F.coalesce(*known, other)
+
+
+# Relation phrases of facts in order of test, and the pattern over lower-case text.
+PHRASES = (
+    ("treats", "\\bis\\s+used\\s+to\\s+treat\\b"), ("interacts_with", "\\binteracts\\s+with\\b"),
+    ("metabolized_by", "\\bis\\s+metaboli[zs]ed\\s+by\\b"), ("increases", "\\bincreases\\s+the\\s+risk\\s+of\\b"),
+    ("causes", "\\bleads\\s+to\\b"), ("causes", "\\bcauses\\b"), ("prevents", "\\bprevent(s|ing)?\\b"),
+    ("reduces", "\\breliev(es|e|ing)?\\b|\\blower(s|ing)?\\b|\\breduce(s|d|ing)?\\b"),
+    ("treats", "\\btreat(s|ed|ing)?\\b"), ("increases", "\\bincreases\\b|\\braises\\b"),
+)
+
+
+def phrase(fact: Column) -> Column:
+    """The relation phrase of a fact, to be embedded: a relation's name, or the whole fact in lower case."""
+    t = F.lower(F.trim(F.coalesce(fact, F.lit(""))))
+    return T.let(t, lambda x: F.coalesce(*[F.when(x.rlike(p), F.lit(name)) for name, p in PHRASES], x))
+
+
+def phrase_words(text: Column) -> Column:
+    """Lower case, signs as spaces, white space squeezed."""
+    return T.squeeze(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?U)[^\\w\\s]", " "))
+
+
+def type_bucket(label: Column) -> Column:
+    """chemical, disease or other."""
+    t = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    chemical, disease = t.contains("chemical") | t.isin("chem", "drug"), t.contains("disease") | t.contains("disorder") | (t == "dis")
+    return F.when(chemical, "chemical").when(disease, "disease").otherwise("other")
+
+
+def swapped(relation: Column, head: Column, tail: Column) -> Column:
+    """Whether a disease "causes" a chemical, so that the ends are to be turned."""
+    return (relation == "causes") & (type_bucket(head) == "disease") & (type_bucket(tail) == "chemical")
+
+
+def oriented_row(s: Column, r: Column, o: Column, head: Column, tail: Column) -> Column:
+    """struct(s, r, o) of an extractor's row in the question schema; null for a negative label or an empty end."""
+    canon, a, b = head_label(r), T.squeeze(s), T.squeeze(o)
+    turn = swapped(canon, head, tail)
+    row = F.struct(F.when(turn, b).otherwise(a).alias("s"), canon.alias("r"), F.when(turn, a).otherwise(b).alias("o"))
+    return F.when(canon.isNotNull() & (a != "") & (b != ""), row)
+
+
+# The generator's relations by what a fact contains, in order of test, and its cuts between the ends.
+MADE_RELATIONS = (
+    ("treat", "treats"), ("prevent", "prevents"), ("interact", "interacts_with"), ("metabol", "metabolized_by"),
+    ("increase", "increases"), ("risk of", "increases"), ("reduce", "reduces"), ("lower", "reduces"),
+)
+MADE_CUTS = (" treats ", " causes ", " prevents ", " reduces ", " lowers ", " increases ", " interacts with ", " is metabolized by ")
+
+
+def made_relation(fact: Column) -> Column:
+    low = F.lower(fact)
+    return F.coalesce(*[F.when(low.contains(k), F.lit(r)) for k, r in MADE_RELATIONS], F.lit("causes"))
+
+
+def made_ends(fact: Column) -> Column:
+    """struct(s, o): the text around the first cut that the fact holds, else its first word and the rest."""
+    t = F.regexp_replace(F.trim(fact), "[.]+$", "")
+
+    def at(x: Column, cut: Column) -> Column:
+        where = F.locate(cut, x) if isinstance(cut, str) else F.instr(x, cut)
+        return F.struct(F.trim(F.substr(x, F.lit(1), where - 1)).alias("s"), F.trim(F.substr(x, where + len(cut))).alias("o"))
+
+    tests = lambda x: [F.when(x.contains(c), at(x, c)) for c in MADE_CUTS]
+    alone = lambda x: F.when(~x.contains(" "), F.struct(x.alias("s"), F.lit("unknown").alias("o")))
+    return T.let(t, lambda x: F.coalesce(*tests(x), alone(x), at(x, " ")))
+
+
+def made_questions(s: Column, r: Column, o: Column) -> Column:
+    """array of (question, subject, relation, object, answer): one for each end."""
+    said = F.replace(r, F.lit("_"), F.lit(" "))
+    one = lambda q, a, b, answer: F.struct(q.alias("question"), a.alias("subject"), r.alias("relation"), b.alias("object"), answer.alias("answer"))
+    what = F.when(r == "treats", F.concat(F.lit("What treats "), o, F.lit("?"))).otherwise(F.concat(F.lit("What is linked to "), o, F.lit(" via "), said, F.lit("?")))
+    return F.array(one(F.concat(F.lit("What does "), s, F.lit(" "), said, F.lit("?")), s, F.lit("?"), o), one(what, F.lit("?"), o, s))

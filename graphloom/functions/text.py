@@ -189,3 +189,43 @@ def mark_entities(text: Column, s1: Column, e1: Column, s2: Column, e2: Column)
     one = F.concat(cut(F.lit(0), s1), F.lit("[E1] "), cut(s1, e1), F.lit(" [/E1]"), cut(e1, s2), F.lit("[E2] "), cut(s2, e2), F.lit(" [/E2]"), cut(e2, F.length(text)))
     two = F.concat(cut(F.lit(0), s2), F.lit("[E2] "), cut(s2, e2), F.lit(" [/E2]"), cut(e2, s1), F.lit("[E1] "), cut(s1, e1), F.lit(" [/E1]"), cut(e1, F.length(text)))
     return F.when(s1 <= s2, one).otherwise(two)
+
+
+PLACEHOLDER = "\\b(?:Drug|Condition)\\d+\\b"
+
+
+def has_placeholder(text: Column) -> Column:
+    return F.coalesce(text.rlike(PLACEHOLDER), F.lit(False))
+
+
+def guarded(text: Column) -> Column:
+    """The text; a placeholder entity in it ends the query with an error."""
+    return F.when(has_placeholder(text), F.raise_error(F.concat(F.lit("placeholder entity in: "), text))).otherwise(text)
+
+
+# Names that a picture of the graph leaves out.
+NOISE = ("a drug", "the drug", "drug", "drugs", "medication", "medications", "patients", "patient", "people", "some patients")
+
+
+def display_noise(text: Column) -> Column:
+    """Whether a picture of the graph leaves the entity out."""
+    return let(normalize_surface(F.coalesce(text, F.lit(""))), lambda x: (F.length(x) < 2) | x.isin(*NOISE) | x.startswith("patients ") | x.startswith("patient "))
+
+
+def semantic_equal(a: Column, b: Column, similarity: Column, least: float = 0.85) -> Column:
+    """Non-empty, and of one surface or as similar as `least`; similarity: a cosine, null where there is none."""
+    x, y = F.trim(F.coalesce(a, F.lit(""))), F.trim(F.coalesce(b, F.lit("")))
+    same = normalize_surface(x) == normalize_surface(y)
+    return (x != "") & (y != "") & (same | (F.coalesce(similarity, F.lit(0.0)) >= least))
+
+
+def tag_type(tag: Column, groups: dict[str, str]) -> Column:
+    """A mention's type: the first of several, 30 characters of it; type identifiers by their group, others OTHER."""
+    first = F.substring(F.trim(F.split(F.coalesce(tag, F.lit("")), ",")[0]), 1, 30)
+    named = F.coalesce(*[F.when(first == k, F.lit(v)) for k, v in groups.items()], F.lit("OTHER"))
+    return F.when(first.rlike("^T\\d+$"), named).otherwise(first)
+
+
+def overlap_words(text: Column) -> Column:
+    """Distinct runs of a-z and 0-9 of the lower-case text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))

@@ -161,3 +161,26 @@ def pin_seed(edges: DataFrame, facts: DataFrame) -> DataFrame:
     w = Window.partitionBy("set_id", "_hit").orderBy("first_seq")
     pinned = F.col("_hit") & (F.row_number().over(w) == 1)
     return joined.withColumn("_pin", pinned).withColumn("status", F.when(F.col("_pin"), "active").otherwise(F.col("status"))).drop("_fs", "_fo", "_hit", "_pin")
+
+
+def seed_directed(direct: Column, turned: Column, lexical_direct: Column, lexical_turned: Column, margin: float = 0.02) -> Column:
+    """Whether to turn a triple: by sums of cosines if they differ by the margin, else by the lexical score; ties keep.
+
+    Sums that are null (no vectors) leave it to the lexical score.
+    """
+    gap = F.coalesce(turned - direct, F.lit(0.0))
+    return F.when(gap > margin, True).when(gap < -margin, False).otherwise(lexical_turned > lexical_direct)
+
+
+def accepted(term: Column, mapped: Column, fuzzy: Column) -> Column:
+    """The mapper's answer if it is an identifier or another text, else the fuzzy match's, else the term."""
+    plain = T.normalize_surface(F.coalesce(term, F.lit("")))
+    good = mapped.isNotNull() & (T.is_ontology_id(mapped) | (T.normalize_surface(mapped) != plain))
+    return F.when(good, mapped).otherwise(F.coalesce(fuzzy, term))
+
+
+def peers(nodes: DataFrame, k: int = 48) -> DataFrame:
+    """set_id, peers: the first k of each set's distinct nodes(set_id, node) in order."""
+    by = Window.partitionBy("set_id").orderBy("node")
+    first = nodes.select("set_id", "node").distinct().withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= k)
+    return first.groupBy("set_id").agg(F.array_sort(F.collect_list("node")).alias("peers"))

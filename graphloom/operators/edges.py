@@ -62,34 +62,88 @@ def object_conflicts(edges: DataFrame) -> DataFrame:
     )
 
 
-def with_status(edges: DataFrame, evidence: DataFrame) -> DataFrame:
-    """edges with status: uncertain if any conflict touches it, else weak for the weak relation, else active.
+def fold_clashing(evidence: DataFrame) -> DataFrame:
+    """fold_light with n_clashes: evidence whose polarity differs from its edge's, which is that of the first."""
+    polarity = F.coalesce("polarity", F.lit("positive"))
+    out = evidence.withColumn("polarity", polarity).groupBy(*KEY).agg(
+        F.min("seq").alias("first_seq"), F.min_by("o", "seq").alias("o"), F.min_by("polarity", "seq").alias("polarity"),
+        F.min_by("source", "seq").alias("first_source"), F.max("confidence").alias("confidence"), F.count("*").alias("n_evidence"),
+        F.count_if(F.col("polarity") == "positive").alias("_p"), F.count_if(F.col("polarity") == "negative").alias("_n"),
+    )
+    same = F.when(F.col("polarity") == "positive", F.col("_p")).when(F.col("polarity") == "negative", F.col("_n")).otherwise(F.col("n_evidence"))
+    return out.withColumn("n_clashes", F.col("n_evidence") - same).drop("_p", "_n")
 
-    Conflicts need no pairs here: an edge conflicts if its (set, s, o) has another relation or its (set, s, r) another
-    object; both are counts over the edges.
+
+def with_status(evidence: DataFrame) -> DataFrame:
+    """The edges of the evidence with status: uncertain if any conflict touches it, else weak for the weak relation, else active.
+
+    Conflicts need no pairs: an edge conflicts if its (set, s, o) has another relation, its (set, s, r) another object,
+    or its evidence another polarity. One fold, then two counts over edges that lie by set and subject.
     """
-    other_r = F.size(F.collect_set("r").over(Window.partitionBy("set_id", "s", "o"))) > 1
-    other_o = F.count("*").over(Window.partitionBy("set_id", "s", "r")) > 1
-    clash = merge_clashes(evidence, edges).select(*KEY).distinct().withColumn("_clash", F.lit(True))
-    marked = edges.withColumn("_r", other_r).withColumn("_o", other_o).join(clash, KEY, "left")
-    hit = F.col("_r") | F.col("_o") | F.coalesce("_clash", F.lit(False))
-    return marked.withColumn("status", F.when(hit, "uncertain").when(F.col("r") == R.WEAK, "weak").otherwise("active")).drop("_r", "_o", "_clash")
+    edges = fold_clashing(evidence).repartition("set_id", "s")
+    by_o, by_r = Window.partitionBy("set_id", "s", "o"), Window.partitionBy("set_id", "s", "r")
+    marked = edges.withColumn("_r", F.min("r").over(by_o) != F.max("r").over(by_o)).withColumn("_o", F.count("*").over(by_r) > 1)
+    hit = F.col("_r") | F.col("_o") | (F.col("n_clashes") > 0)
+    return marked.withColumn("status", F.when(hit, "uncertain").when(F.col("r") == R.WEAK, "weak").otherwise("active")).drop("_r", "_o")
+
+
+def by_status(edges: DataFrame, include_uncertain: bool = True) -> DataFrame:
+    return edges if include_uncertain else edges.where("status <> 'uncertain'")
+
+
+def exported(edges: DataFrame) -> DataFrame:
+    """Edges in the order in which each set first saw them."""
+    return edges.orderBy("set_id", "first_seq")
 
 
 def update_log(evidence: DataFrame) -> DataFrame:
-    """Per set and source, in order of arrival: evidence, added, merged, conflicts, and edges so far."""
-    edges = fold_light(evidence)
-    seen = evidence.groupBy("set_id", "source").agg(F.count("*").alias("n"), F.min("seq").alias("at"))
-    added = edges.groupBy("set_id", F.col("first_source").alias("source")).agg(F.count("*").alias("added"))
-    found = (
-        relation_conflicts(edges).select("set_id", "source")
-        .unionAll(object_conflicts(edges).select("set_id", "source"))
-        .unionAll(merge_clashes(evidence, edges).select("set_id", "source"))
-        .groupBy("set_id", "source").agg(F.count("*").alias("conflicts"))
-    )
-    log = seen.join(added, ["set_id", "source"], "left").join(found, ["set_id", "source"], "left").na.fill(0, ["added", "conflicts"])
+    """Per set and source, in order of arrival: evidence added and merged, conflicts found, edges so far.
+
+    A new edge conflicts with every earlier one of its subject and object that has another relation, and of its subject
+    and relation that has another object. Both are running counts over the edges, so no pairs are made; merged evidence
+    of another polarity conflicts once. `uncertain` counts the same events.
+    """
+    edges = fold_light(evidence).repartition("set_id", "s")
+    seen_before = lambda *on: F.count("*").over(Window.partitionBy(*on).orderBy("first_seq").rowsBetween(Window.unboundedPreceding, -1))
+    new = edges.withColumn("_c", seen_before("set_id", "s", "o") - seen_before("set_id", "s", "o", "r") + seen_before("set_id", "s", "r") - seen_before("set_id", "s", "r", "o"))
+    added = new.select("set_id", F.col("first_source").alias("source"), F.lit(0).alias("n"), F.lit(1).alias("added"), F.col("_c").alias("conflicts"), F.lit(None).cast("long").alias("at"))
+    told = evidence.join(edges.select(*KEY, "first_seq", F.col("polarity").alias("_was")), KEY)
+    clash = (F.col("seq") > F.col("first_seq")) & (F.col("polarity") != F.col("_was"))
+    seen = told.select("set_id", "source", F.lit(1).alias("n"), F.lit(0).alias("added"), F.coalesce(clash.cast("long"), F.lit(0)).alias("conflicts"), F.col("seq").alias("at"))
+    log = seen.unionByName(added).groupBy("set_id", "source").agg(*[F.sum(c).alias(c) for c in ("n", "added", "conflicts")], F.min("at").alias("at"))
     so_far = Window.partitionBy("set_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select("set_id", "source", "added", (F.col("n") - F.col("added")).alias("merged"), "conflicts", F.sum("added").over(so_far).alias("num_edges"))
+    return log.select(
+        "set_id", "source", "added", (F.col("n") - F.col("added")).alias("merged"), "conflicts", F.col("conflicts").alias("uncertain"),
+        F.sum("added").over(so_far).alias("num_edges"),
+    )
+
+
+def conflict_records(evidence: DataFrame) -> DataFrame:
+    """A record on each edge of a conflict: set_id, s, r, o, conflict_type, peer_relation, peer_object, seq, sources.
+
+    Two edges record each other when the later one comes (seq): their sources are the earlier edge's up to then and the
+    newcomer's. An edge whose polarity is contradicted records itself, with its sources so far. Sources are distinct
+    and sorted. Sources come by a join on the edge with the evidence before the conflict.
+    """
+    edges = fold_light(evidence)
+    rel = relation_conflicts(edges).select("set_id", "s", "r1", F.col("o").alias("o1"), "r2", F.col("o").alias("o2"), F.col("first_seq2").alias("seq"), F.col("source").alias("new"), "conflict_type")
+    obj = object_conflicts(edges).select("set_id", "s", F.col("r").alias("r1"), "o1", F.col("r").alias("r2"), "o2", F.col("first_seq2").alias("seq"), F.col("source").alias("new"), "conflict_type")
+    both = rel.unionByName(obj).withColumn("id", F.xxhash64("set_id", "s", "r1", "o1", "r2", "o2", "conflict_type"))
+    own = evidence.join(edges.select(*KEY, F.col("o").alias("edge_o")), KEY).select("set_id", "s", F.col("r").alias("r1"), F.col("edge_o").alias("o1"), F.col("seq").alias("_at"), "source")
+    told = both.join(own, ["set_id", "s", "r1", "o1"]).where("_at < seq").groupBy("set_id", "s", "r1", "o1", "r2", "o2", "seq", "conflict_type", "new").agg(F.collect_set("source").alias("was"))
+    sources = F.array_sort(F.array_distinct(F.concat("was", F.array("new"))))
+    one = lambda a, b: told.select("set_id", "s", F.col(f"r{a}").alias("r"), F.col(f"o{a}").alias("o"), "conflict_type", F.col(f"r{b}").alias("peer_relation"), F.col(f"o{b}").alias("peer_object"), "seq", sources.alias("sources"))
+    clash = merge_clashes(evidence, edges).select("set_id", "s", "r", "k", "seq", "conflict_type")
+    so_far = clash.join(evidence.select(*KEY, F.col("seq").alias("_at"), "source"), KEY).where("_at <= seq").groupBy("set_id", "s", "r", "k", "seq", "conflict_type").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    merged = so_far.join(edges.select(*KEY, "o"), KEY).select("set_id", "s", "r", "o", "conflict_type", F.col("r").alias("peer_relation"), F.col("o").alias("peer_object"), "seq", "sources")
+    return one(1, 2).unionByName(one(2, 1)).unionByName(merged)
+
+
+def one_shot(evidence: DataFrame) -> DataFrame:
+    """Edges with status of each note alone: the same fold with the note as part of the set."""
+    alone = evidence.withColumn("_set", F.col("set_id")).withColumn("set_id", F.struct("_set", F.col("source").alias("note"))).drop("_set")
+    out = with_status(alone)
+    return out.select(F.col("set_id._set").alias("set_id"), F.col("set_id.note").alias("note"), "s", "r", "o", "polarity", "status", "first_seq")
 
 
 def heuristic_conflicts(triples: DataFrame) -> DataFrame:
@@ -118,3 +172,15 @@ def dedupe_objects(triples: DataFrame) -> DataFrame:
     best = group.orderBy(F.desc("n"), F.length("o"), F.lower("o"), "o")
     out = n.withColumn("_k", F.row_number().over(best)).withColumn("removed", F.count("*").over(group) - 1)
     return out.where("_k = 1").select("set_id", "s", "r", "o", "n", "removed")
+
+
+# Statuses by severity.
+SEVERITY = ("active", "weak", "uncertain")
+
+
+def display_edges(edges: DataFrame) -> DataFrame:
+    """Per (s, o) of edges(s, r, o, status): its relations in order, the most severe status, and how many edges."""
+    status = F.lower(F.trim(F.coalesce("status", F.lit(""))))
+    rank = F.when(status == "uncertain", 2).when(status == "weak", 1).otherwise(0)
+    out = edges.groupBy("s", "o").agg(F.array_join(F.sort_array(F.collect_set("r")), ",").alias("relations"), F.max(rank).alias("_k"), F.count("*").alias("n"))
+    return out.withColumn("status", F.get(F.array(*[F.lit(x) for x in SEVERITY]), "_k")).drop("_k")

@@ -86,3 +86,51 @@ def classification_report(pairs: DataFrame) -> DataFrame:
     d = gold.join(said, "label", "left").na.fill(0, ["said"])
     p, r = F.when(F.col("said") > 0, F.col("tp") / F.col("said")).otherwise(0.0), F.col("tp") / F.col("support")
     return d.select("label", F.col("support").alias("n"), p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
+def span_report(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """label, n, precision, recall, f1 of spans(doc, start, stop, label): a span is right if the other side has the same."""
+    key = ["doc", "start", "stop", "label"]
+    g, p = gold.select(*key).distinct(), predicted.select(*key).distinct()
+    tp = g.join(p, key).groupBy("label").agg(F.count("*").alias("tp"))
+    d = g.groupBy("label").agg(F.count("*").alias("n")).join(p.groupBy("label").agg(F.count("*").alias("said")), "label", "full").join(tp, "label", "left").na.fill(0, ["n", "said", "tp"])
+    precision, recall = F.when(F.col("said") > 0, F.col("tp") / F.col("said")).otherwise(0.0), F.when(F.col("n") > 0, F.col("tp") / F.col("n")).otherwise(0.0)
+    d = d.select("label", "n", precision.alias("precision"), recall.alias("recall"))
+    return d.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+
+
+def accuracy(pairs: DataFrame) -> DataFrame:
+    """n, accuracy, weighted_f1 (by support) of pairs(gold, predicted)."""
+    right = pairs.agg(F.count("*").alias("n"), F.avg((F.col("gold") == F.col("predicted")).cast("double")).alias("accuracy"))
+    f1 = classification_report(pairs).agg((F.sum(F.col("f1") * F.col("n")) / F.sum("n")).alias("weighted_f1"))
+    return right.join(F.broadcast(f1))  # a row each
+
+
+def oriented(rows: DataFrame) -> DataFrame:
+    """id, pos, s, r, o of an extractor's rows(id, pos, s, r, o, head_type, tail_type) in the question schema; distinct by text."""
+    d = rows.select("id", "pos", R.oriented_row(F.col("s"), F.col("r"), F.col("o"), F.col("head_type"), F.col("tail_type")).alias("t")).where("t is not null")
+    return d.groupBy("id", "t").agg(F.min("pos").alias("pos")).select("id", "pos", "t.s", "t.r", "t.o")
+
+
+def with_ids(triples: DataFrame, mapper: DataFrame) -> DataFrame:
+    """triples with both ends as the mapper's(key, cui) identifiers; ends without one pass through."""
+    out = triples
+    for end in ("s", "o"):
+        m = mapper.select(F.col("key").alias("_k"), F.col("cui").alias("_c"))
+        out = out.join(m, T.mapper_key(F.col(end)) == F.col("_k"), "left").withColumn(end, F.coalesce("_c", end)).drop("_k", "_c")
+    return out
+
+
+def scored_pairs(scores: DataFrame, least: float = 0.5, negatives: bool = False) -> DataFrame:
+    """Pairs of scores(doc, i, j, logit, label) whose sigmoid is `least` or more; negative labels only if asked for."""
+    p = 1 / (1 + F.exp(-F.col("logit")))
+    kept = scores.withColumn("probability", p).where(F.col("probability") >= least)
+    return kept if negatives else kept.where(R.head_label(F.col("label")).isNotNull())
+
+
+def or_else(extracted: DataFrame, entities: DataFrame) -> DataFrame:
+    """Triples(id, s, r, o), and for ids without any a "causes" triple of the first chemical and the first disease, if both are there."""
+    e = entities.select("id", "pos", "text", R.type_bucket(F.col("type")).alias("t"))
+    first = e.groupBy("id").agg(F.min_by("text", F.when(F.col("t") == "chemical", F.col("pos"))).alias("s"), F.min_by("text", F.when(F.col("t") == "disease", F.col("pos"))).alias("o"))
+    both = first.where("s is not null and o is not null").select("id", "s", F.lit("causes").alias("r"), "o")
+    return extracted.select("id", "s", "r", "o").unionByName(both.join(extracted.select("id").distinct(), "id", "left_anti"))

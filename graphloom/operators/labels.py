@@ -1,12 +1,10 @@
-"""Learning label -> relation maps, centroids and nearest centroids."""
+"""Learning label -> relation maps from counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vector as V
-
 # Keys that are never labels.
 STOP_KEYS = ("AND", "ARE", "AT", "FOR", "IN", "IS", "OF", "ON", "OR", "THE", "TO")
 
@@ -26,24 +24,20 @@ def argmax_map(pairs: DataFrame, ratio: float = 0.6, tie: str = "first_seq") ->
     return out.select("label", F.col("gold").alias("top"), "n", "total", "ratio", mapped.alias("mapped"))
 
 
+def argmax_lex(pairs: DataFrame) -> DataFrame:
+    """label, top, n, total: the first by name of the most frequent golds that say something, of plausible labels.
+
+    Where only unknown and the weak relation are most frequent, the first of these stands.
+    """
+    n = cooccurrence(pairs)
+    label = Window.partitionBy("label")
+    out = n.withColumn("total", F.sum("n").over(label)).withColumn("_m", F.max("n").over(label)).where("n = _m")
+    best = out.groupBy("label").agg(F.min(F.struct(F.col("gold").isin("unknown", "related_to").alias("dull"), "gold")).alias("b"), F.max("n").alias("n"), F.max("total").alias("total"))
+    best = best.where(plausible(F.col("label"), F.col("total")))
+    return best.select("label", F.col("b.gold").alias("top"), "n", "total")
+
+
 def plausible(key, n):
     """Whether a label is worth keeping, by its key and count."""
     bad = key.rlike("[<>\"'`]") | (F.length(key) > 56) | key.isin(*STOP_KEYS)
     return key.rlike("^LABEL_[0-9]+$") | ((n >= 2) & ~bad)
-
-
-def centroids(vectors: DataFrame, group: str) -> DataFrame:
-    """group, n, centroid: the mean vector. Summed by position, so a hot group meets no single task."""
-    parts = vectors.select(F.col(group).alias("_g"), F.posexplode("embedding").alias("pos", "x"))
-    mean = parts.groupBy("_g", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    out = mean.groupBy("_g").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("centroid"))
-    return out.withColumnRenamed("_g", group)
-
-
-def nearest(vectors: DataFrame, centres: DataFrame, group: str) -> DataFrame:
-    """vec_id, nearest, distance: the closest of a few centres, ties to the smaller; centres go to every row as one array."""
-    few = [tuple(r) for r in centres.select(group, "centroid").orderBy(group).limit(1024).collect()]  # centres of relations: a few
-    table = F.array(*[F.struct(F.lit(g).alias("g"), F.array(*[F.lit(x) for x in c]).alias("c")) for g, c in few])
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    scored = F.array_min(F.transform(table, lambda t: F.struct(F.sqrt(V.distance_squared(e, t["c"])).alias("d"), t["g"].alias("g"))))
-    return vectors.withColumn("_b", scored).select("vec_id", F.col("_b.g").alias("nearest"), F.col("_b.d").alias("distance"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import relation as R
 from ..functions import text as T
+from ..functions import vector as V
 
 
 def ranked_lookup(graph: DataFrame, questions: DataFrame) -> DataFrame:
@@ -51,13 +53,115 @@ def expand_aliases(graph: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def retrieve(questions: DataFrame, lines: DataFrame, k: int = 10) -> DataFrame:
-    """q_id, line_id, score, rank: the k lines with most words of the question; an inverted index, not all pairs.
+#: Least similarity of a semantic hit and of an exact one; lines given to a model.
+RECALL_AT, EXACT_AT, LINES = 0.75, 0.90, 100
 
-    Words are distinct per question and line; lines that share none score 0 and are not returned. Ties to the smaller id.
+
+def similar(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
+    """candidates(q_id, rank, answer, gold) with `similarity`: 1 for one entity, else the cosine of their vectors(surface, embedding).
+
+    Missing vectors and empty texts are 0 apart. Each distinct pair of texts is compared once.
+    """
+    pairs = candidates.select("answer", "gold").distinct()
+    v = vectors.select(F.col("surface").alias("_s"), F.col("embedding").alias("_e")).dropDuplicates(["_s"])
+    told = pairs.join(v.withColumnRenamed("_e", "_a"), F.trim("answer") == F.col("_s"), "left").drop("_s")
+    told = told.join(v.withColumnRenamed("_e", "_g"), F.trim("gold") == F.col("_s"), "left").drop("_s")
+    empty = (F.trim(F.coalesce("answer", F.lit(""))) == "") | (F.trim(F.coalesce("gold", F.lit(""))) == "")
+    same = T.qa_entity(F.col("answer")) == T.qa_entity(F.col("gold"))
+    told = told.select("answer", "gold", F.when(empty, 0.0).when(same, 1.0).otherwise(V.cosine(F.col("_a"), F.col("_g"))).alias("similarity"))
+    return candidates.join(told, (candidates["answer"].eqNullSafe(told["answer"])) & (candidates["gold"].eqNullSafe(told["gold"]))).select(candidates["*"], "similarity")
+
+
+def valid(questions: DataFrame) -> DataFrame:
+    """questions with `error` where not exactly one of s and o is asked for."""
+    return questions.withColumn("error", F.when((F.col("s") == "?") == (F.col("o") == "?"), "exactly one of subject and object must be ?"))
+
+
+def scored(ranked: DataFrame, questions: DataFrame, vectors: DataFrame, recall_at: float = RECALL_AT, exact_at: float = EXACT_AT) -> DataFrame:
+    """A row for every question(q_id, s, o, answer): error, n_candidates, best, exact, hit, top1, rr; all null with an error."""
+    q = valid(questions).select("q_id", "error", F.col("answer").alias("gold"))
+    told = similar(ranked.join(q.select("q_id", "gold"), "q_id").select("q_id", "rank", "answer", "gold"), vectors)
+    sums = told.groupBy("q_id").agg(
+        F.count("*").alias("n"), F.max("similarity").alias("best"), F.max(F.when(F.col("rank") == 1, F.col("similarity"))).alias("first"),
+        F.min(F.when(F.col("similarity") >= exact_at, F.col("rank"))).alias("at"),
+    )
+    out = q.join(sums, "q_id", "left")
+    ok = lambda c: F.when(F.col("error").isNull(), c)
+    best = F.coalesce("best", F.lit(0.0))
+    return out.select(
+        "q_id", "error", ok(F.coalesce("n", F.lit(0))).alias("n_candidates"), ok(best).alias("best"), ok(best >= exact_at).alias("exact"), ok(best >= recall_at).alias("hit"),
+        ok(F.coalesce("first", F.lit(0.0)) >= exact_at).alias("top1"), ok(F.coalesce(1 / F.col("at"), F.lit(0.0))).alias("rr"),
+    )
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """n, exact, hit, top1, mrr over the questions without an error; zeros for none."""
+    share = lambda c, name: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(name)
+    return rows.where("error is null").agg(F.count("*").alias("n"), share("exact", "exact"), share("hit", "hit"), share("top1", "top1"), share("rr", "mrr"))
+
+
+def misses(rows: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
+    """The first k questions without a hit, and the edge that the graph lacks: q_id, s, r, o."""
+    q = questions.select("q_id", "s", F.col("relations")[0].alias("r"), "o", "answer")
+    lost = rows.where("error is null and not hit").select("q_id").join(q, "q_id").orderBy("q_id").limit(k)
+    fill = lambda c: F.when(F.col(c) == "?", F.col("answer")).otherwise(F.col(c)).alias(c)
+    return lost.select("q_id", fill("s"), "r", fill("o"))
+
+
+def qa_graph(engine: DataFrame, aligned: DataFrame, policy: str = "union") -> DataFrame:
+    """Sorted distinct triples to ask: the engine's, the aligned ones, or both (any other policy is both)."""
+    e, a = engine.select("s", "r", "o"), aligned.select("s", "r", "o")
+    graph = {"engine": e, "aligned_union": a}.get(policy, e.unionByName(a))
+    return graph.distinct().orderBy("s", "r", "o")
+
+
+def retrieve(questions: DataFrame, lines: DataFrame, k: int = LINES, anchor_points: int = 4) -> DataFrame:
+    """q_id, line_id, score, rank: the k best lines(line_id, text) for each of questions(q_id, anchors).
+
+    A line scores a point for each distinct word that the anchors hold, and anchor_points for each anchor of more than
+    two characters that it contains, letters' case aside; null, empty and "?" anchors are none. Ties go to the smaller id.
+    Lines that score nothing are not returned. Words meet in an inverted index. An anchor can only lie in a line that
+    holds its rarest run of three characters, so anchors meet lines by that run, and are then looked for.
     """
-    q = questions.select("q_id", F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("w"))
-    d = lines.select("line_id", F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("w"))
-    hits = d.join(q, "w").groupBy("q_id", "line_id").agg(F.count("*").alias("score"))
+    usable = F.filter(F.transform("anchors", lambda x: F.lower(F.trim(x))), lambda x: (x != "") & (x != "?") & x.isNotNull())
+    q = questions.select("q_id", usable.alias("anchors"))
+    low = lines.select("line_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    word = q.select("q_id", F.explode(T.overlap_words(F.array_join("anchors", " "))).alias("w"))
+    d = low.select("line_id", F.explode(T.overlap_words(F.col("text"))).alias("w"))
+    points = d.join(word, "w").select("q_id", "line_id", F.lit(1).alias("p"))
+
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))
+    a = q.select("q_id", F.posexplode("anchors").alias("at", "a")).where(F.length("a") > 2)
+    held = low.where(F.length("text") > 2).select("line_id", "text", F.explode(runs(F.col("text"))).alias("g"))
+    often = held.groupBy("g").agg(F.count("*").alias("n"))
+    distinct = a.select("a").distinct()
+    rare = distinct.select("a", F.explode(runs(F.col("a"))).alias("g")).join(often, "g", "left")
+    rare = rare.groupBy("a").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("g"))
+    inside = held.join(rare, "g").where(F.col("text").contains(F.col("a"))).select("a", "line_id")
+    points = points.unionAll(a.join(inside, "a").select("q_id", "line_id", F.lit(anchor_points).alias("p")))
+    hits = points.groupBy("q_id", "line_id").agg(F.sum("p").alias("score"))
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "line_id")
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def prompt(lines: DataFrame, retrieved: DataFrame, questions: DataFrame) -> DataFrame:
+    """q_id, prompt: the question under its retrieved lines, in order of rank; for a model's hook (extract.with_model's kind)."""
+    told = retrieved.join(lines.select("line_id", "text"), "line_id").groupBy("q_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("_l"))
+    out = questions.join(told, "q_id", "left")
+    return out.select("q_id", F.concat(F.lit("Facts:\n"), F.coalesce("_l", F.lit("")), F.lit("\nQuestion: "), F.col("question"), F.lit("\nAnswer with one name.")).alias("prompt"))
+
+
+def aligned_questions(facts: DataFrame, label_map: DataFrame, limit: int | None = None) -> DataFrame:
+    """q_id, question, s, relations, o, answer: two questions of each fact(set_id, fact) that parses, in order of sets.
+
+    relations: the fact's, and the label map's keys for it as aliases, sorted. limit: how many questions at most.
+    """
+    d = facts.select("set_id", R.parse_fact(F.col("fact")).alias("p")).where("p is not null").select("set_id", "p.s", "p.r", "p.o")
+    alias = label_map.groupBy(F.col("relation").alias("_r")).agg(F.array_sort(F.collect_set("key")).alias("_a"))
+    d = d.join(alias, F.col("r") == F.col("_r"), "left")
+    d = d.select("set_id", "s", "r", "o", F.concat(F.array("r"), F.coalesce("_a", F.array().cast("array<string>"))).alias("relations"), F.posexplode(R.questions(F.col("s"), F.col("r"), F.col("o"))).alias("pos", "question"))
+    out = d.select(
+        (F.col("set_id") * 2 + F.col("pos")).cast("long").alias("q_id"), "question", F.when(F.col("pos") == 0, F.col("s")).otherwise("?").alias("s"), "relations",
+        F.when(F.col("pos") == 0, F.lit("?")).otherwise(F.col("o")).alias("o"), F.when(F.col("pos") == 0, F.col("o")).otherwise(F.col("s")).alias("answer"),
+    )
+    return out if limit is None else out.orderBy("q_id").limit(limit)

@@ -33,7 +33,61 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def registry_merge(vectors: DataFrame, group: str, merge_at: float = 0.88) -> DataFrame:
+#: Similarities of the registry: one entity, one entity with the same headword, worth a note.
+MERGE_AT, HEAD_AT, NOTED_AT = 0.88, 0.65, (0.65, 0.88)
+MERGED = "seq long, entity string, representative string, similarity double, reason string, near string"
+
+
+def registry(mentions: DataFrame, merge_at: float = MERGE_AT, head_at: float = HEAD_AT, containment: bool = False, noted: tuple[float, float] = NOTED_AT) -> DataFrame:
+    """Representatives of mentions(set_id, seq, entity, surface, head, embedding) as they arrive: MERGED's columns and set_id.
+
+    An entity joins the most similar representative (the first by name on a tie) if the similarity is merge_at or more,
+    if one surface holds the other's words (with `containment`), or if their headwords agree and it is head_at or more;
+    else it is new. One surface is similarity 1, a missing vector 0. `near` names a representative that was similar
+    within `noted` but not joined. What each mention finds depends on those before it, so a set is folded alone, once
+    for each distinct entity; memory is the set's representatives. Empty entities join nothing.
+    """
+    import pandas as pd
+
+    def fold(pdf):
+        pdf = pdf.sort_values("seq", kind="stable")
+        names, heads, surfaces, vectors, told, out = [], [], [], [], {}, []
+        width = max((len(e) for e in pdf["embedding"] if e is not None), default=1)
+        for row in pdf.itertuples():
+            name = (row.entity or "").strip()
+            if not name:
+                continue
+            if name not in told:
+                v = np.zeros(width) if row.embedding is None else np.asarray(row.embedding, np.float64)
+                n = np.linalg.norm(v)
+                v = v / n if n > 1e-12 else v * 0
+                sims = np.array(vectors) @ v if vectors else np.zeros(0)
+                for i, x in enumerate(surfaces):
+                    if x and x == row.surface:
+                        sims[i] = 1.0
+                best = min(range(len(names)), key=lambda i: (-sims[i], names[i]), default=None)
+                answer = (name, None, "new", None)
+                if best is not None:
+                    sim, words, own = float(sims[best]), set((surfaces[best] or "").split()), set((row.surface or "").split())
+                    why = (
+                        "similar" if sim >= merge_at else "contained" if containment and words and own and (words <= own or own <= words)
+                        else "headword" if row.head and row.head == heads[best] and sim >= head_at else None
+                    )
+                    answer = (names[best], sim, why, None) if why else (name, sim, "new", names[best] if noted[0] <= sim < noted[1] else None)
+                told[name] = answer
+                if answer[2] == "new":
+                    names.append(name)
+                    heads.append(row.head)
+                    surfaces.append(row.surface)
+                    vectors.append(v)
+            out.append((row.set_id, row.seq, name, *told[name]))
+        return pd.DataFrame(out, columns=["set_id", "seq", "entity", "representative", "similarity", "reason", "near"])
+
+    kind = dict(mentions.dtypes)["set_id"]
+    return mentions.select("set_id", "seq", "entity", "surface", "head", "embedding").groupBy("set_id").applyInPandas(fold, f"set_id {kind}, {MERGED}")
+
+
+def registry_merge(vectors: DataFrame, group: str, merge_at: float = MERGE_AT) -> DataFrame:
     """vec_id, representative: vectors arrive in id order and join the most similar representative at merge_at or more.
 
     The order matters, so each group is folded alone; memory is the group's representatives.
@@ -59,38 +113,113 @@ def registry_merge(vectors: DataFrame, group: str, merge_at: float = 0.88) -> Da
     return rows.groupBy(group).applyInPandas(fold, "vec_id long, representative long")
 
 
-def agglomerative(vectors: DataFrame, group: str, threshold: float = 0.75, block: int = 512) -> DataFrame:
+def record_surfaces(aligned: DataFrame) -> DataFrame:
+    """canonical, surface, seq: the six surfaces of each kept edge(seq, s, o, raw_s, raw_o, pre_s, pre_o), empty ones left out."""
+    pair = lambda c, x: F.struct(F.col(c).alias("canonical"), F.trim(F.coalesce(F.col(x), F.lit(""))).alias("surface"))
+    out = aligned.select("seq", F.explode(F.array(*[pair(e, x.format(e)) for e in ("s", "o") for x in ("raw_{}", "pre_{}", "{}")])).alias("x"))
+    return out.select("x.canonical", "x.surface", "seq").where("surface <> ''")
+
+
+def alias_registry(aligned: DataFrame) -> DataFrame:
+    """canonical, surface: every recorded surface and its lower case."""
+    r = record_surfaces(aligned)
+    return r.select("canonical", F.explode(F.array("surface", F.lower("surface"))).alias("surface")).distinct()
+
+
+def exported_mapping(merged: DataFrame) -> DataFrame:
+    """set_id, representative, n_mentions, n_surfaces, preferred (most frequent, then last), n_near of a registry's rows."""
+    n = merged.groupBy("set_id", "representative", "entity").agg(F.count("*").alias("n"), F.max("seq").alias("last"), F.count("near").alias("near"))
+    return n.groupBy("set_id", "representative").agg(
+        F.sum("n").alias("n_mentions"), F.count("*").alias("n_surfaces"), F.max_by("entity", F.struct("n", "last")).alias("preferred"), F.sum("near").alias("n_near")
+    )
+
+
+#: Vectors of a block of the pairwise comparison.
+BLOCK = 1024
+
+
+def _unit(lists) -> np.ndarray:
+    x = np.stack(list(lists)).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def similar_links(vectors: DataFrame, group: str, threshold: float) -> DataFrame:
+    """(a, b) of vec_ids that join what cosines of `threshold` or more connect within a group: a star for each block pair."""
+
+    def stars(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x = pdf["vec_id"].to_numpy(), _unit(pdf["embedding"])
+        hit = x @ x.T >= threshold - 1e-12
+        root = np.arange(len(ids))
+        while True:
+            low = np.minimum(root, np.where(hit, root[None, :], len(ids)).min(axis=1))
+            if (low == root).all():
+                break
+            root = low[low]
+        some = root != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[some], "b": ids[root[some]]})
+
+    rows = vectors.select("vec_id", "embedding", group)
+    n = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    rows = rows.join(n, group).withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.col("_n")))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    rows = rows.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+    return rows.groupBy(group, "_i", "_j").applyInPandas(stars, "a long, b long")
+
+
+def agglomerative(vectors: DataFrame, group: str, threshold: float = 0.75) -> DataFrame:
     """vec_id, cluster: average linkage by cosine within each group, merged while the mean similarity is at threshold.
 
-    Groups stand for sets of tens of labels; larger ones are dealt in hashed blocks, so that the quadratic matrix of a
-    task stays bounded.
+    A mean at the threshold needs a pair at it, so no cluster crosses the components that such pairs form: these are
+    found first, pair blocks by pair blocks, and each component is clustered whole, in one task. A cluster is named by
+    its smallest vec_id. Null vectors are left out.
     """
 
     def linkage(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
-        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x = _unit(pdf["embedding"])
         sim = x @ x.T
         np.fill_diagonal(sim, -np.inf)
-        size, home, alive = np.ones(len(x)), np.arange(len(x)), np.ones(len(x), bool)
-        while alive.sum() > 1:
+        size, home, alive = np.ones(len(x)), np.arange(len(x)), len(x)
+        while alive > 1:
             i, j = np.unravel_index(int(sim.argmax()), sim.shape)
-            if sim[i, j] < threshold:
+            if sim[i, j] < threshold - 1e-12:
                 break
             i, j = min(i, j), max(i, j)
             row = (sim[i] * size[i] + sim[j] * size[j]) / (size[i] + size[j])
             sim[i], sim[:, i] = row, row
             sim[j], sim[:, j], sim[i, i] = -np.inf, -np.inf, -np.inf
             size[i] += size[j]
-            alive[j] = False
+            alive -= 1
             home[home == j] = i
         ids = pdf["vec_id"].to_numpy()
         return pd.DataFrame({"vec_id": ids, "cluster": ids[home]})
 
     rows = vectors.where("embedding is not null").select("vec_id", "embedding", group)
-    n = rows.groupBy(group).agg(F.ceil(F.count("*") / block).alias("_n"))
-    rows = rows.join(n, group).withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.col("_n")))
-    return rows.groupBy(group, "_b").applyInPandas(lambda pdf: linkage(pdf), "vec_id long, cluster long")
+    links = stage(similar_links(rows, group, threshold))
+    whole = rows.join(components(links).withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    alone = whole.where("component is null").select("vec_id", F.col("vec_id").alias("cluster"))
+    return whole.where("component is not null").select("vec_id", "embedding", "component").groupBy("component").applyInPandas(linkage, "vec_id long, cluster long").unionByName(alone)
+
+
+def named_clusters(members: DataFrame, longest: bool = False) -> DataFrame:
+    """members(cluster, name) with `representative`: the shortest name, then the first by lower case; or the longest, then the last."""
+    key = F.struct(F.length("name"), F.col("name")) if longest else F.struct(F.length("name"), F.lower("name"), F.col("name"))
+    best = members.groupBy("cluster").agg((F.max_by if longest else F.min_by)("name", key).alias("representative"))
+    return members.join(best, "cluster")
+
+
+def remap(triples: DataFrame, mapping: DataFrame) -> DataFrame:
+    """triples with both ends replaced by mapping(name, representative), trimmed; ends without an entry stay."""
+    out = triples
+    for end in ("s", "o"):
+        m = mapping.select(F.col("name").alias("_n"), F.col("representative").alias("_r"))
+        out = out.join(m, F.trim(end) == F.col("_n"), "left").withColumn(end, F.trim(F.coalesce("_r", end))).drop("_n", "_r")
+    return out
+
+
+def unique_strings(rows: DataFrame) -> DataFrame:
+    """x, seq: distinct trimmed, non-empty texts of rows(x, seq), each where it first occurs."""
+    return rows.select(F.trim("x").alias("x"), "seq").where("x <> ''").groupBy("x").agg(F.min("seq").alias("seq"))
 
 
 @F.pandas_udf(DoubleType())
@@ -99,34 +228,66 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def fuzzy_match(terms: DataFrame, vocabulary: DataFrame, least: float = 0.82) -> DataFrame:
-    """term, match, score: the vocabulary's best term by word Jaccard or sequence ratio, from least on; first on a tie.
+    """term, match, score: the vocabulary's best term by word Jaccard or sequence ratio, from `least` on; first on a tie.
 
-    Candidates share a word's first three letters; only these pairs are compared.
+    No pair is missed. At that ratio at most d = (1 - least) * (both lengths) characters do not match, so of d + 1
+    pieces of the vocabulary's term one lies whole in the other term, at most d places away. At that Jaccard similarity
+    two terms share one of the first words in order. Only such pairs are compared.
     """
-    key = F.explode(F.array_distinct(F.transform(T.content_tokens(F.col("term")), lambda w: F.substring(w, 1, 3))))
-    a = terms.select("term").distinct().withColumn("k", key)
-    b = vocabulary.select("term").distinct().withColumn("k", key).withColumnRenamed("term", "match")
-    pairs = a.join(b, "k").select("term", "match").distinct()
+    slack = (1 - least) + 1e-9
+    a, b = terms.select("term").distinct(), vocabulary.select(F.col("term").alias("match")).distinct()
+    b = b.withColumn("lb", F.length("match")).withColumn("d", F.floor(F.col("lb") * slack * (1 + (2 - least) / least)).cast("int"))
+    cut = lambda i: F.floor(i * F.col("lb") / (F.col("d") + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.struct(cut(i).alias("at"), F.substr("match", cut(i) + 1, cut(i + 1) - cut(i)).alias("x")))
+    b = b.where("lb > 0").select("match", "lb", F.explode(F.filter(pieces, lambda p: F.length(p["x"]) > 0)).alias("p")).select("match", "lb", F.col("p.at").alias("pb"), F.col("p.x").alias("x"))
+    sizes = [r[0] for r in b.select(F.length("x")).distinct().collect()]  # lengths of pieces: a few
+    grams = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.length("term") - n, F.lit(0))), lambda i: F.struct(i.alias("at"), F.substr("term", i + 1, F.lit(n)).alias("x")))
+    a = a.withColumn("la", F.length("term")).where("la > 0")
+    all_grams = F.concat(*[grams(n) for n in sizes]) if sizes else F.array().cast("array<struct<at:int,x:string>>")
+    a = a.select("term", "la", F.explode(all_grams).alias("p")).select("term", "la", F.col("p.at").alias("pa"), F.col("p.x").alias("x"))
+    far = (F.col("la") + F.col("lb")) * slack
+    near = a.join(b, "x").where((F.abs(F.col("la") - F.col("lb")) <= far) & (F.abs(F.col("pa") - F.col("pb")) <= far)).select("term", "match")
+
+    def first_words(df: DataFrame, c: str) -> DataFrame:
+        w = F.array_sort(F.array_distinct(T.content_tokens(F.col(c))))
+        n = F.size(w)
+        return df.select(c).distinct().withColumn("w", F.explode(F.slice(w, 1, F.greatest(n - F.ceil(n * least - 1e-9) + 1, F.lit(0)).cast("int"))))
+
+    shared = first_words(terms.select("term"), "term").join(first_words(vocabulary.select(F.col("term").alias("match")), "match"), "w").select("term", "match")
+    pairs = near.unionAll(shared).distinct()
     x, y = T.content_tokens(F.col("term")), T.content_tokens(F.col("match"))
-    words = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    words = F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
     scored = pairs.withColumn("score", F.greatest(words, ratio("term", "match"))).where(F.col("score") >= least)
     w = Window.partitionBy("term").orderBy(F.desc("score"), "match")
     return scored.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("term", "match", F.round("score", 6).alias("score"))
 
 
-def sentence_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, start, stop of sentences cut after [.!?] and white space, exact offsets in the text."""
-    cut = F.split("text", "(?<=[.!?])\\s+")
-    gap = F.regexp_extract_all("text", F.lit("(?<=[.!?])\\s+"), F.lit(0))
+GAP = "(?<=[.!?])\\s+|\\n+"
+
+
+def sentence_spans(docs: DataFrame, least: int = 0) -> DataFrame:
+    """doc_id, pos, start, stop of sentences cut after [.!?] and white space or at line feeds, exact offsets in the text.
+
+    Blank pieces are no sentences, nor are those of fewer than `least` characters; pos counts those that are.
+    """
+    cut = F.split("text", GAP, -1)
+    gap = F.regexp_extract_all("text", F.lit(GAP), F.lit(0))
     step = lambda a, x: F.struct(
         (a["at"] + F.length(x["c"]) + F.length(F.coalesce(x["g"], F.lit("")))).alias("at"),
-        F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x["c"])).alias("stop")))).alias("out"),
+        F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x["c"])).alias("stop"), ((F.trim(x["c"]) != "") & (F.length(F.trim(x["c"])) >= least)).alias("ok")))).alias("out"),
     )
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
-    spans = F.aggregate(F.arrays_zip(cut.alias("c"), gap.alias("g")), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    empty = F.array().cast("array<struct<start:int,stop:int,ok:boolean>>")
+    spans = F.filter(F.aggregate(F.arrays_zip(cut.alias("c"), gap.alias("g")), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"], lambda x: x["ok"])
     return docs.where("text is not null").select("doc_id", F.posexplode(spans).alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), "x.start", "x.stop")
 
 
+def sentence_statistics(spans: DataFrame, mentions: DataFrame) -> DataFrame:
+    """n_sentences, n_with_entities, n_entities, chars over sentences(doc_id, pos, start, stop) and the mentions in them."""
+    held = contained(mentions, spans).groupBy("doc_id", "pos").agg(F.count("*").alias("e"))
+    d = spans.join(held, ["doc_id", "pos"], "left")
+    return d.agg(F.count("*").alias("n_sentences"), F.count("e").alias("n_with_entities"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_entities"), F.sum(F.col("stop") - F.col("start")).cast("long").alias("chars"))
+
+
 def contained(mentions: DataFrame, spans: DataFrame) -> DataFrame:
     """Mentions(doc_id, start, stop) with the sentence that holds them whole; offsets are of the sentence."""
     s = spans.select("doc_id", "pos", F.col("start").alias("s0"), F.col("stop").alias("s1"))
@@ -134,9 +295,20 @@ def contained(mentions: DataFrame, spans: DataFrame) -> DataFrame:
     return hit.select("doc_id", "pos", (F.col("start") - F.col("s0")).alias("start"), (F.col("stop") - F.col("s0")).alias("stop"))
 
 
+def mentions_of(docs: DataFrame, needle: str) -> DataFrame:
+    """doc_id, start, stop of all places of a plain text in the documents, none overlapping."""
+    parts = F.split("text", "\\Q" + needle + "\\E", -1)
+    n = len(needle)
+    starts = F.aggregate(
+        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda a, x: F.struct((a["at"] + F.length(x) + n).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(x))).alias("out")),
+    )["out"]
+    return docs.where("text is not null").select("doc_id", F.explode(starts).alias("start")).withColumn("stop", F.col("start") + n)
+
+
 def mentions_in_sentences(docs: DataFrame, needle: str) -> DataFrame:
-    m = docs.select("doc_id", T.first_span(F.col("text"), F.lit(needle)).alias("m")).where("m is not null").select("doc_id", "m.start", F.col("m.end").alias("stop"))
-    found = contained(m, sentence_spans(docs))
+    """doc_id, pos, start, stop: all mentions that a sentence holds whole, offsets in the sentence."""
+    found = contained(mentions_of(docs, needle), sentence_spans(docs))
     return found.select("doc_id", "pos", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 

@@ -94,3 +94,84 @@ def report(df: DataFrame, value: str) -> DataFrame:
     row = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.when(F.count(value) > 0, sd).alias("sd"))
     half = F.when(F.col("n") > 1, student_t95(F.col("n")) * F.col("sd") / F.sqrt("n")).otherwise(F.when(F.col("n") == 1, F.lit(0.0)))
     return row.withColumn("ci_lower", F.col("mean") - half).withColumn("ci_upper", F.col("mean") + half)
+
+
+def pairwise(triples: DataFrame, weak: bool = False) -> DataFrame:
+    """set_id, ged, jaccard: arrays over the pairs of notes in order; [0.0] and [1.0] for a set of fewer than two notes."""
+    pairs = note_pairs(triples, weak).groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("i", "j", F.col("ged").cast("double").alias("ged"), "jaccard"))).alias("p"))
+    out = triples.select("set_id").distinct().join(pairs, "set_id", "left")
+    one = lambda c, empty: F.coalesce(F.transform("p", lambda x: x[c]), F.array(F.lit(empty))).alias(c)
+    return out.select("set_id", one("ged", 0.0), one("jaccard", 1.0))
+
+
+def matrix(triples: DataFrame, weak: bool = False) -> DataFrame:
+    """set_id, i, j, ged, jaccard of all ordered pairs of notes, each with itself, too: a row a cell.
+
+    Where all of a set's notes are empty there is nothing to compare: its cells off the diagonal are null.
+    """
+    g = note_graphs(triples, weak)
+    some = g.groupBy("set_id").agg(F.max(F.size("g")).alias("most"))
+    pairs = note_pairs(triples, weak).join(some, "set_id")
+    told = F.col("most") > 0
+    cells = pairs.select("set_id", "i", "j", F.when(told, F.col("ged").cast("double")).alias("ged"), F.when(told, F.col("jaccard")).alias("jaccard"))
+    turned = cells.select("set_id", F.col("j").alias("i"), F.col("i").alias("j"), "ged", "jaccard")
+    own = g.select("set_id", F.col("note").alias("i"), F.col("note").alias("j"), F.lit(0.0).alias("ged"), F.lit(1.0).alias("jaccard"))
+    return cells.unionByName(turned).unionByName(own)
+
+
+def against_others(cells: DataFrame) -> DataFrame:
+    """set_id, note, mean_ged, mean_jaccard of each note with all others: the matrix's row means without the diagonal."""
+    off = cells.where("i <> j")
+    return off.groupBy("set_id", F.col("i").alias("note")).agg(F.avg("ged").alias("mean_ged"), F.avg("jaccard").alias("mean_jaccard"))
+
+
+def conflict_precision(conflicts: DataFrame, genuine: Column | None = None) -> Column:
+    """Share of conflicts that are genuine (all, unless told); 1 where there are none. An aggregate for conflicts' rows."""
+    return F.coalesce(F.avg((F.lit(True) if genuine is None else genuine).cast("double")), F.lit(1.0))
+
+
+def orders(notes: DataFrame, runs: int = 10, seed: int = 42) -> DataFrame:
+    """set_id, run, step, note: `runs` keyed shuffles of each set's notes(set_id, note)."""
+    keyed = notes.select("set_id", "note").distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), "run", "set_id", "note"))
+    step = F.row_number().over(Window.partitionBy("set_id", "run").orderBy(key, "note")) - 1
+    return keyed.withColumn("step", step).select("set_id", "run", "step", "note")
+
+
+def simulate(triples: DataFrame, runs: int = 10, seed: int = 42) -> DataFrame:
+    """set_id, run, step, ged, jaccard, conflicts: each step shows the next note's graph, compared with the one before.
+
+    ged and jaccard are null at step 0. conflicts: unordered pairs of relations that one subject and object has in the
+    note. A note's graph and conflicts are made once, however many runs show it.
+    """
+    g = note_graphs(triples, weak=True)
+    t = triples.select("set_id", "note", "s", "r", "o").distinct()
+    per = t.groupBy("set_id", "note", "s", "o").agg(F.count("*").alias("n")).groupBy("set_id", "note").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("conflicts"))
+    shown = orders(triples, runs, seed).join(g, ["set_id", "note"]).join(per, ["set_id", "note"])
+    before = F.lag("g").over(Window.partitionBy("set_id", "run").orderBy("step"))
+    shown = shown.withColumn("_b", before)
+    return shown.select("set_id", "run", "step", edit_distance(F.col("_b"), F.col("g")).alias("ged"), F.when(F.col("_b").isNotNull(), jaccard(F.col("_b"), F.col("g"))).alias("jaccard"), "conflicts")
+
+
+def t_probability(t: Column, df: Column, steps: int = 2000) -> Column:
+    """Two-sided probability of Student's t: a Simpson sum of cos(x) ** (df - 1) up to atan(t / sqrt(df)) over that up to pi / 2."""
+
+    def integral(top: Column) -> Column:
+        h = top / steps
+        weight = lambda i: F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda a, i: a + weight(i) * F.pow(F.greatest(F.cos(h * i), F.lit(0.0)), df - 1)) * h / 3
+
+    return 1.0 - integral(F.atan(F.abs(t) / F.sqrt(df))) / integral(F.lit(1.5707963267948966))
+
+
+def paired_t(pairs: DataFrame, by: str = "metric") -> DataFrame:
+    """metric, n, t, p of pairs(metric, a, b): Student's test of the differences; t and p are null below two pairs or without spread."""
+    d = F.col("a") - F.col("b")
+    row = pairs.where("a is not null and b is not null").groupBy(by).agg(F.count("*").alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("sd"))
+    t = F.when(F.col("sd") > 0, F.col("m") / (F.col("sd") / F.sqrt("n")))
+    return row.withColumn("t", t).select(by, "n", "t", F.when(F.col("t").isNotNull(), t_probability(F.col("t"), (F.col("n") - 1).cast("double"))).alias("p"))
+
+
+def as_set(triples: DataFrame, s: Column, o: Column) -> DataFrame:
+    """Distinct triples by normalised ends and trimmed relation; triples with an empty end go."""
+    return triples.select("set_id", s.alias("s"), F.trim("r").alias("r"), o.alias("o")).where("s <> '' and o <> ''").distinct()

@@ -141,7 +141,7 @@ SQL = {
     "edge_status_counts": f"WITH {TV}, {EV}, {CLASH.format(ev='ev')} SELECT r, status, count(*) AS n FROM ({STATUS}) GROUP BY ALL",
     "update_log": f"""WITH {TV}, {EV}, n AS (SELECT set_id, source, count(*) AS n, min(seq) AS first_at FROM ev GROUP BY ALL), ad AS (SELECT set_id, first_source AS source, count(*) AS added FROM ed GROUP BY ALL),
       c AS (SELECT b.set_id, b.first_source AS source, count(*) AS conflicts FROM ed a JOIN ed b ON a.set_id = b.set_id AND a.s = b.s AND a.first_seq < b.first_seq AND ((a.o = b.o AND a.r <> b.r) OR (a.r = b.r AND a.o <> b.o)) GROUP BY ALL)
-      SELECT set_id, source, coalesce(added, 0) AS added, n - coalesce(added, 0) AS merged, coalesce(conflicts, 0) AS conflicts,
+      SELECT set_id, source, coalesce(added, 0) AS added, n - coalesce(added, 0) AS merged, coalesce(conflicts, 0) AS conflicts, coalesce(conflicts, 0) AS uncertain,
         CAST(sum(coalesce(added, 0)) OVER (PARTITION BY set_id ORDER BY first_at) AS BIGINT) AS num_edges FROM n LEFT JOIN ad USING (set_id, source) LEFT JOIN c USING (set_id, source)""",
     "heuristic_conflicts": f"WITH {LI}, t AS (SELECT DISTINCT set_id, s, r, o FROM li) SELECT a.set_id, a.s, a.o, a.r AS r1, b.r AS r2 FROM t a JOIN t b ON a.set_id = b.set_id AND a.s = b.s AND a.o = b.o AND a.r < b.r",
     "collapse_max_conf": f"WITH {LI} SELECT set_id, s, r, o, polarity, seq, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY set_id, s, r, o, polarity ORDER BY confidence DESC, seq) AS k FROM li) WHERE k = 1",
@@ -153,7 +153,8 @@ SQL = {
       UNION ALL SELECT 'only_second', count(*) FROM (FROM b EXCEPT FROM a) UNION ALL SELECT 'both', count(*) FROM (FROM a INTERSECT FROM b)""",
     "cooccurrence": f"WITH {LABELS} SELECT label, gold, n, first_seq FROM n",
     "label_argmax_map": f"WITH {LABELS}{ARGMAX.format(tie='first_seq', least=0.6)}",
-    "label_argmax_lex": f"WITH {LABELS}{ARGMAX.format(tie='gold', least=0.0)}",
+    "label_argmax_lex": f"""WITH {LABELS}, t AS (SELECT *, sum(n) OVER (PARTITION BY label) AS total, row_number() OVER (PARTITION BY label ORDER BY n DESC, gold) AS k FROM n)
+      SELECT label, gold AS top, n, CAST(total AS BIGINT) AS total FROM t WHERE k = 1 AND total >= 2""",
     "surface_normalize": f"WITH t AS (SELECT doc_id, {SURFACE} AS t FROM documents) SELECT doc_id, md5(CASE WHEN contains(t, 'bleeding') AND (contains(t, 'stomach') OR contains(t, 'gastric')) THEN 'gastric bleeding' ELSE t END) AS surface FROM t",
     "sentence_split": """WITH t AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?]\\s+'), lambda x: trim(x)) AS p FROM documents),
       f AS (SELECT doc_id, list_filter(p, lambda x: x <> '') AS p FROM t)
@@ -192,9 +193,6 @@ SQL = {
     "qa_ranked_lookup": f"WITH {LI}, {RANKED} SELECT q_id, rank, answer, n FROM rk",
     "qa_metrics": f"""WITH {LI}, {RANKED}, b AS (SELECT ql.q_id, min(CASE WHEN rk.answer = ql.answer THEN rank END) AS hit FROM ql LEFT JOIN rk USING (q_id) GROUP BY ql.q_id)
       SELECT count(*) AS n, round(avg(CASE WHEN hit IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS exact, round(avg(CASE WHEN hit = 1 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS top1, round(avg(coalesce(CAST(1 AS DOUBLE) / hit, 0)), 6) AS mrr FROM b""",
-    "retrieval_topk": f"""WITH q AS (SELECT item_id AS q_id, unnest({TOKENS}) AS w FROM benchmark), l AS (SELECT conv_id * 1000 + turn AS line_id, min(text) AS text FROM conversations GROUP BY ALL), d AS (SELECT line_id, unnest({TOKENS}) AS w FROM l),
-      h AS (SELECT q_id, line_id, count(*) AS score FROM d JOIN q USING (w) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, line_id) AS rank FROM h)
-      SELECT q_id, line_id, score, rank FROM r WHERE rank <= 10""",
     "label_centroids": f"WITH {CENTRES} SELECT label, max(n) AS n, round(sum(m), 6) AS total, round(max(CASE WHEN pos = 1 THEN m END), 6) AS first FROM ce GROUP BY label",
     "nearest_centroid": f"""WITH {CENTRES}, v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
       d AS (SELECT vec_id, label, sqrt(sum((CAST(x AS DOUBLE) - m) * (CAST(x AS DOUBLE) - m))) AS distance FROM v JOIN ce USING (pos) GROUP BY ALL)
@@ -204,7 +202,6 @@ SQL = {
       SELECT vec_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS cosine FROM p""",
     "baseline_compare": _compare(),
     "type_counts": f"WITH {TV} SELECT r, count(*) AS n, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM tv GROUP BY r",
-    "display_edges": f"WITH {LI} SELECT s, o, array_to_string(list_sort(list(DISTINCT r)), ',') AS relations, count(*) AS n FROM li GROUP BY s, o",
     "label_weights": """WITH n AS (SELECT lang AS gold, count(*) AS n FROM documents GROUP BY lang), r AS (SELECT gold, n, least(greatest(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 0.1), 10.0) AS w FROM n)
       SELECT gold, n, round(w / avg(w) OVER (), 6) AS weight FROM r""",
     "sim_components": """WITH RECURSIVE n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS w FROM n), e AS (SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM w a JOIN w b USING (w)),

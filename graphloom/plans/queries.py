@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import edges as E
 from ..operators import labels as L
+from ..operators import learning as N
 from ..operators import qa as Q
 from ..operators import resolve as C
 from ..operators import stability as S
@@ -90,14 +91,12 @@ def polarity_merge_clashes(spark, d):
 
 @query
 def edge_status(spark, d):
-    ev = W.lineitem(spark, d)
-    return E.with_status(E.fold_light(ev), ev).select("set_id", "s", "r", "o", "status")
+    return E.with_status(W.lineitem(spark, d)).select("set_id", "s", "r", "o", "status")
 
 
 @query
 def edge_status_counts(spark, d):
-    ev = W.event_evidence(spark, d)
-    return E.with_status(E.fold_light(ev), ev).groupBy("r", "status").agg(F.count("*").alias("n"))
+    return E.with_status(W.event_evidence(spark, d)).groupBy("r", "status").agg(F.count("*").alias("n"))
 
 
 @query
@@ -151,7 +150,7 @@ def label_argmax_map(spark, d):
 
 @query
 def label_argmax_lex(spark, d):
-    return L.argmax_map(W.labels(spark, d), 0.0, "gold").select("label", "top", "n", "total", *_r("ratio"), "mapped")
+    return L.argmax_lex(W.labels(spark, d))
 
 
 @query
@@ -252,17 +251,9 @@ def qa_metrics(spark, d):
     return Q.metrics(Q.ranked_lookup(W.lineitem(spark, d), q), q).select("n", *_r("exact", "top1", "mrr"))
 
 
-@query
-def retrieval_topk(spark, d):
-    q = W.table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), "text")
-    c = W.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_id"), "text")
-    c = c.groupBy("line_id").agg(F.min("text").alias("text"))
-    return Q.retrieve(q, c)
-
-
 @query
 def label_centroids(spark, d):
-    c = L.centroids(W.table(spark, d, "embeddings"), "label")
+    c = N.centroid_of(W.table(spark, d, "embeddings"), "label")
     told = F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x)
     return c.select("label", "n", F.round(told, 6).alias("total"), F.round(F.element_at("centroid", 1), 6).alias("first"))
 
@@ -270,7 +261,7 @@ def label_centroids(spark, d):
 @query
 def nearest_centroid(spark, d):
     e = W.table(spark, d, "embeddings")
-    return L.nearest(e, L.centroids(e, "label"), "label").select("vec_id", "nearest", *_r("distance"))
+    return N.nearest(e, N.centroid_of(e, "label"), "label").select("vec_id", "nearest", *_r("distance"))
 
 
 @query
@@ -298,13 +289,6 @@ def type_counts(spark, d):
     return t.groupBy("r").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"))
 
 
-@query
-def display_edges(spark, d):
-    """Per (s, o): its relations in order, and how many."""
-    t = W.lineitem(spark, d)
-    return t.groupBy("s", "o").agg(F.array_join(F.sort_array(F.collect_set("r")), ",").alias("relations"), F.count("*").alias("n"))
-
-
 @query
 def entity_in_sentence(spark, d):
     """Each document's first the/and mention and the sentence (by order) that holds it: interval containment by document."""

@@ -75,7 +75,7 @@ def test_alignment_and_stability(spark, raw):
     assert (row.sd, row.ci_lower, row.ci_upper) == pytest.approx((0.547723, 0.061731, 0.938269), abs=1e-5)
     log = {(r.set_id, r.source): r for r in E.update_log(got).collect()}
     assert log[1, "set1:p1"].conflicts == 1 and log[1, "set1:p2"].merged == 1 and log[1, "set1:p2"].num_edges == 2
-    edges = A.pin_seed(E.with_status(E.fold_light(got), got), raw.select("set_id", "fact").distinct())
+    edges = A.pin_seed(E.with_status(got), raw.select("set_id", "fact").distinct())
     status = {(r.set_id, r.o): r.status for r in edges.collect()}
     assert status[1, "type 2 diabetes"] == "active" and status[1, "t2dm"] == "uncertain"
 

@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from graphloom.plans.oracle import SQL
-from graphloom.plans.queries import QUERIES
+from graphloom.plans import more, oracle, queries
 
+QUERIES, SQL = queries.QUERIES | more.QUERIES, oracle.SQL | more.SQL
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
