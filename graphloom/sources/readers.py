@@ -63,15 +63,15 @@ def pubtator(spark: SparkSession, path: str) -> DataFrame:
     are found by identifier, the last entity of an identifier counting.
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("file", F.input_file_name())
+    files = files.where(~F.lower(F.element_at(F.split("file", "/"), -1)).startswith("readme"))
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(~F.col("line").startswith("#"))
-    title = F.size(F.split("line", "\\|", 3)) == 3
-    title &= F.split("line", "\\|")[1] == "t"
+    title = (F.size(F.split("line", "\\|", 3)) == 3) & ~F.coalesce(F.get(F.split("line", "\\|"), F.lit(1)) == "a", F.lit(False))
     w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("block", F.sum(title.cast("int")).over(w)).where("block > 0")
     bar, tab = F.split("line", "\\|", 3), F.split("line", "\t")
     lines = lines.withColumn("part", F.when((F.size(bar) == 3) & bar[1].isin("t", "a"), bar[2])).withColumn("f", tab)
     entity = (F.size("f") >= 6) & F.try_element_at("f", F.lit(2)).try_cast("int").isNotNull() & F.try_element_at("f", F.lit(3)).try_cast("int").isNotNull()
-    e = F.struct("n", F.get("f", F.lit(1)).try_cast("int").alias("start"), F.get("f", F.lit(2)).try_cast("int").alias("end"), F.get("f", F.lit(3)).alias("text"), F.substring(F.get("f", F.lit(4)), 1, 50).alias("type"), F.get("f", F.lit(5)).alias("identifier"))
+    e = F.struct("n", F.get("f", F.lit(1)).try_cast("int").alias("start"), F.get("f", F.lit(2)).try_cast("int").alias("end"), F.get("f", F.lit(3)).alias("text"), F.coalesce(F.nullif(F.substring(F.trim(F.get("f", F.lit(4))), 1, 50), F.lit("")), F.lit("T047")).alias("type"), F.get("f", F.lit(5)).alias("identifier"))
     r = F.struct("n", F.get("f", F.lit(2)).alias("head"), F.get("f", F.lit(3)).alias("tail"), F.get("f", F.lit(1)).alias("type"))
     relation = (F.size("f") == 4) & F.get("f", F.lit(1)).isin("CID", "NR")
     d = lines.groupBy("file", "block").agg(
@@ -94,3 +94,65 @@ def split_rows(df: DataFrame, key: str, train: float = 0.8, dev: float = 0.1, se
     d = d.join(per, "_b").withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
     cut1, cut2 = int(n * train), int(n * train) + int(n * dev)
     return d.withColumn("split", F.when(F.col("_rank") <= cut1, "train").when(F.col("_rank") <= cut2, "dev").otherwise("test")).drop("_h", "_b", "_n", "_before", "_rank")
+
+
+def corpus_mapper(docs: DataFrame) -> DataFrame:
+    """key, cui of annotated docs(entities with text, identifier): the last identifier of a mention's text; "-1" is none."""
+    e = docs.select(F.monotonically_increasing_id().alias("_d"), F.posexplode("entities").alias("_n", "e")).select("_d", "_n", "e.text", "e.identifier")
+    e = e.where("identifier is not null and identifier not in ('', '-1')").withColumn("key", T.mapper_key(F.col("text")))
+    return e.where("key <> ''").groupBy("key").agg(F.max_by("identifier", F.struct("_d", "_n")).alias("cui"))
+
+
+def first_mapper(*mappers: DataFrame | None) -> DataFrame | None:
+    """The first of several mappers, in order of precedence, that is there and has a row; None if there is none."""
+    return next((m for m in mappers if m is not None and not m.isEmpty()), None)
+
+
+def train_pairs(spark: SparkSession, path: str, predicted: str = "predicted", gold: str = "gold") -> DataFrame:
+    """label, gold, seq of a JSON list of pairs, or of a document whose `pairs`, `examples` or `data` hold it."""
+    one = f"array<struct<`{predicted}` string, `{gold}` string>>"
+    raw = spark.read.text(path, wholetext=True)
+    listed = F.from_json("value", one)
+    inside = F.from_json("value", f"pairs {one}, examples {one}, data {one}")
+    d = raw.select(F.when(F.ltrim("value").startswith("["), listed).otherwise(F.coalesce(inside["pairs"], inside["examples"], inside["data"])).alias("x"))
+    d = d.select(F.when(F.col("x").isNull(), F.raise_error(F.lit("no train pairs in the file"))).otherwise(F.col("x")).alias("x")).select(F.posexplode("x").alias("seq", "x"))
+    return d.select(F.col(f"x.`{predicted}`").alias("label"), F.col(f"x.`{gold}`").alias("gold"), F.col("seq").cast("long").alias("seq"))
+
+
+def graph_file(spark: SparkSession, path: str) -> DataFrame:
+    """s, r, o of a JSON list of triples; shorter entries are dropped."""
+    t = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<string>>")).alias("t")).where(F.size("t") >= 3)
+    return t.select(F.col("t")[0].alias("s"), F.col("t")[1].alias("r"), F.col("t")[2].alias("o"))
+
+
+def cluster_map(spark: SparkSession, path: str) -> DataFrame:
+    """cluster_id, relation, n, centroid as `sinks.write_clusters` left them."""
+    return spark.read.parquet(path)
+
+
+# Texts for a trial run.
+TRIAL_TEXTS = ("Aspirin can cause gastric bleeding.", "Metformin is used to treat type 2 diabetes.", "Warfarin interacts with aspirin.", "Smoking increases the risk of lung cancer.", "Insulin regulates blood sugar.")
+
+
+def texts_or_trial(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """text: a file's non-blank lines, or a few built-in ones."""
+    return text_lines(spark, path) if path else spark.createDataFrame([(t,) for t in TRIAL_TEXTS], "text string")
+
+
+# How a fact is said again.
+FRAMES = ("%s", "It is known that %s", "Studies show that %s", "Clinicians note: %s", "In practice, %s", "Evidence suggests that %s", "Reports say %s", "As a rule, %s", "Notably, %s", "To sum up, %s")
+
+
+def evaluation_set(facts: DataFrame, paraphrases: int = 10) -> DataFrame:
+    """set_id, fact, paraphrases of facts(set_id, fact): the fact in so many frames. A placeholder entity ends the query with an error."""
+    frames = [F.format_string(f, T.guarded(F.col("fact"))) for f in FRAMES[:paraphrases]]
+    return facts.select("set_id", T.guarded(F.col("fact")).alias("fact"), F.array(*frames).alias("paraphrases"))
+
+
+def checkpoint_of(names: list[str], weights: tuple[str, ...] = ("model.safetensors", "pytorch_model.bin")) -> str | None:
+    """Where a model's weights lie among a folder's paths: the folder itself ("."), else its newest checkpoint-*; None if nowhere."""
+    tops = {n.split("/")[0] for n in names if "/" in n and n.split("/")[-1] in weights}
+    if any(n in weights for n in names):
+        return "."
+    numbered = [t for t in tops if t.startswith("checkpoint-") and t[11:].isdigit()]
+    return max(numbered, key=lambda t: int(t[11:]), default=None)

@@ -42,3 +42,62 @@ def markdown(df: DataFrame, limit: int = 25, width: int = 56) -> str:
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     lines += ["| " + " | ".join(cell(x) for x in row) + " |" for row in df.limit(limit).collect()]
     return "\n".join(lines) + "\n"
+
+
+def document(**parts: DataFrame) -> DataFrame:
+    """One row, `value`: a JSON object of named reports, each a list of its rows (a single row where the name ends in _row).
+
+    For reports of a few rows; tables of any size are written by themselves.
+    """
+    out = None
+    for name, df in parts.items():
+        rows = nan_to_null(df).agg(F.collect_list(F.struct(*df.columns)).alias("x"))
+        one = rows.select((F.col("x")[0] if name.endswith("_row") else F.col("x")).alias(name.removesuffix("_row")))
+        out = one if out is None else out.join(one)  # a row each
+    return out.select(F.to_json(F.struct(*out.columns)).alias("value"))
+
+
+def write_document(path: str, **parts: DataFrame) -> None:
+    document(**parts).coalesce(1).write.mode("overwrite").text(path)
+
+
+def summary_lines(rows: DataFrame, by: str = "metric") -> DataFrame:
+    """value: a line for each metric of rows(metric, n, mean, ci_lower, ci_upper)."""
+    return rows.orderBy(by).select(F.format_string("%s: %.4f [%.4f, %.4f] (n=%d)", by, "mean", "ci_lower", "ci_upper", "n").alias("value"))
+
+
+def per_question(rows: DataFrame, answers: DataFrame, shown: int = 3) -> DataFrame:
+    """rows(q_id, ...) with `predicted`: the first `shown` answers(q_id, rank, answer), joined by "; "."""
+    first = answers.where(F.col("rank") <= shown).groupBy("q_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "answer"))), lambda x: x["answer"]), "; ").alias("predicted"))
+    return rows.join(first, "q_id", "left").withColumn("predicted", F.coalesce("predicted", F.lit("")))
+
+
+def by_extractor(rows: DataFrame, key: str, value: str, extractors: list[str]) -> DataFrame:
+    """A row for each key, a column for each extractor."""
+    return rows.groupBy(key).pivot("extractor", extractors).agg(F.first(value))
+
+
+def map_log(mapped: DataFrame, counts: DataFrame, head: int = 200) -> dict[str, DataFrame]:
+    """How a label map came about: the first rows of its counts, labels whose best is tied, labels without a relation."""
+    top = counts.groupBy("label").agg(F.max("n").alias("n"))
+    tied = counts.join(top, ["label", "n"]).groupBy("label", "n").agg(F.array_join(F.array_sort(F.collect_list("gold")), ",").alias("golds"), F.count("*").alias("k")).where("k > 1")
+    return {"trace": counts.orderBy("label", F.desc("n"), "gold").limit(head), "ties": tied.drop("k"), "unmapped": mapped.where("mapped = 'unknown'").select("label", "n", "total")}
+
+
+def write_clusters(groups: DataFrame, path: str) -> None:
+    groups.select("cluster_id", "relation", "n", "centroid").write.mode("overwrite").parquet(path)
+
+
+def html(title: str, tables: dict[str, DataFrame], limit: int = 25) -> str:
+    """A page of reports' first rows, with all text escaped."""
+    from html import escape
+
+    def cell(x) -> str:
+        return "—" if x is None or x != x else escape(f"{x:.4f}" if isinstance(x, float) else str(x))
+
+    out = [f"<!doctype html><meta charset='utf-8'><title>{escape(title)}</title><h1>{escape(title)}</h1>"]
+    for name, df in tables.items():
+        head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
+        body = "".join("<tr>" + "".join(f"<td>{cell(x)}</td>" for x in r) + "</tr>" for r in df.limit(limit).collect())
+        out.append(f"<h2>{escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+    return "\n".join(out)
