@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -497,38 +498,81 @@ def test_toxicity_learns_from_labelled_rows(spark, docs, empty):
     assert len(toxicity.train(long, long.select("doc_id", "toxic")).toxic) <= toxicity.DICT_TOXIC
 
 
+def streamed(*texts):
+    return A.Stream(np.concatenate([np.zeros(0, np.int64), *texts]), np.array([len(t) for t in texts]))
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     logs = A.prior(rng.integers(0, 3, (A.VOCAB, A.VOCAB)).astype(float))
     m = A.Model({k: v.astype(np.float64) for k, v in A.initial().items()}, *[x.astype(np.float64) for x in logs])
-    x, y, first, _ = A.stream([rng.integers(0, A.END, n) for n in (5, 40, 0, 17)])
-    g = m.gradients(x, y, first)
-    for name, at in (("wc", (3, 4)), ("bias", (2, 17)), ("q", (int(x[9]), 1)), ("v", (int(x[9]), 2)), ("u", (int(x[9]), 0))):
-        keep, sides = m.p[name][at], []
+    s = streamed(*[rng.integers(0, A.END, n) for n in (5, 40, 0, 17)])
+    g = m.gradients(s)
+    at = int(s.x[np.flatnonzero(s.real)[9]])
+    for name, i in (("wc", (3, 4)), ("bias", (2, 9)), ("q", (at, 1)), ("k", (at, 1)), ("v", (at, 2)), ("u", (at, 0))):
+        keep, sides = m.p[name][i], []
         for step in (1e-3, -1e-3):
-            m.p[name][at] = keep + step
-            sides.append(-m.log_probs(x, y, first).mean())
-        m.p[name][at] = keep
-        assert (sides[0] - sides[1]) / 2e-3 == pytest.approx(float(g[name][at]), rel=0.02, abs=1e-7)
+            m.p[name][i] = keep + step
+            sides.append(-m.log_probs(s).sum() / s.real.sum())
+        m.p[name][i] = keep
+        assert (sides[0] - sides[1]) / 2e-3 == pytest.approx(float(g[name][i]), rel=0.02, abs=1e-7)
 
 
-def test_attention_is_causal_and_normalised():
+def test_attention_by_definition():
+    """Each id against a plain loop: causal context of at most CONTEXT ids of the same text, one score an id."""
     rng = np.random.default_rng(1)
     m = A.Model(A.initial(), *A.prior(rng.integers(0, 3, (A.VOCAB, A.VOCAB)).astype(float)))
-    x, y, first, starts = A.stream([rng.integers(0, A.END, 50), rng.integers(0, A.END, 30)])
-    one = m.log_probs(x, y, first)
-    y2 = y.copy()
-    y2[60] = (y2[60] + 1) % A.END
-    x2 = x.copy()
-    x2[61] = y2[60]
-    two = m.log_probs(x2, y2, first)
-    assert np.allclose(one[:60], two[:60], atol=1e-5)
-    alone = m.log_probs(x[51:], y[51:], first[51:] - 51)
-    assert alone.sum() == pytest.approx(one[51:].sum(), rel=0.05)
-    total = sum(np.exp(m.log_probs(x[:20], np.where(np.arange(20) == 19, i, y[:20]), first[:20])[19]) for i in range(A.VOCAB))
+    texts = [rng.integers(0, A.END, n) for n in (50, 3, 0, 30)]
+    s = streamed(*texts)
+    got = m.log_probs(s)
+    assert s.real.sum() == sum(len(t) + 1 for t in texts) and (got[~s.real] == 0).all()
+    for t, start in zip(texts, s.starts, strict=True):
+        x, y = [A.END, *t], [*t, A.END]
+        for i in range(len(x)):
+            low = max(0, i // A.STRIDE * A.STRIDE - A.STRIDE)
+            z = np.array([m.p["q"][x[i]] @ m.p["k"][x[j]] / A.DIM**0.5 + m.p["bias"][i % A.STRIDE, j - (i // A.STRIDE * A.STRIDE - A.STRIDE)] for j in range(low, i + 1)])
+            w = np.exp(z) / np.exp(z).sum()
+            h = sum(w[j - low] * m.p["v"][x[j]] for j in range(low, i + 1)) + m.p["u"][x[i]]
+            z = h @ m.p["wc"] + m.log_class[x[i]]
+            assert got[start + i] == pytest.approx(z[y[i] // A.SIDE] - np.log(np.exp(z).sum()) + m.log_in[x[i], y[i]], abs=1e-4)
+    total = sum(np.exp(m.log_probs(streamed(np.append(texts[0][:19], i)))[19]) for i in range(A.END)) + np.exp(m.log_probs(streamed(texts[0][:19]))[19])
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_probabilities_add_up():
+    """After any text, the mixed probabilities of all next ids sum to 1."""
+    sub = lm.Subwords(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [b"there", b"then", b"the", b"zebra", b"thesis", b"ther"]
+    sub.learn(words)
+    counts = np.array([5, 3, 9, 1, 2, 2])
+    rows = next(lm._inside(public_tokenizers.path("byte_bpe_50k.json"))([pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts)], names=["word", "c"])]))
+    t = pa.Table.from_batches([rows]).group_by(["key", "before", "id"]).aggregate([("n", "sum"), ("ends", "sum")])
+    cols = [t.column(c).to_numpy() for c in ("key", "before", "id", "n_sum", "ends_sum")]
+    p = lm.Prefixes(cols[0].view(np.uint64), cols[1].view(np.uint64), *cols[2:], 4, sub.opens)
+    assert p.first.sum() == pytest.approx(1)
+    ids, n = sub.ids, sub.length
+    num, total, ends = p.of(ids, n)
+    for w in range(len(words)):
+        for j in range(n[w]):
+            at = sub.at[w] + j
+            before = ids[sub.at[w] : at + 1].tolist()
+            after = {tuple(x[: j + 2]): 0 for x in (ids[sub.at[k] : sub.at[k] + n[k]].tolist() for k in range(len(words))) if x[: j + 1] == before and len(x) > j + 1}
+            for k in range(len(words)):
+                x = ids[sub.at[k] : sub.at[k] + n[k]].tolist()
+                if tuple(x[: j + 2]) in after:
+                    after[tuple(x[: j + 2])] += counts[k]
+            assert total[at] == pytest.approx(sum(after.values()) + ends[at])
+            assert j == 0 and num[at] == 0 or j > 0
+
+
+def test_equal_texts_score_equally(spark):
+    texts = ["a bird in the hand is worth two", "", "x " * 40, "a bird in the hand is worth two", "another one with words of its own", "a bird in the hand is worth two"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 3):
+        got = {r.doc_id: r.score for r in lm.score(d.repartition(parts), F.lit(False), public_tokenizers.path("byte_bpe_50k.json")).collect()}
+        assert got[0] == got[3] == got[5]
+
+
 def test_lm_counts(spark, docs, empty):
     got = lm.score(docs, F.col("doc_id") == 4, public_tokenizers.path("byte_bpe_50k.json")).collect()
     c = Counter()
@@ -547,12 +591,14 @@ def test_lm_counts(spark, docs, empty):
 def test_lm_network_learns_from_every_training_text(spark, docs, monkeypatch):
     path, seen = public_tokenizers.path("byte_bpe_50k.json"), []
     whole = lm.train
-    monkeypatch.setattr(lm, "train", lambda learn, *more: seen.append(([r.text for r in learn.collect()], whole(learn, *more))) or seen[-1][1])
+    monkeypatch.setattr(lm, "train", lambda learn, *more: seen.append((learn.collect(), whole(learn, *more))) or seen[-1][1])
     lm.score(docs, F.col("doc_id") == 4, path)
-    texts, (tokens, _) = seen[0]
-    assert Counter(texts) == Counter(x[1] or "" for x in rows() if x[0] != 4)
-    ids = [len(i) for i in lm.subwords(path).encode([lm.words_of(t) for t in texts])]
-    assert tokens == sum(n + max(1, -(-n // lm.STREAM)) for n in ids)
+    given, (tokens, _) = seen[0]
+    texts = [x[1] or "" for x in rows() if x[0] != 4]
+    assert sum(len(r.lengths) // 8 for r in given) == len(texts)
+    sub = lm.Subwords(path)
+    sizes = [int(sub.spread(sub.numbers(lm.words_of(t)))[1].sum()) for t in texts]
+    assert tokens == sum(n + max(1, -(-n // lm.STREAM)) for n in sizes)
 
 
 def test_queries_are_named():
