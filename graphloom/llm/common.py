@@ -39,6 +39,22 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """make()'s result, kept between tasks of a Python worker: one at a time, as what an operator keeps may be large."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Drop what another operator kept in this worker."""
+    _kept.clear()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -14,6 +14,8 @@ from array import array
 
 import numpy as np
 
+from .common import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
 
 #: Bounds of one worker's memory, some 200 bytes a piece: short pieces are kept up to a number, long ones only while
@@ -223,12 +225,6 @@ class WordEncoder(Encoder):
         return b" ".join(words).decode("utf-8")
 
 
-_held: dict[tuple, Encoder] = {}
-
-
 def encoder(kind: type[Encoder], path: str) -> Encoder:
     """One encoder for each Python worker, kept between tasks."""
-    if (kind, path) not in _held:
-        _held.clear()
-        _held[kind, path] = kind(path)
-    return _held[kind, path]
+    return kept((kind, path), lambda: kind(path))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, slices, stage, text_or_empty
+from .common import connected_components, release, slices, stage, text_or_empty
 
 BITS, SEGMENTS, WIDTH, BUDGET = 64, 4, 16, 3
 BLOCK = 256
@@ -33,6 +33,7 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 def _fingerprints(words: int):
     def run(batches):
+        release()
         for b in slices(batches):
             fp = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])

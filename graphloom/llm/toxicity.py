@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import release, slices
 
 #: Bounds of the fit, all by hash: labelled rows of each class, and windows of one of these rows. All else covers all.
 TOXIC_ROWS, ORDINARY_ROWS, ROW_WINDOWS = 2_000, 4_000, 256
@@ -170,6 +170,7 @@ def _scored(model: Model, schema: T.StructType):
     names = [f.name for f in schema]
 
     def run(batches):
+        release()
         for b in slices(batches, 512):
             texts = ["" if t is None else t for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.scores(texts), pa.float64())], names=names)

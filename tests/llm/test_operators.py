@@ -620,6 +620,21 @@ def near_texts():
     return out + [line + " " + " ".join(rng.choice(words, 20)) for _ in range(40)] + ["", "two words", "Two  words"]
 
 
+def test_shingles_tell_texts_apart():
+    rng = np.random.default_rng(9)
+    parts = ["a", "B", "ab", "é", "x" * 300, " ", "\t", "\n", "\x0b", "  ", "\x1c", "0", "-"]
+    texts = {"".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(3000)} | {"w " * 70_000, "w " * 3}
+    seen = {}
+    for t in texts:
+        w = t.encode().lower().split()
+        sets = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        got = shingles.shingles(t)
+        assert len(got) == len(sets) and seen.setdefault(got.tobytes(), sets) == sets
+    assert len(set(seen.values())) == len(seen)
+    words = b"alpha beta gamma delta".split()
+    assert len({int(x) for w in words for x in shingles.word_hashes(f"  {w.decode()} filler {w.decode().upper()}")[[0, 2]]}) == 4
+
+
 def near_groups(texts):
     sets = [set(shingles.shingles(t).tolist()) for t in texts]
     root = list(range(len(texts)))
