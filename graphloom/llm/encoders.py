@@ -33,6 +33,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict = {}
+        self.passing: list = []  # what was learned last and is not to be kept
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.edge[[i for t, i in self.tokenizer.get_vocab().items() if self.at_edge(t)]] = True
 
@@ -79,7 +80,9 @@ class Encoder:
             look = learned.get
             for i in gaps:
                 found[i] = look(pieces[i])
-            self.cache.update({p: x for p, x in learned.items() if len(p) <= LONG_PIECE and b"\n" not in p})
+            self.cache.update(learned)
+            for p in self.passing:
+                self.cache.pop(p, None)
         return [None if j in doubt else b"".join(found[a:b]) for j, (a, b) in enumerate(zip(stops, stops[1:], strict=False))]
 
     def learned(self, todo: set) -> dict:
@@ -117,11 +120,13 @@ class Encoder:
                 out.update(self.together(words[at : at + LEARN]) if space else self.apart(words[at : at + LEARN]))
         whole = list(whole)
         out.update(zip(whole, self.library([self.spell(p) for p in whole]), strict=True))
-        look = lambda p: out[p] if p in out else known[p]
+        new = out.get
         for p, head, key in split:
-            out[p] = look(head) + look(key)
+            out[p] = (new(head) or known[head]) + (new(key) or known[key])
         for p, parts in lines:
-            out[p] = self.line_feed.join(map(look, parts))
+            out[p] = self.line_feed.join([new(x) or known[x] for x in parts])
+        self.passing = [p for p in whole if len(p) > LONG_PIECE] + [p for p, _ in lines] + [p for p, _, _ in split if len(p) > LONG_PIECE]
+        self.passing += [p for words in (plain, bare) for p in words if len(p) > LONG_PIECE]
         return out
 
     def together(self, words: list) -> dict:
