@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """df written to a new table of the folder in spark.checkpoint.dir (a temporary one where unset) and read back."""
+    """df written to a new table of the folder in spark.checkpoint.dir and read back; it goes when the driver ends.
+
+    Where the setting is unset, a local session (as in tests) gets a temporary folder, and a cluster an error.
+    """
     spark = df.sparkSession
     if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+        if not (master := spark.conf.get("spark.master", "local")).startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
