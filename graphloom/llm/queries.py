@@ -16,8 +16,12 @@ WHERE = {
     "op8_simhash": "simhash",
     "op9_packing": "packing",
     "op10_toxicity": "toxicity",
+    "op11_runs": "runs",
+    "op12_repeats": "repeats",
+    "op13_divergence": "divergence",
 }
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in WHERE.items()}
 ORACLE_SQL = {
     "op4_topk": import_module(f"{__package__}.bitslice").ORACLE,
+    "op13_divergence": import_module(f"{__package__}.divergence").ORACLE,
 }
