@@ -240,11 +240,16 @@ def _later(rows: DataFrame, keys: list[str], first: bool) -> DataFrame:
 
 
 def _hot_marks(hot: DataFrame, length: int, first: bool) -> DataFrame:
-    """Repeated strings of anchors with very many contexts, by hashes of 128 bits: blocks of strings first, then strings."""
-    blocks = hot.mapInArrow(_blocks(length), "k1 long, k2 long, whole long, ha long, hc long, doc_key long, t long, s long, e long")
-    blocks = stage(repeated(blocks, ["k1", "k2"], "whole"), "blocks")
-    alike = _later(blocks.where("not mixed"), ["k1", "k2"], first)
-    lists = blocks.where("mixed").groupBy("ha", "hc").agg(F.collect_list(F.struct("s", "e")).alias("wanted"))
+    """Repeated strings of anchors with very many contexts, by hashes of 128 bits: blocks of strings first, then strings.
+
+    Equal blocks are marked as such; of each, the first stands for all where blocks that differ share a key.
+    """
+    blocks = stage(hot.mapInArrow(_blocks(length), "k1 long, k2 long, whole long, ha long, hc long, doc_key long, t long, s long, e long"), "blocks")
+    place = F.struct("doc_key", "t", "s", "e", "ha", "hc")
+    wholes = stage(blocks.groupBy("k1", "k2", "whole").agg(F.count("*").alias("m"), F.min(place).alias("p")), "wholes")
+    alike = _later(blocks.join(wholes.where("m > 1").select("k1", "k2", "whole"), ["k1", "k2", "whole"], "left_semi"), ["k1", "k2", "whole"], first)
+    several = wholes.groupBy("k1", "k2").agg(F.count("*").alias("d")).where("d > 1")
+    lists = wholes.join(several, ["k1", "k2"]).groupBy("p.ha", "p.hc").agg(F.collect_list(F.struct("p.s", "p.e")).alias("wanted"))
     single = hot.join(lists, ["ha", "hc"]).select("doc_key", "t", "at", "ctx", "wanted")
     single = single.mapInArrow(_strings(length), "k1 long, k2 long, whole long, doc_key long, t long, s long, e long")
     return alike.unionByName(_later(repeated(single, ["k1", "k2"], "whole"), ["k1", "k2"], first))
