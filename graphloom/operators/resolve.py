@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..functions import vector as V
 from ..sources.shared import stage
+from .similarity import average_linkage, cosine_links
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -134,71 +136,35 @@ def exported_mapping(merged: DataFrame) -> DataFrame:
     )
 
 
-#: Vectors of a block of the pairwise comparison.
-BLOCK = 1024
-
-
-def _unit(lists) -> np.ndarray:
-    x = np.stack(list(lists)).astype(np.float64)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
-def similar_links(vectors: DataFrame, group: str, threshold: float) -> DataFrame:
-    """(a, b) of vec_ids that join what cosines of `threshold` or more connect within a group: a star for each block pair."""
-
-    def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["vec_id"].to_numpy(), _unit(pdf["embedding"])
-        hit = x @ x.T >= threshold - 1e-12
-        root = np.arange(len(ids))
-        while True:
-            low = np.minimum(root, np.where(hit, root[None, :], len(ids)).min(axis=1))
-            if (low == root).all():
-                break
-            root = low[low]
-        some = root != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[some], "b": ids[root[some]]})
-
-    rows = vectors.select("vec_id", "embedding", group)
-    n = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
-    rows = rows.join(n, group).withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.col("_n")))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    rows = rows.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
-    return rows.groupBy(group, "_i", "_j").applyInPandas(stars, "a long, b long")
-
-
 def agglomerative(vectors: DataFrame, group: str, threshold: float = 0.75) -> DataFrame:
-    """vec_id, cluster: average linkage by cosine within each group, merged while the mean similarity is at threshold.
+    """vec_id, cluster (its smallest vec_id): average linkage by cosine within each group, see `similarity.average_linkage`.
 
-    A mean at the threshold needs a pair at it, so no cluster crosses the components that such pairs form: these are
-    found first, pair blocks by pair blocks, and each component is clustered whole, in one task. A cluster is named by
-    its smallest vec_id. Null vectors are left out.
+    Null vectors are left out; zero ones are alone.
     """
+    rows = vectors.where("embedding is not null")
+    found = average_linkage(rows, threshold, group=group).withColumnRenamed("id", "vec_id")
+    return rows.select("vec_id").join(found, "vec_id", "left").select("vec_id", F.coalesce("cluster", "vec_id").alias("cluster"))
 
-    def linkage(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
-        x = _unit(pdf["embedding"])
-        sim = x @ x.T
-        np.fill_diagonal(sim, -np.inf)
-        size, home, alive = np.ones(len(x)), np.arange(len(x)), len(x)
-        while alive > 1:
-            i, j = np.unravel_index(int(sim.argmax()), sim.shape)
-            if sim[i, j] < threshold - 1e-12:
-                break
-            i, j = min(i, j), max(i, j)
-            row = (sim[i] * size[i] + sim[j] * size[j]) / (size[i] + size[j])
-            sim[i], sim[:, i] = row, row
-            sim[j], sim[:, j], sim[i, i] = -np.inf, -np.inf, -np.inf
-            size[i] += size[j]
-            alive -= 1
-            home[home == j] = i
-        ids = pdf["vec_id"].to_numpy()
-        return pd.DataFrame({"vec_id": ids, "cluster": ids[home]})
 
-    rows = vectors.where("embedding is not null").select("vec_id", "embedding", group)
-    links = stage(similar_links(rows, group, threshold))
-    whole = rows.join(components(links).withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    alone = whole.where("component is null").select("vec_id", F.col("vec_id").alias("cluster"))
-    return whole.where("component is not null").select("vec_id", "embedding", "component").groupBy("component").applyInPandas(linkage, "vec_id long, cluster long").unionByName(alone)
+def display_clusters(labels: DataFrame, facts: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """set_id, name, cluster (its smallest name), display of labels(set_id, name, surface, embedding), one row a name and set.
+
+    Names are one if a chain of equal surfaces or cosines >= threshold joins them. `display` is the subject, else the
+    object, of the set's fact in facts(set_id, s, s_surface, s_embedding, o, o_surface, o_embedding) if a member means the same; else the longest
+    member, the last of equal length. A surface joins its members to the first of them, so a hot one makes a star.
+    """
+    rows = stage(labels.where("name is not null").withColumn("id", F.monotonically_increasing_id()))
+    first = rows.where("surface <> ''").groupBy("set_id", "surface").agg(F.min("id").alias("b"))
+    stars = rows.join(first, ["set_id", "surface"]).where("id <> b").select(F.col("id").alias("a"), "b")
+    found = components(stage(stars.unionByName(cosine_links(rows, threshold, "id", group="set_id"))))
+    member = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    told = member.join(facts, "set_id", "left")
+    alike = lambda e: F.coalesce((F.col("surface") != "") & (F.col("surface") == F.col(f"{e}_surface")), F.lit(False)) | (V.cosine(F.col("embedding"), F.col(f"{e}_embedding")) >= threshold)
+    best = told.groupBy("c").agg(
+        F.max(F.when(alike("s") & (F.trim("s") != ""), F.col("s"))).alias("_s"), F.max(F.when(alike("o") & (F.trim("o") != ""), F.col("o"))).alias("_o"),
+        F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("_longest"), F.min("name").alias("cluster"),
+    )
+    return member.select("set_id", "name", "c").join(best, "c").select("set_id", "name", "cluster", F.coalesce("_s", "_o", "_longest").alias("display"))
 
 
 def named_clusters(members: DataFrame, longest: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import labels as L
 from ..operators import learning as N
 from ..operators import qa as Q
 from ..operators import resolve as C
+from ..operators import similarity as M
 from ..operators import stability as S
 from . import views as W
 from .oracle import CLASH, EDGES, EV, LI, MEASURE, STATUS, TV
@@ -571,3 +572,38 @@ def mapped_ends(spark, d):
     even = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(" e"))).otherwise(F.col("p_name"))
     mapper = p.where("p_size % 2 = 0").select(T.mapper_key(even).alias("key"), F.concat(F.lit("C"), F.length("p_name")).alias("cui")).distinct()
     return X.with_ids(p.select(F.col("p_partkey").alias("id"), even.alias("s"), F.lit("treats").alias("r"), F.col("p_brand").alias("o")), mapper)
+
+
+# ---- cosine joins
+
+ALL_PAIRS = f"cp AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COSINE.format(a='a.embedding', b='b.embedding')} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+
+
+@query(f"WITH {ALL_PAIRS} SELECT a, b, round(cosine, 6) AS cosine FROM cp WHERE cosine >= CAST(0.3 AS DOUBLE)")
+def cosine_join(spark, d):
+    return M.cosine_pairs(W.table(spark, d, "embeddings"), 0.3).select("a", "b", *_r("cosine"))
+
+
+@query(f"""WITH RECURSIVE {ALL_PAIRS}, e AS (SELECT a, b FROM cp WHERE cosine >= CAST(0.35 AS DOUBLE)), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  r AS (SELECT vec_id AS node, vec_id AS far FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.far)
+  SELECT node AS vec_id, min(far) AS component FROM r GROUP BY node""")
+def cosine_components(spark, d):
+    return M.linked_components(W.table(spark, d, "embeddings"), 0.35).withColumnRenamed("id", "vec_id")
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT p_size AS set_id, p_name AS name, split_part(p_name, ' ', 1) AS surface, embedding, p_partkey AS id FROM part LEFT JOIN embeddings ON vec_id = p_partkey),
+  lab AS (SELECT set_id, name, any_value(surface) AS surface, arg_min(embedding, id) AS embedding FROM n GROUP BY set_id, name),
+  l AS (SELECT a.set_id, a.name AS a, b.name AS b FROM lab a JOIN lab b ON a.set_id = b.set_id AND (a.surface = b.surface OR {_COSINE.format(a='a.embedding', b='b.embedding')} >= CAST(0.25 AS DOUBLE))),
+  r AS (SELECT set_id, name, name AS far FROM lab UNION SELECT r.set_id, r.name, l.b FROM r JOIN l ON l.set_id = r.set_id AND l.a = r.far),
+  c AS (SELECT set_id, name, min(far) AS cluster FROM r GROUP BY set_id, name),
+  f AS (SELECT set_id, min(name) AS s FROM lab GROUP BY set_id),
+  g AS (SELECT c.set_id, c.cluster, bool_or(split_part(c.name, ' ', 1) = split_part(f.s, ' ', 1)) AS told, any_value(f.s) AS s, arg_max(c.name, (length(c.name), c.name)) AS longest FROM c JOIN f ON f.set_id = c.set_id GROUP BY c.set_id, c.cluster)
+  SELECT c.set_id, c.name, c.cluster, CASE WHEN g.told THEN g.s ELSE g.longest END AS display FROM c JOIN g ON g.set_id = c.set_id AND g.cluster = c.cluster""")
+def display_clusters(spark, d):
+    """Names of parts in one size; a fact's subject is the size's first name, known by its first word alone."""
+    n = W.table(spark, d, "part").join(W.table(spark, d, "embeddings"), F.col("vec_id") == F.col("p_partkey"), "left")
+    first = F.split("p_name", " ")[0]
+    lab = n.groupBy(F.col("p_size").alias("set_id"), F.col("p_name").alias("name")).agg(F.any_value(first).alias("surface"), F.min_by("embedding", "p_partkey").alias("embedding"))
+    none = F.lit(None).cast("array<double>")
+    f = lab.groupBy("set_id").agg(F.min("name").alias("s")).select("set_id", "s", F.split("s", " ")[0].alias("s_surface"), none.alias("s_embedding"), F.lit(None).cast("string").alias("o"), F.lit(None).cast("string").alias("o_surface"), none.alias("o_embedding"))
+    return C.display_clusters(lab, f, 0.25)

@@ -26,8 +26,7 @@ def linked(x, threshold):
     return {i: min(p) for p in parts for i in p}
 
 
-def test_agglomerative_equals_average_linkage(spark, monkeypatch):
-    monkeypatch.setattr(resolve, "BLOCK", 16)
+def test_agglomerative_equals_average_linkage(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(8, 12))
     x = np.concatenate([c + rng.normal(size=(9, 12)) * 0.6 for c in centres])
@@ -145,3 +144,33 @@ def test_questions_with_errors_keep_their_row(spark):
     assert qa.summary(qa.scored(ranked, q, v)).first().n == 1
     p = qa.prompt(spark.createDataFrame([(7, "a causes b")], "line_id long, text string"), spark.createDataFrame([(1, 7, 3, 1)], "q_id long, line_id long, score long, rank long"), q.withColumn("question", F.lit("What?")))
     assert "a causes b" in {r.q_id: r.prompt for r in p.collect()}[1]
+
+
+def test_display_clusters(spark):
+    rng = np.random.default_rng(5)
+    labels, facts = [], []
+    for g in range(3):
+        centres = rng.normal(size=(6, 8))
+        for i in range(30):
+            v = centres[i % 6] + rng.normal(size=8) * 0.35
+            labels.append((g, f"n{i:02d}" + "x" * (i % 4), "" if i % 7 == 0 else f"w{i % 11}" if i % 3 == 0 else f"u{i}", None if i % 10 == 9 else v.tolist()))
+        facts.append((g, "the subject", "w3", None, "the object", "nothing", centres[1].tolist()) if g else (g, " ", "w3", None, None, None, None))
+    df = spark.createDataFrame(labels, "set_id long, name string, surface string, embedding array<double>")
+    fs = spark.createDataFrame(facts, "set_id long, s string, s_surface string, s_embedding array<double>, o string, o_surface string, o_embedding array<double>")
+    same = lambda a, b: (a[0] != "" and a[0] == b[0]) or (a[1] is not None and b[1] is not None and np.dot(a[1], b[1]) / np.linalg.norm(a[1]) / np.linalg.norm(b[1]) >= 0.8)
+    want = set()
+    for g, s, ss, se, o, os, oe in facts:
+        mine = [x for x in labels if x[0] == g]
+        root = list(range(len(mine)))
+        for i in range(len(mine)):
+            for j in range(i):
+                if same(mine[i][2:], mine[j][2:]):
+                    root = [root[j] if r == root[i] else r for r in root]
+        for c in set(root):
+            part = [x for x, r in zip(mine, root, strict=True) if r == c]
+            shown = s if s.strip() and any(same(x[2:], (ss, se)) for x in part) else o if (o or "").strip() and any(same(x[2:], (os, oe)) for x in part) else max((x[1] for x in part), key=lambda m: (len(m), m))
+            want |= {(g, x[1], min(y[1] for y in part), shown) for x in part}
+    got = resolve.display_clusters(df, fs, 0.8).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(labels)
+    assert {"the subject", "the object"} <= {r.display for r in got}
+    assert resolve.display_clusters(df.limit(0), fs, 0.8).count() == 0
