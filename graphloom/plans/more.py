@@ -16,6 +16,8 @@ from ..operators import qa as Q
 from ..operators import resolve as C
 from ..operators import similarity as M
 from ..operators import stability as S
+from ..streaming import engine as Z
+from . import oracle
 from . import views as W
 from .oracle import CLASH, EDGES, EV, LI, MEASURE, STATUS, TV
 
@@ -607,3 +609,26 @@ def display_clusters(spark, d):
     none = F.lit(None).cast("array<double>")
     f = lab.groupBy("set_id").agg(F.min("name").alias("s")).select("set_id", "s", F.split("s", " ")[0].alias("s_surface"), none.alias("s_embedding"), F.lit(None).cast("string").alias("o"), F.lit(None).cast("string").alias("o_surface"), none.alias("o_embedding"))
     return C.display_clusters(lab, f, 0.25)
+
+
+# ---- the engine as a stream, and its similarity mode
+
+
+@query(f"SELECT set_id, s, r, o, status FROM ({oracle.SQL['edge_status']})")
+def stream_status(spark, d):
+    """Status of every edge once the stream has read all of lineitem, batch after batch."""
+    return Z.current_edges(spark, Z.replay(W.lineitem(spark, d))).select("set_id", "s", "r", "o", "status")
+
+
+@query(f"SELECT set_id, source, added, merged, conflicts FROM ({oracle.SQL['update_log']})")
+def stream_log(spark, d):
+    """Counts of each source, summed over the batches in which it came."""
+    table = Z.replay(W.event_evidence(spark, d))
+    return Z.current_log(spark, table)
+
+
+@query()
+def similarity_fold(spark, d):
+    """Lineitem's edges where suppliers with a cosine of 0.2 or more are one object: by order of arrival, so not in SQL."""
+    v = W.table(spark, d, "embeddings").select(F.concat(F.lit("s"), "vec_id").alias("o"), F.col("embedding").alias("v"))
+    return Z.coalesced_edges(W.lineitem(spark, d).join(v, "o", "left"), 0.2)

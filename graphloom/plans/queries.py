@@ -14,6 +14,7 @@ from ..operators import learning as N
 from ..operators import qa as Q
 from ..operators import resolve as C
 from ..operators import stability as S
+from ..streaming import engine as X
 from . import views as W
 
 QUERIES: dict = {}
@@ -329,6 +330,6 @@ def fuzzy_match(spark, d):
 
 @query
 def stream_fold(spark, d):
-    from ..streaming.fold import replay
-
-    return replay(W.event_evidence(spark, d))
+    """Event evidence through the stateful stream, by batch, and the table that it leaves."""
+    cols = ["set_id", "s", "r", "o", "polarity", "confidence", "first_seq", "n_evidence"]
+    return X.current_edges(spark, X.replay(W.event_evidence(spark, d))).select(*cols)
