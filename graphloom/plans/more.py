@@ -16,6 +16,8 @@ from ..operators import qa as Q
 from ..operators import resolve as C
 from ..operators import similarity as M
 from ..operators import stability as S
+from ..sources import corpus as B
+from ..sources.shared import forget, shared_path
 from ..streaming import engine as Z
 from . import oracle
 from . import views as W
@@ -632,3 +634,27 @@ def similarity_fold(spark, d):
     """Lineitem's edges where suppliers with a cosine of 0.2 or more are one object: by order of arrival, so not in SQL."""
     v = W.table(spark, d, "embeddings").select(F.concat(F.lit("s"), "vec_id").alias("o"), F.col("embedding").alias("v"))
     return Z.coalesced_edges(W.lineitem(spark, d).join(v, "o", "left"), 0.2)
+
+
+# ---- documents as annotated blocks, written and read again by byte ranges
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\x00-\x20]+', ' ', 'g')) AS t FROM documents),
+  w AS (SELECT doc_id, substr(t, 1, 40) || ' ' || substr(t, 41) AS text, regexp_extract_all(substr(t, 1, 400), '[A-Za-z]{4,}') AS w FROM t)
+  SELECT doc_id, md5(text) AS digest, length(text)::INTEGER AS n_chars, len(w)::INTEGER AS n_entities, CASE WHEN len(w) > 1 THEN 1 ELSE 0 END AS n_relations, w[1] AS head, w[len(w)] AS tail FROM w""")
+def corpus_blocks(spark, d):
+    """Words of four letters or more at a text's start are its entities; the first is related to the last."""
+    t = W.table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x20]+", " ")).alias("t"))
+    w = t.withColumn("w", F.regexp_extract_all(F.substring("t", 1, 400), F.lit("[A-Za-z]{4,}"), F.lit(0)))
+    entity = F.transform("w", lambda x, i: F.concat_ws("\t", "doc_id", i, i + F.length(x), x, F.lit(""), F.concat(F.lit("W"), i)))
+    relation = F.when(F.size("w") > 1, F.array(F.concat_ws("\t", "doc_id", F.lit("CID"), F.lit("W0"), F.concat(F.lit("W"), F.size("w") - 1)))).otherwise(F.array().cast("array<string>"))
+    path = shared_path(spark)
+    B.written_as_pubtator(w.select(F.col("doc_id").alias("id"), F.substring("t", 1, 40).alias("title"), F.expr("substring(t, 41)").alias("abstract"), entity.alias("entities"), relation.alias("relations")), path)
+    forget(spark, path)
+    b = B.pubtator(spark, path, 1 << 20)
+    at = lambda i: F.get("entities", F.get("relations", F.lit(0))[i])["text"]
+    first = F.get("entities", F.lit(0))["text"]
+    return b.select(
+        F.col("id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), F.length("text").alias("n_chars"), F.size("entities").alias("n_entities"),
+        F.size("relations").alias("n_relations"), F.coalesce(at("head"), first).alias("head"), F.coalesce(at("tail"), first).alias("tail"),
+    )

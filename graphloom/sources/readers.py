@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .corpus import pubtator  # noqa: F401  the reader of annotated abstracts
 
 TRIPLES = "array<array<array<string>>>"
 EXTRACTOR_LOG = "sets array<struct<fact string, paraphrases array<string>, baseline_1 struct<triples_per_paraphrase {0}>, baseline_2 struct<triples_per_paraphrase {0}>, baseline_3 struct<triples_per_paraphrase {0}>>>".format(TRIPLES)
@@ -56,33 +57,6 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("text")).where("text <> ''")
 
 
-def pubtator(spark: SparkSession, path: str) -> DataFrame:
-    """doc, text, entities, relations of annotated abstracts: blocks start at a title line; each file is one row to begin with.
-
-    Entity: at least six tab-separated fields with whole offsets. Relation: exactly four, the second CID or NR; ends
-    are found by identifier, the last entity of an identifier counting.
-    """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("file", F.input_file_name())
-    files = files.where(~F.lower(F.element_at(F.split("file", "/"), -1)).startswith("readme"))
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(~F.col("line").startswith("#"))
-    title = (F.size(F.split("line", "\\|", 3)) == 3) & ~F.coalesce(F.get(F.split("line", "\\|"), F.lit(1)) == "a", F.lit(False))
-    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("block", F.sum(title.cast("int")).over(w)).where("block > 0")
-    bar, tab = F.split("line", "\\|", 3), F.split("line", "\t")
-    lines = lines.withColumn("part", F.when((F.size(bar) == 3) & bar[1].isin("t", "a"), bar[2])).withColumn("f", tab)
-    entity = (F.size("f") >= 6) & F.try_element_at("f", F.lit(2)).try_cast("int").isNotNull() & F.try_element_at("f", F.lit(3)).try_cast("int").isNotNull()
-    e = F.struct("n", F.get("f", F.lit(1)).try_cast("int").alias("start"), F.get("f", F.lit(2)).try_cast("int").alias("end"), F.get("f", F.lit(3)).alias("text"), F.coalesce(F.nullif(F.substring(F.trim(F.get("f", F.lit(4))), 1, 50), F.lit("")), F.lit("T047")).alias("type"), F.get("f", F.lit(5)).alias("identifier"))
-    r = F.struct("n", F.get("f", F.lit(2)).alias("head"), F.get("f", F.lit(3)).alias("tail"), F.get("f", F.lit(1)).alias("type"))
-    relation = (F.size("f") == 4) & F.get("f", F.lit(1)).isin("CID", "NR")
-    d = lines.groupBy("file", "block").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("n", "part")))), lambda x: x["part"]), " ").alias("text"),
-        F.sort_array(F.collect_list(F.when(entity, e))).alias("entities"), F.sort_array(F.collect_list(F.when(relation, r))).alias("_r"),
-    )
-    last = lambda name: F.array_max(F.filter(F.transform("entities", lambda x, i: F.when(x["identifier"] == name, i)), lambda x: x.isNotNull()))
-    found = F.transform("_r", lambda x: F.struct(last(x["head"]).alias("head"), last(x["tail"]).alias("tail"), x["type"].alias("type")))
-    return d.select("file", "block", "text", "entities", F.filter(found, lambda x: x["head"].isNotNull() & x["tail"].isNotNull()).alias("relations"))
-
-
 def split_rows(df: DataFrame, key: str, train: float = 0.8, dev: float = 0.1, seed: int = 42) -> DataFrame:
     """df with `split` by a keyed hash, sizes int(n * ratio); shares are cut by rank over hash ranges, not in one task."""
     n = df.count()
