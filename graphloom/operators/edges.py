@@ -6,7 +6,7 @@ normalised object. Every fold is one aggregation on (set_id, s, r, k), so a hot
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import relation as R
@@ -20,8 +20,8 @@ def fold(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy(*KEY).agg(
         F.min("seq").alias("first_seq"), F.min_by("o", "seq").alias("o"), F.min_by("polarity", "seq").alias("polarity"),
         F.min_by("source", "seq").alias("first_source"), F.max("confidence").alias("confidence"),
-        F.sort_array(F.collect_list(F.struct(*EVIDENCE))).alias("provenance"), F.count_distinct("source").alias("n_sources"),
-    )
+        F.sort_array(F.collect_list(F.struct(*EVIDENCE))).alias("provenance"),
+    ).withColumn("n_sources", F.size(F.array_compact(F.array_distinct("provenance.source"))).cast("long"))
 
 
 def fold_light(evidence: DataFrame) -> DataFrame:
@@ -118,24 +118,49 @@ def update_log(evidence: DataFrame) -> DataFrame:
     )
 
 
+def provenance_runs(evidence: DataFrame, edges: DataFrame) -> DataFrame:
+    """set_id, s, r, o, runs: each edge's sources with the seq at which each first told it, in that order.
+
+    A source counts once, however often it comes, so a run is no longer than the edge's distinct sources.
+    """
+    own = evidence.join(edges.select(*KEY, F.col("o").alias("_o")), KEY).groupBy("set_id", "s", "r", F.col("_o").alias("o"), "source").agg(F.min("seq").alias("at"))
+    return own.groupBy("set_id", "s", "r", "o").agg(F.array_sort(F.collect_list(F.struct("at", "source"))).alias("runs"))
+
+
+def sources_before(runs: Column, seq: Column, inclusive: bool = False) -> Column:
+    """The sources of sorted runs whose first seq is below seq (or equal to it): a prefix, found by halving."""
+    low, high = F.lit(0), F.size(runs)
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(runs) + 1.0)).cast("int") + 1)
+    below = (lambda x: x["at"] <= seq) if inclusive else (lambda x: x["at"] < seq)
+
+    def halve(state, _):
+        mid = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        first = below(F.get(runs, mid))
+        open_ = state["low"] < state["high"]
+        return F.struct(F.when(open_ & first, mid + 1).otherwise(state["low"]).alias("low"), F.when(open_ & ~first, mid).otherwise(state["high"]).alias("high"))
+
+    end = F.aggregate(steps, F.struct(low.alias("low"), high.alias("high")), halve)["low"]
+    return F.transform(F.slice(runs, F.lit(1), end), lambda x: x["source"])
+
+
 def conflict_records(evidence: DataFrame) -> DataFrame:
     """A record on each edge of a conflict: set_id, s, r, o, conflict_type, peer_relation, peer_object, seq, sources.
 
     Two edges record each other when the later one comes (seq): their sources are the earlier edge's up to then and the
     newcomer's. An edge whose polarity is contradicted records itself, with its sources so far. Sources are distinct
-    and sorted. Sources come by a join on the edge with the evidence before the conflict.
+    and sorted. They are looked up in the edge's runs, so evidence and conflicts are shuffled once each, not their product.
     """
     edges = fold_light(evidence)
+    runs = provenance_runs(evidence, edges)
     rel = relation_conflicts(edges).select("set_id", "s", "r1", F.col("o").alias("o1"), "r2", F.col("o").alias("o2"), F.col("first_seq2").alias("seq"), F.col("source").alias("new"), "conflict_type")
     obj = object_conflicts(edges).select("set_id", "s", F.col("r").alias("r1"), "o1", F.col("r").alias("r2"), "o2", F.col("first_seq2").alias("seq"), F.col("source").alias("new"), "conflict_type")
-    both = rel.unionByName(obj).withColumn("id", F.xxhash64("set_id", "s", "r1", "o1", "r2", "o2", "conflict_type"))
-    own = evidence.join(edges.select(*KEY, F.col("o").alias("edge_o")), KEY).select("set_id", "s", F.col("r").alias("r1"), F.col("edge_o").alias("o1"), F.col("seq").alias("_at"), "source")
-    told = both.join(own, ["set_id", "s", "r1", "o1"]).where("_at < seq").groupBy("set_id", "s", "r1", "o1", "r2", "o2", "seq", "conflict_type", "new").agg(F.collect_set("source").alias("was"))
+    own = runs.select("set_id", "s", F.col("r").alias("r1"), F.col("o").alias("o1"), "runs")
+    told = rel.unionByName(obj).join(own, ["set_id", "s", "r1", "o1"]).withColumn("was", sources_before(F.col("runs"), F.col("seq")))
     sources = F.array_sort(F.array_distinct(F.concat("was", F.array("new"))))
     one = lambda a, b: told.select("set_id", "s", F.col(f"r{a}").alias("r"), F.col(f"o{a}").alias("o"), "conflict_type", F.col(f"r{b}").alias("peer_relation"), F.col(f"o{b}").alias("peer_object"), "seq", sources.alias("sources"))
-    clash = merge_clashes(evidence, edges).select("set_id", "s", "r", "k", "seq", "conflict_type")
-    so_far = clash.join(evidence.select(*KEY, F.col("seq").alias("_at"), "source"), KEY).where("_at <= seq").groupBy("set_id", "s", "r", "k", "seq", "conflict_type").agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    merged = so_far.join(edges.select(*KEY, "o"), KEY).select("set_id", "s", "r", "o", "conflict_type", F.col("r").alias("peer_relation"), F.col("o").alias("peer_object"), "seq", "sources")
+    clash = merge_clashes(evidence, edges).join(edges.select(*KEY, "o"), KEY).join(runs, ["set_id", "s", "r", "o"])
+    so_far = F.array_sort(sources_before(F.col("runs"), F.col("seq"), inclusive=True))
+    merged = clash.select("set_id", "s", "r", "o", "conflict_type", F.col("r").alias("peer_relation"), F.col("o").alias("peer_object"), "seq", so_far.alias("sources"))
     return one(1, 2).unionByName(one(2, 1)).unionByName(merged)
 
 

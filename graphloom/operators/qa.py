@@ -120,28 +120,39 @@ def retrieve(questions: DataFrame, lines: DataFrame, k: int = LINES, anchor_poin
 
     A line scores a point for each distinct word that the anchors hold, and anchor_points for each anchor of more than
     two characters that it contains, letters' case aside; null, empty and "?" anchors are none. Ties go to the smaller id.
-    Lines that score nothing are not returned. Words meet in an inverted index. An anchor can only lie in a line that
-    holds its rarest run of three characters, so anchors meet lines by that run, and are then looked for.
+    Lines that score nothing are not returned.
+
+    Words meet in an inverted index. An anchor can only lie in a line that holds its rarest run of three characters, so
+    ids of anchors and lines meet by that run. Word points alone bound a line's score from below, and those with all
+    its possible anchors from above: only lines whose upper bound reaches the k-th lower bound of their question are
+    looked into, and only then is their text fetched.
     """
     usable = F.filter(F.transform("anchors", lambda x: F.lower(F.trim(x))), lambda x: (x != "") & (x != "?") & x.isNotNull())
     q = questions.select("q_id", usable.alias("anchors"))
     low = lines.select("line_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     word = q.select("q_id", F.explode(T.overlap_words(F.array_join("anchors", " "))).alias("w"))
     d = low.select("line_id", F.explode(T.overlap_words(F.col("text"))).alias("w"))
-    points = d.join(word, "w").select("q_id", "line_id", F.lit(1).alias("p"))
+    points = d.join(word, "w").groupBy("q_id", "line_id").agg(F.count("*").alias("p"))
 
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), F.lit(1)))  # noqa: E731  one pass, however long the text
     a = q.select("q_id", F.posexplode("anchors").alias("at", "a")).where(F.length("a") > 2)
-    held = low.where(F.length("text") > 2).select("line_id", "text", F.explode(runs(F.col("text"))).alias("g"))
-    often = held.groupBy("g").agg(F.count("*").alias("n"))
     distinct = a.select("a").distinct()
-    rare = distinct.select("a", F.explode(runs(F.col("a"))).alias("g")).join(often, "g", "left")
-    rare = rare.groupBy("a").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("g"))
-    inside = held.join(rare, "g").where(F.col("text").contains(F.col("a"))).select("a", "line_id")
-    points = points.unionAll(a.join(inside, "a").select("q_id", "line_id", F.lit(anchor_points).alias("p")))
-    hits = points.groupBy("q_id", "line_id").agg(F.sum("p").alias("score"))
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "line_id")
-    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    run = distinct.select("a", F.explode(runs(F.col("a"))).alias("g"))
+    held = low.where(F.length("text") > 2).select("line_id", F.explode(runs(F.col("text"))).alias("g")).join(run.select("g").distinct(), "g", "left_semi")
+    often = held.groupBy("g").agg(F.count("*").alias("n"))
+    rare = run.join(often, "g", "left").groupBy("a").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("g"))
+    maybe = a.join(rare, "a").join(held, "g").groupBy("q_id", "line_id").agg(F.collect_list("a").alias("maybe"))
+    bounds = points.join(maybe, ["q_id", "line_id"], "full").withColumn("p", F.coalesce("p", F.lit(0)))
+    bounds = bounds.withColumn("upper", F.col("p") + anchor_points * F.coalesce(F.size("maybe"), F.lit(0)))
+    w = Window.partitionBy("q_id")
+    ranked = bounds.withColumn("_k", F.row_number().over(w.orderBy(F.desc("p"), "line_id")))
+    reach = ranked.withColumn("_bar", F.max(F.when(F.col("_k") == k, F.col("p"))).over(w)).where("_bar is null or upper >= _bar").drop("_k", "_bar", "upper")
+    sure, open_ = reach.where("maybe is null").select("q_id", "line_id", F.col("p").alias("score")), reach.where("maybe is not null")
+    inside = F.size(F.filter("maybe", lambda x: F.contains(F.col("text"), x)))
+    seen = open_.join(low, "line_id").select("q_id", "line_id", (F.col("p") + anchor_points * inside).alias("score"))
+    hits = sure.unionByName(seen).where("score > 0")
+    order = w.orderBy(F.desc("score"), "line_id")
+    return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def prompt(lines: DataFrame, retrieved: DataFrame, questions: DataFrame) -> DataFrame:

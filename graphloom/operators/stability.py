@@ -23,12 +23,39 @@ def note_graphs(triples: DataFrame, weak: bool = False) -> DataFrame:
     return triples.groupBy("set_id", "note").agg(F.collect_set(t if weak else F.when(F.col("r") != WEAK, t)).alias("g"))
 
 
+#: notes of a triple up to which its pairs are made from one list
+SHARED = 64
+
+
+def shared_counts(held: DataFrame) -> DataFrame:
+    """set_id, i, j, c: how many triples of held(set_id, note, t), which are distinct, the notes i < j share; only pairs that share one.
+
+    An inverted list: each triple tells which notes hold it. A triple of more than SHARED notes is joined with itself
+    instead, so that no row holds all its pairs. Counts are added up before the shuffle.
+    """
+    notes = held.groupBy("set_id", "t").agg(F.count("*").alias("n")).where("n > 1")
+    few = held.join(notes.where(F.col("n") <= SHARED), ["set_id", "t"], "left_semi").groupBy("set_id", "t").agg(F.array_sort(F.collect_list("note")).alias("x"))
+    later = F.transform("x", lambda i, at: F.transform(F.slice("x", at + 2, F.lit(SHARED)), lambda j: F.struct(i.alias("i"), j.alias("j"))))
+    cold = few.select("set_id", F.explode(F.flatten(later)).alias("p")).select("set_id", "p.i", "p.j")
+    many = held.join(notes.where(F.col("n") > SHARED), ["set_id", "t"], "left_semi")
+    hot = many.withColumnRenamed("note", "i").join(many.withColumnRenamed("note", "j"), ["set_id", "t"]).where("i < j").select("set_id", "i", "j")
+    return cold.unionByName(hot).groupBy("set_id", "i", "j").agg(F.count("*").alias("c"))
+
+
 def note_pairs(triples: DataFrame, weak: bool = False) -> DataFrame:
-    """set_id, i, j, ged, jaccard of the notes i < j of each set; the join has the set as its key."""
-    g = note_graphs(triples, weak)
-    a, b = g.select("set_id", F.col("note").alias("i"), F.col("g").alias("a")), g.select("set_id", F.col("note").alias("j"), F.col("g").alias("b"))
-    pairs = a.join(b, "set_id").where("i < j")
-    return pairs.select("set_id", "i", "j", edit_distance(F.col("a"), F.col("b")).alias("ged"), jaccard(F.col("a"), F.col("b")).alias("jaccard"))
+    """set_id, i, j, ged, jaccard of the notes i < j of each set: what two notes share comes from inverted lists, the rest from their sizes.
+
+    No graphs are compared pair by pair; a note without triples is an empty graph.
+    """
+    t = F.struct("s", "r", "o")
+    held = triples.select("set_id", "note", (t if weak else F.when(F.col("r") != WEAK, t)).alias("t")).distinct()
+    sizes = held.groupBy("set_id", "note").agg(F.count("t").alias("n"))
+    a, b = (sizes.select("set_id", F.col("note").alias(x), F.col("n").alias(n)) for x, n in (("i", "a"), ("j", "b")))
+    every = a.join(b, "set_id").where("i < j").withColumn("c", F.lit(0).cast("long"))
+    told = shared_counts(held.where("t is not null")).select("set_id", "i", "j", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "c")
+    both = every.unionByName(told).groupBy("set_id", "i", "j").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.sum("c").alias("c"))
+    share = F.when(F.expr("a + b = 0"), F.lit(1.0)).otherwise(F.col("c") / F.expr("a + b - c"))
+    return both.select("set_id", "i", "j", F.expr("a + b - 2 * c").alias("ged"), share.alias("jaccard"))
 
 
 def drift(pairs: DataFrame, tau: float = 0.2) -> DataFrame:
