@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import relation as R
 from ..functions import text as T
+from ..sources.shared import stage
 from ..functions import vector as V
 
 
@@ -122,37 +123,49 @@ def retrieve(questions: DataFrame, lines: DataFrame, k: int = LINES, anchor_poin
     two characters that it contains, letters' case aside; null, empty and "?" anchors are none. Ties go to the smaller id.
     Lines that score nothing are not returned.
 
-    Words meet in an inverted index. An anchor can only lie in a line that holds its rarest run of three characters, so
-    ids of anchors and lines meet by that run. Word points alone bound a line's score from below, and those with all
-    its possible anchors from above: only lines whose upper bound reaches the k-th lower bound of their question are
-    looked into, and only then is their text fetched.
+    Terms (anchors and words) have posting lists of line ids. An anchor can only lie in a line that holds its rarest run of
+    three characters: ids meet by that run, and the text of those lines alone is fetched to look. A question first
+    scores the lines of its heaviest, then rarest term; its k-th best score so far is a bar. Terms that together weigh
+    less than the bar bring no line that others don't, so their lists are left alone; a question whose other terms all
+    weigh less is done.
     """
     usable = F.filter(F.transform("anchors", lambda x: F.lower(F.trim(x))), lambda x: (x != "") & (x != "?") & x.isNotNull())
-    q = questions.select("q_id", usable.alias("anchors"))
+    q = questions.select("q_id", usable.alias("anchors")).select("q_id", F.filter("anchors", lambda x: F.length(x) > 2).alias("long"), T.overlap_words(F.array_join("anchors", " ")).alias("ws"))
     low = lines.select("line_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    word = q.select("q_id", F.explode(T.overlap_words(F.array_join("anchors", " "))).alias("w"))
-    d = low.select("line_id", F.explode(T.overlap_words(F.col("text"))).alias("w"))
-    points = d.join(word, "w").groupBy("q_id", "line_id").agg(F.count("*").alias("p"))
 
     runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), F.lit(1)))  # noqa: E731  one pass, however long the text
-    a = q.select("q_id", F.posexplode("anchors").alias("at", "a")).where(F.length("a") > 2)
-    distinct = a.select("a").distinct()
-    run = distinct.select("a", F.explode(runs(F.col("a"))).alias("g"))
+    run = q.select(F.explode("long").alias("a")).distinct().select("a", F.explode(runs(F.col("a"))).alias("g"))
     held = low.where(F.length("text") > 2).select("line_id", F.explode(runs(F.col("text"))).alias("g")).join(run.select("g").distinct(), "g", "left_semi")
     often = held.groupBy("g").agg(F.count("*").alias("n"))
     rare = run.join(often, "g", "left").groupBy("a").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("g"))
-    maybe = a.join(rare, "a").join(held, "g").groupBy("q_id", "line_id").agg(F.collect_list("a").alias("maybe"))
-    bounds = points.join(maybe, ["q_id", "line_id"], "full").withColumn("p", F.coalesce("p", F.lit(0)))
-    bounds = bounds.withColumn("upper", F.col("p") + anchor_points * F.coalesce(F.size("maybe"), F.lit(0)))
-    w = Window.partitionBy("q_id")
-    ranked = bounds.withColumn("_k", F.row_number().over(w.orderBy(F.desc("p"), "line_id")))
-    reach = ranked.withColumn("_bar", F.max(F.when(F.col("_k") == k, F.col("p"))).over(w)).where("_bar is null or upper >= _bar").drop("_k", "_bar", "upper")
-    sure, open_ = reach.where("maybe is null").select("q_id", "line_id", F.col("p").alias("score")), reach.where("maybe is not null")
-    inside = F.size(F.filter("maybe", lambda x: F.contains(F.col("text"), x)))
-    seen = open_.join(low, "line_id").select("q_id", "line_id", (F.col("p") + anchor_points * inside).alias("score"))
-    hits = sure.unionByName(seen).where("score > 0")
-    order = w.orderBy(F.desc("score"), "line_id")
-    return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    maybe = rare.join(held, "g").groupBy("line_id").agg(F.collect_list("a").alias("la"))
+    inside = maybe.join(low, "line_id").select("line_id", F.filter("la", lambda x: F.contains(F.col("text"), x)).alias("la"))
+    held_by = stage(low.select("line_id", T.overlap_words(F.col("text")).alias("lw")).join(inside, "line_id", "left").withColumn("la", F.coalesce("la", F.array().cast("array<string>"))))
+
+    told = lambda name, c: F.transform(c, lambda x: F.concat(F.lit(name), x))
+    term = q.select("q_id", F.explode(F.concat(told("a", "long"), told("w", "ws"))).alias("t")).groupBy("q_id", "t").agg(F.count("*").alias("n"))
+    term = term.select("q_id", "t", (F.col("n") * F.when(F.col("t").startswith("a"), anchor_points).otherwise(1)).alias("weight"))
+    post = stage(held_by.select("line_id", F.explode(F.concat(told("a", "la"), told("w", "lw"))).alias("t")).join(term.select("t").distinct(), "t", "left_semi"))
+    term = stage(term.join(post.groupBy("t").agg(F.count("*").alias("df")), "t"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(q, "q_id").join(held_by, "line_id")
+        anchors = F.size(F.filter("long", lambda x: F.array_contains("la", x)))
+        return both.select("q_id", "line_id", (anchor_points * anchors + F.size(F.array_intersect("ws", "lw"))).alias("score"))
+
+    def best(hits: DataFrame) -> DataFrame:
+        order = Window.partitionBy("q_id").orderBy(F.desc("score"), "line_id")
+        return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+    of = Window.partitionBy("q_id")
+    first = term.withColumn("rest", F.sum("weight").over(of) - F.col("weight")).withColumn("_n", F.row_number().over(of.orderBy(F.desc("weight"), "df", "t"))).where("_n = 1")
+    one = stage(best(scored(first.select("q_id", "t").join(post, "t").select("q_id", "line_id"))))
+    bars = one.where(F.col("rank") == k).select("q_id", F.col("score").alias("bar"))
+    bars = stage(first.select("q_id", "rest").join(bars, "q_id", "left"))
+    upward = F.sum("weight").over(of.orderBy("weight", F.desc("df"), "t").rowsBetween(Window.unboundedPreceding, 0))
+    needed = term.withColumn("_up", upward).join(bars.where("bar is null or rest >= bar"), "q_id").where("bar is null or _up >= bar")
+    more = best(scored(needed.select("q_id", "t").join(post, "t").select("q_id", "line_id").distinct()))
+    return one.join(bars.where("bar is not null and rest < bar"), "q_id", "left_semi").unionByName(more)
 
 
 def prompt(lines: DataFrame, retrieved: DataFrame, questions: DataFrame) -> DataFrame:
