@@ -11,6 +11,7 @@ from ..operators import align as A
 from ..operators import edges as E
 from ..operators import extract as X
 from ..operators import labels as L
+from ..operators import linker as K
 from ..operators import learning as N
 from ..operators import qa as Q
 from ..operators import resolve as C
@@ -658,3 +659,34 @@ def corpus_blocks(spark, d):
         F.col("id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), F.length("text").alias("n_chars"), F.size("entities").alias("n_entities"),
         F.size("relations").alias("n_relations"), F.coalesce(at("head"), first).alias("head"), F.coalesce(at("tail"), first).alias("tail"),
     )
+
+
+# ---- a linker over aliases
+
+
+@query("""WITH a AS (SELECT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS alias, min(item_id::VARCHAR) AS cui FROM benchmark GROUP BY 1)
+  SELECT doc_id, alias, cui, (strpos(lower(text), alias) - 1)::INTEGER AS first FROM documents, a WHERE alias <> ' ' AND strpos(lower(text), alias) > 0""")
+def alias_first(spark, d):
+    """Where the first two words of each benchmark passage first stand in each document."""
+    w = F.split("text", " ")
+    names = W.table(spark, d, "benchmark").select(F.concat(w[0], F.lit(" "), F.coalesce(F.get(w, F.lit(1)), F.lit(""))).alias("alias"), F.col("item_id").cast("string").alias("cui"))
+    return K.alias_hits(W.table(spark, d, "documents"), names.where("alias <> ' '")).groupBy("doc_id", "alias", "cui").agg(F.min("start").alias("first"))
+
+
+_GRAMS = "(SELECT term, substr(' ' || term || ' ', i::BIGINT, 3) AS g, count(*) AS tf FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM {0}) GROUP BY ALL)"
+
+
+@query(f"""WITH known AS (SELECT p_name AS term, min(p_partkey::VARCHAR) AS cui FROM part GROUP BY p_name), asked AS (SELECT DISTINCT substr(p_name, 1, 2) || substr(p_name, 4) AS term FROM part),
+  n AS (SELECT count(*) AS n FROM known), kt AS {_GRAMS.format('known')}, mt AS {_GRAMS.format('asked')}, df AS (SELECT g, count(*) AS df FROM kt GROUP BY g),
+  kw AS (SELECT term, kt.g, tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS w FROM kt JOIN df ON df.g = kt.g, n),
+  mw AS (SELECT term, mt.g, tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + coalesce(df, 0))) + 1) AS w FROM mt LEFT JOIN df ON df.g = mt.g, n),
+  kn AS (SELECT term, sqrt(sum(w * w)) AS norm FROM kw GROUP BY term), mn AS (SELECT term, sqrt(sum(w * w)) AS norm FROM mw GROUP BY term),
+  s AS (SELECT mw.term AS mention, kw.term AS alias, round(sum(mw.w * kw.w) / (any_value(mn.norm) * any_value(kn.norm)), 9) AS score
+    FROM mw JOIN kw ON kw.g = mw.g JOIN mn ON mn.term = mw.term JOIN kn ON kn.term = kw.term GROUP BY mw.term, kw.term),
+  b AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, alias) AS k FROM s WHERE score >= CAST(0.5 AS DOUBLE))
+  SELECT mention, alias, cui, round(score, 6) AS score FROM b JOIN known ON known.term = b.alias WHERE k = 1""")
+def linker_best(spark, d):
+    """Names of parts without their third letter, linked to the names."""
+    p = W.table(spark, d, "part")
+    asked = p.select(F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)")).alias("mention"))
+    return K.link_mentions(asked, p.select(F.col("p_name").alias("alias"), F.col("p_partkey").cast("string").alias("cui"))).select("mention", "alias", "cui", *_r("score"))
