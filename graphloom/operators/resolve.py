@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -231,20 +233,40 @@ def fuzzy_match(terms: DataFrame, vocabulary: DataFrame, least: float = 0.82) ->
 GAP = "(?<=[.!?])\\s+|\\n+"
 
 
+def _placed(find, schema: str, texts: DataFrame) -> DataFrame:
+    """Rows (doc_id, pos, start, stop) that find(text) gives for each text, in one pass over it."""
+
+    def run(batches):
+        for b in batches:
+            row, out = [], ([], [], [])
+            for i, text in enumerate(b.column("text").to_pylist()):
+                for pos, (start, stop) in enumerate(find(text)):
+                    row.append(i)
+                    for c, x in zip(out, (pos, start, stop), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(out[0], pa.int64()), *[pa.array(x, pa.int32()) for x in out[1:]]], names=["doc_id", "pos", "start", "stop"])
+
+    return texts.mapInArrow(run, schema)
+
+
 def sentence_spans(docs: DataFrame, least: int = 0) -> DataFrame:
     """doc_id, pos, start, stop of sentences cut after [.!?] and white space or at line feeds, exact offsets in the text.
 
     Blank pieces are no sentences, nor are those of fewer than `least` characters; pos counts those that are.
     """
-    cut = F.split("text", GAP, -1)
-    gap = F.regexp_extract_all("text", F.lit(GAP), F.lit(0))
-    step = lambda a, x: F.struct(
-        (a["at"] + F.length(x["c"]) + F.length(F.coalesce(x["g"], F.lit("")))).alias("at"),
-        F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x["c"])).alias("stop"), ((F.trim(x["c"]) != "") & (F.length(F.trim(x["c"])) >= least)).alias("ok")))).alias("out"),
-    )
-    empty = F.array().cast("array<struct<start:int,stop:int,ok:boolean>>")
-    spans = F.filter(F.aggregate(F.arrays_zip(cut.alias("c"), gap.alias("g")), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"], lambda x: x["ok"])
-    return docs.where("text is not null").select("doc_id", F.posexplode(spans).alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), "x.start", "x.stop")
+    gap = re.compile(GAP, re.ASCII)
+
+    def find(text):
+        ends = [*((m.start(), m.end()) for m in gap.finditer(text)), (len(text), len(text))]
+        at = 0
+        for start, end in ends:
+            inner = text[at:start].strip(" ")
+            if inner and len(inner) >= least:
+                yield at, start
+            at = end
+
+    rows = docs.where("text is not null").select("doc_id", "text")
+    return _placed(find, f"doc_id {dict(rows.dtypes)['doc_id']}, pos long, start int, stop int", rows)
 
 
 def sentence_statistics(spans: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -254,22 +276,33 @@ def sentence_statistics(spans: DataFrame, mentions: DataFrame) -> DataFrame:
     return d.agg(F.count("*").alias("n_sentences"), F.count("e").alias("n_with_entities"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_entities"), F.sum(F.col("stop") - F.col("start")).cast("long").alias("chars"))
 
 
+#: characters of a bucket of positions
+BUCKET = 1024
+
+
 def contained(mentions: DataFrame, spans: DataFrame) -> DataFrame:
-    """Mentions(doc_id, start, stop) with the sentence that holds them whole; offsets are of the sentence."""
-    s = spans.select("doc_id", "pos", F.col("start").alias("s0"), F.col("stop").alias("s1"))
-    hit = mentions.join(s, "doc_id").where("start >= s0 and stop <= s1")
+    """Mentions(doc_id, start, stop) with the sentence that holds them whole; offsets are of the sentence.
+
+    A sentence is posted to each bucket of positions that it reaches, a mention to the one where it starts: they meet
+    there, so a long document costs no product of its mentions and sentences.
+    """
+    reach = F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.greatest(F.col("stop") - 1, F.col("start"))) / BUCKET))
+    s = spans.select("doc_id", "pos", F.col("start").alias("s0"), F.col("stop").alias("s1"), F.explode(reach).alias("_b"))
+    hit = mentions.withColumn("_b", F.floor(F.col("start") / BUCKET)).join(s, ["doc_id", "_b"]).where("start >= s0 and stop <= s1")
     return hit.select("doc_id", "pos", (F.col("start") - F.col("s0")).alias("start"), (F.col("stop") - F.col("s0")).alias("stop"))
 
 
 def mentions_of(docs: DataFrame, needle: str) -> DataFrame:
     """doc_id, start, stop of all places of a plain text in the documents, none overlapping."""
-    parts = F.split("text", "\\Q" + needle + "\\E", -1)
-    n = len(needle)
-    starts = F.aggregate(
-        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct((a["at"] + F.length(x) + n).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(x))).alias("out")),
-    )["out"]
-    return docs.where("text is not null").select("doc_id", F.explode(starts).alias("start")).withColumn("stop", F.col("start") + n)
+
+    def find(text):
+        at = text.find(needle)
+        while at >= 0:
+            yield at, at + len(needle)
+            at = text.find(needle, at + len(needle))
+
+    rows = docs.where("text is not null").select("doc_id", "text")
+    return _placed(find, f"doc_id {dict(rows.dtypes)['doc_id']}, pos long, start int, stop int", rows).drop("pos")
 
 
 def mentions_in_sentences(docs: DataFrame, needle: str) -> DataFrame:

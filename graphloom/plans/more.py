@@ -515,7 +515,8 @@ def sentence_count(spark, d):
     return s.agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_sentences"))
 
 
-@query()
+@query(f"""WITH {oracle.SENTENCES.format(least=10)}, e AS (SELECT doc_id, pos, count(*) AS e FROM he GROUP BY doc_id, pos)
+  SELECT count(*) AS n_sentences, count(e) AS n_with_entities, coalesce(sum(e), 0)::BIGINT AS n_entities, sum(s1 - s0)::BIGINT AS chars FROM se LEFT JOIN e ON e.doc_id = se.doc_id AND e.pos = se.pos""")
 def sentence_statistics(spark, d):
     docs = W.table(spark, d, "documents").select("doc_id", "text")
     return C.sentence_statistics(C.sentence_spans(docs, 10), C.mentions_of(docs, " the "))

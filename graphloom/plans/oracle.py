@@ -117,6 +117,17 @@ def _compare() -> str:
     return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"
 
 
+#: sentences of documents with offsets, of at least {least} characters, and places of " the "; the mark before a gap is the sentence's
+SENTENCES = r"""d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+  sc AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?]\s+|\n+')) AS c, generate_subscripts(regexp_split_to_array(text, '[.!?]\s+|\n+'), 1) AS i FROM d),
+  sg AS (SELECT doc_id, unnest(regexp_extract_all(text, '[.!?]\s+|\n+')) AS g, generate_subscripts(regexp_extract_all(text, '[.!?]\s+|\n+'), 1) AS i FROM d),
+  sp AS (SELECT sc.doc_id, sc.i, c || CASE WHEN g[1] IN ('.', '!', '?') THEN g[1] ELSE '' END AS t,
+    coalesce(sum(length(c) + coalesce(length(g), 0)) OVER (PARTITION BY sc.doc_id ORDER BY sc.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM sc LEFT JOIN sg ON sg.doc_id = sc.doc_id AND sg.i = sc.i),
+  se AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, s0, s0 + length(t) AS s1 FROM sp WHERE trim(t) <> '' AND length(trim(t)) >= {least}),
+  mp AS (SELECT doc_id, unnest(string_split(text, ' the ')) AS c, generate_subscripts(string_split(text, ' the '), 1) AS i FROM d),
+  mn AS (SELECT doc_id, sum(length(c) + 5) OVER (PARTITION BY doc_id ORDER BY i) - 5 AS m0, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS back FROM mp),
+  he AS (SELECT se.doc_id, pos, m0 - s0 AS start, m0 + 5 - s0 AS stop FROM mn JOIN se ON se.doc_id = mn.doc_id AND m0 >= s0 AND m0 + 5 <= s1 WHERE back > 1)"""
+
 SQL = {
     "drift_top10": f"WITH {DRIFT} {DRIFT_ROW} ORDER BY d.mean_jaccard, set_id LIMIT 10",
     "stability_pairwise": f"WITH {PAIRS} SELECT set_id, i, j, ged, round(jaccard, 6) AS jaccard FROM p",
@@ -207,4 +218,5 @@ SQL = {
     "sim_components": """WITH RECURSIVE n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS w FROM n), e AS (SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM w a JOIN w b USING (w)),
       c(node, other) AS (SELECT a, b FROM e UNION SELECT c.node, e.b FROM c JOIN e ON c.other = e.a) SELECT node, min(other) AS component FROM c GROUP BY node""",
     "stream_fold": f"""WITH {TV} SELECT set_id, s, r, arg_min(o, seq) AS o, 'positive' AS polarity, CAST(1 AS DOUBLE) AS confidence, min(seq) AS first_seq, count(*) AS n_evidence FROM tv GROUP BY set_id, s, r, o""",
+    "entity_in_sentence": f"WITH {SENTENCES.format(least=0)} SELECT doc_id, pos, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM he",
 }

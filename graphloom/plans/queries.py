@@ -292,7 +292,7 @@ def type_counts(spark, d):
 
 @query
 def entity_in_sentence(spark, d):
-    """Each document's first the/and mention and the sentence (by order) that holds it: interval containment by document."""
+    """Every mention of " the " and the sentence, by order, that holds it whole: interval containment by buckets of positions."""
     docs = W.table(spark, d, "documents").select("doc_id", "text")
     return C.mentions_in_sentences(docs, " the ")
 

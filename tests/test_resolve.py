@@ -174,3 +174,15 @@ def test_display_clusters(spark):
     assert set(map(tuple, got)) == want and len(got) == len(labels)
     assert {"the subject", "the object"} <= {r.display for r in got}
     assert resolve.display_clusters(df.limit(0), fs, 0.8).count() == 0
+
+
+def test_a_document_of_10_megabytes(spark):
+    """Sentences and mentions of one long text take one pass, and meet by buckets."""
+    import time
+
+    text = ("word the cat sat. " * 5 + "\n") * 110_000
+    df = spark.createDataFrame([(1, text), (2, "x" * 3000 + " the " + "y" * 3000 + ".")], "doc_id long, text string")
+    began = time.time()
+    rows = resolve.mentions_in_sentences(df, " the ").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("start").alias("a"), F.max("start").alias("b")).collect()
+    assert {tuple(r) for r in rows} == {(1, 550_000, 4, 4), (2, 1, 3000, 3000)}
+    assert time.time() - began < 60
