@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import relation as R
+from ..functions import vector as V
 
 KEY = ["set_id", "s", "r", "k"]
 EVIDENCE = ("seq", "source", "s", "r", "o", "confidence", "polarity")
@@ -32,6 +33,59 @@ def fold_light(evidence: DataFrame) -> DataFrame:
     )
 
 
+def alike(k1: str | None, v1: list | None, k2: str | None, v2: list | None, threshold: float | None) -> bool:
+    """Whether two objects mean the same: equal surfaces, or a cosine >= threshold (0 where a vector is missing)."""
+    if k1 is not None and k1 == k2:
+        return True
+    if threshold is None or v1 is None or v2 is None:
+        return False
+    a, b = sum(x * x for x in v1) ** 0.5, sum(x * x for x in v2) ** 0.5
+    return (sum(x * y for x, y in zip(v1, v2, strict=True)) / (a * b) if a >= 1e-12 and b >= 1e-12 else 0.0) >= threshold
+
+
+def coalesce(evidence: DataFrame, threshold: float | None = None) -> DataFrame:
+    """evidence with o and k of the edge that it goes to, by similarity in order of arrival; a column v holds o's vector.
+
+    Evidence goes to its own object's edge, else to the first equivalent one, by name, that was there before it (see
+    `alike`), else it makes one. An object becomes an edge if none that is live means the same when it first comes, as
+    once it has met one it always will. So only the distinct objects of a subject and relation are walked in order, and
+    evidence meets them in a join. Null ends are left out; a null polarity is positive, a null confidence 1.
+    """
+    e = evidence.withColumn("polarity", F.coalesce("polarity", F.lit("positive"))).withColumn("confidence", F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)))
+    e = e.where("s is not null and r is not null and o is not null")
+    e = e.withColumn("v", F.col("v").cast("array<double>") if "v" in e.columns else F.lit(None).cast("array<double>"))
+    on = ["set_id", "s", "r"]
+    objects = e.groupBy(*on, "o").agg(F.min("seq").alias("first_seq"), F.min_by(F.struct("k", "v"), "seq").alias("x")).select(*on, "o", "first_seq", "x.k", "x.v")
+
+    def walk(pdf):
+        kept: list[tuple] = []
+        pdf = pdf.sort_values("first_seq", kind="stable")
+        at = []
+        for i, (k, v) in enumerate(zip(pdf["k"], pdf["v"], strict=True)):
+            if not any(alike(a, b, k, v, threshold) for a, b in kept):
+                kept.append((k, v))
+                at.append(i)
+        return pdf.iloc[at]
+
+    kinds = dict(objects.dtypes)
+    leaders = objects.groupBy(*on).applyInPandas(walk, ", ".join(f"{c} {kinds[c]}" for c in objects.columns))
+    lead = leaders.select(*on, F.col("o").alias("_o"), F.col("k").alias("_k"), F.col("v").alias("_v"), F.col("first_seq").alias("_first"))
+    same = (F.col("k") == F.col("_k")) | ((V.cosine(F.col("v"), F.col("_v")) >= threshold) if threshold is not None else F.lit(False))
+    told = objects.join(lead, on).where((F.col("o") == F.col("_o")) | F.coalesce(same, F.lit(False)))
+    own = told.groupBy(*on, "o").agg(F.sort_array(F.collect_list(F.struct("_o", "_first", "_k"))).alias("_to"))
+    there = F.filter("_to", lambda t: (t["_o"] == F.col("o")) | (t["_first"] < F.col("seq")))
+    mine = F.filter("_to", lambda t: t["_o"] == F.col("o"))
+    edge = F.coalesce(F.get(mine, F.lit(0)), F.get(there, F.lit(0)))
+    rows = e.join(own, [*on, "o"]).withColumn("_e", edge)
+    return rows.withColumn("o", F.col("_e._o")).withColumn("k", F.col("_e._k")).select(*e.columns)
+
+
+def coalesced_edges(evidence: DataFrame, threshold: float | None = None) -> DataFrame:
+    """The edges of all evidence at once: set_id, s, r, o, polarity, confidence, first_seq, n_evidence, n_clashes."""
+    told = coalesce(evidence, threshold).withColumn("k", F.col("o"))
+    return fold_clashing(told).select("set_id", "s", "r", "o", "polarity", "confidence", "first_seq", "n_evidence", "n_clashes")
+
+
 def merge_clashes(evidence: DataFrame, edges: DataFrame) -> DataFrame:
     """Later evidence whose polarity differs from its edge's."""
     e = edges.select(*KEY, "first_seq", F.col("polarity").alias("edge_polarity"))
@@ -164,10 +218,10 @@ def conflict_records(evidence: DataFrame) -> DataFrame:
     return one(1, 2).unionByName(one(2, 1)).unionByName(merged)
 
 
-def one_shot(evidence: DataFrame) -> DataFrame:
-    """Edges with status of each note alone: the same fold with the note as part of the set."""
+def one_shot(evidence: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Edges with status of each note alone: the same fold with the note as part of the set; objects coalesce in it at a threshold."""
     alone = evidence.withColumn("_set", F.col("set_id")).withColumn("set_id", F.struct("_set", F.col("source").alias("note"))).drop("_set")
-    out = with_status(alone)
+    out = with_status(alone if threshold is None else coalesce(alone, threshold))
     return out.select(F.col("set_id._set").alias("set_id"), F.col("set_id.note").alias("note"), "s", "r", "o", "polarity", "status", "first_seq")
 
 

@@ -635,7 +635,7 @@ def stream_log(spark, d):
 def similarity_fold(spark, d):
     """Lineitem's edges where suppliers with a cosine of 0.2 or more are one object: by order of arrival, so not in SQL."""
     v = W.table(spark, d, "embeddings").select(F.concat(F.lit("s"), "vec_id").alias("o"), F.col("embedding").alias("v"))
-    return Z.coalesced_edges(W.lineitem(spark, d).join(v, "o", "left"), 0.2)
+    return E.coalesced_edges(W.lineitem(spark, d).join(v, "o", "left"), 0.2)
 
 
 # ---- documents as annotated blocks, written and read again by byte ranges

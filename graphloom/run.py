@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text as T
 from .operators import align as A
 from .operators import edges as E
 from .operators import labels as L
@@ -31,6 +32,8 @@ class Options:
     label_map: str | None = None
     graph: str | None = None
     texts: str | None = None
+    vectors: str | None = None
+    object_merge: float = 0.75
     baseline: str = "baseline_3"
     out: str | None = None
     drift_tau: float = 0.2
@@ -50,6 +53,17 @@ def _labels(spark: SparkSession, o: Options, raw: DataFrame) -> DataFrame:
     return build_relation_map(spark, o, raw)["map"].where("mapped <> 'unknown'").select(F.col("label").alias("key"), F.col("mapped").alias("relation"))
 
 
+def _vectors(spark: SparkSession, o: Options) -> DataFrame:
+    """surface, embedding of a parquet table of texts and their vectors; none without a path."""
+    return spark.read.parquet(o.vectors).select("surface", F.col("embedding").cast("array<double>").alias("embedding")) if o.vectors else spark.createDataFrame([], NO_VECTORS)
+
+
+def _with_vectors(spark: SparkSession, o: Options, evidence: DataFrame) -> DataFrame:
+    """The evidence with the vector v of its object, by the object's normalised surface; missing ones are null."""
+    named = T.with_surface(_vectors(spark, o), "surface", "_k").groupBy("_k").agg(F.min_by("embedding", "surface").alias("v"))
+    return T.with_surface(evidence, "o", "_k").join(named, "_k", "left").drop("_k")
+
+
 def _golds(raw: DataFrame) -> DataFrame:
     from .functions import relation as R
 
@@ -66,14 +80,20 @@ def build_relation_map(spark: SparkSession, o: Options, raw: DataFrame | None =
 
 
 def run_state_engine(spark: SparkSession, o: Options) -> dict[str, DataFrame]:
-    """The evidence of a log, aligned and folded into a graph a set; stability, support, conflicts, and answers from the graph."""
+    """The evidence of a log, aligned and folded into a graph a set; stability, support, conflicts, and answers from the graph.
+
+    With a table of vectors, objects whose cosine is object_merge or more are one, in order of arrival.
+    """
     raw = stage(readers.extractor_log(spark, o.log, o.baseline))
     named = stage(_labels(spark, o, raw))
     mapper = readers.first_mapper(readers.mapper_file(spark, o.mapper)) if o.mapper else None
     evidence = stage(A.with_fallback(raw, named, mapper))
     facts = raw.select("set_id", "fact").distinct()
+    at = o.object_merge if o.vectors else None
+    told = evidence if at is None else stage(_with_vectors(spark, o, evidence))
+    evidence = evidence if at is None else stage(E.coalesce(told, at))
     state = stage(A.pin_seed(E.with_status(evidence), facts))
-    shots = E.one_shot(evidence).where("status <> 'uncertain'" if not o.include_weak else "true").select("set_id", "note", "s", "r", "o")
+    shots = E.one_shot(told, at).where("status <> 'uncertain'" if not o.include_weak else "true").select("set_id", "note", "s", "r", "o")
     pairs = stage(S.note_pairs(shots, o.include_weak))
     drift = S.drift(pairs, o.drift_tau)
     graph = state.select("set_id", "s", "r", "o")
@@ -90,7 +110,7 @@ def run_state_engine(spark: SparkSession, o: Options) -> dict[str, DataFrame]:
 def _answers(spark: SparkSession, o: Options, graph: DataFrame) -> dict[str, DataFrame]:
     questions = stage(readers.questions(spark, o.qa))
     ranked = stage(Q.ranked_lookup(graph, questions))
-    rows = stage(Q.scored(ranked, questions, spark.createDataFrame([], NO_VECTORS)))
+    rows = stage(Q.scored(ranked, questions, _vectors(spark, o)))
     return {"qa": sinks.per_question(rows, ranked), "qa_summary": Q.summary(rows), "qa_misses": Q.misses(rows, questions)}
 
 

@@ -115,3 +115,22 @@ def test_writers(spark, tmp_path):
     groups = spark.createDataFrame([(0, "causes", 2, [1.0])], "cluster_id long, relation string, n long, centroid array<double>")
     sinks.write_clusters(groups, str(tmp_path / "c"))
     assert readers.cluster_map(spark, str(tmp_path / "c")).collect() == groups.collect()
+
+
+def test_state_engine_with_vectors(spark, options, tmp_path):
+    """Equivalent objects become one edge, and answers are told by similarity."""
+    log = {"sets": [{"fact": "Aspirin can cause gastric bleeding.", "paraphrases": ["a", "b", "c"], **{f"baseline_{i}": {"triples_per_paraphrase": [[["Aspirin", "causes", "tummy ache"]], [["Aspirin", "causes", "belly pain"]], [["Aspirin", "causes", "headache"]]]} for i in (1, 2, 3)}}]}
+    qa = {"examples": [{"question": "What does aspirin cause?", "subject": "aspirin", "relation": "causes", "object": "?", "answer": a} for a in ("abdominal pain", "tummy ache", "fever")]}
+    (tmp_path / "log.json").write_text(json.dumps(log))
+    (tmp_path / "qa.json").write_text(json.dumps(qa))
+    vectors = {"tummy ache": [1.0, 0.0, 0.0], "Belly Pain": [0.9, 0.43, 0.0], "headache": [0.0, 0.2, 1.0], "abdominal pain": [0.8, 0.6, 0.0], "fever": [0.0, 1.0, 0.0]}
+    rows = [(k, v) for k, v in vectors.items()] + [(k.lower(), v) for k, v in vectors.items() if k != k.lower()]
+    spark.createDataFrame(rows, "surface string, embedding array<double>").write.parquet(str(tmp_path / "vectors"))
+    o = run.Options(log=str(tmp_path / "log.json"), qa=str(tmp_path / "qa.json"), mapper=None, label_map=None)
+    plain = {r.o for r in run.run_state_engine(spark, o)["state"].collect()}
+    o.vectors = str(tmp_path / "vectors")
+    out = run.run_state_engine(spark, o)
+    merged = {r.o: r.n_evidence for r in out["state"].collect() if r.first_seq is not None}
+    assert {"tummy ache", "belly pain", "headache"} <= plain and merged == {"tummy ache": 2, "headache": 1}
+    told = {r.q_id: (r.exact, r.hit) for r in out["qa"].collect()}
+    assert told == {0: (False, True), 1: (True, True), 2: (False, False)}
