@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,25 +145,76 @@ def kmeans(vectors: DataFrame, k: int = CLUSTERS, seed: int = 42) -> DataFrame:
     return model.transform(rows).select("id", F.col("prediction").cast("long").alias("cluster"))
 
 
-def refine(members: DataFrame, rounds: int = ROUNDS, most: int = MOST_CLUSTERS, seed: int = 42) -> DataFrame:
-    """members(id, cluster, relation, embedding) with impure clusters halved by 2-means, round by round.
+def _halved(rows: DataFrame, todo: list[int], steps: int) -> DataFrame:
+    """id, half (0 or 1) of the members of the clusters `todo`, each split by two means; all clusters in each step.
 
-    Ends when nothing is impure or there are `most` clusters; the second half gets the next free number.
+    The first means are the member of smallest id and the one farthest from it (ties: smallest id). What comes to the
+    driver is two means a cluster, and there are at most `most` clusters: members are told their nearest mean and
+    summed where they are read, and the sums are added up by key.
+    """
+    mine = rows.where(F.col("cluster").isin(todo)).select("id", "cluster", F.col("embedding").cast("array<double>").alias("v"))
+    first = mine.groupBy("cluster").agg(F.min_by("v", "id").alias("a"))
+    gap = F.aggregate(F.zip_with("v", "a", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda p, x: p + x)
+    far = mine.join(first, "cluster").groupBy("cluster").agg(F.any_value("a").alias("a"), F.max_by("v", F.struct(gap, -F.col("id"))).alias("b"))
+    means = {r.cluster: np.array([r.a, r.b]) for r in far.collect()}
+
+    def halves(b, means):
+        x = np.stack(b.column("v").to_numpy(zero_copy_only=False)) if b.num_rows else np.empty((0, 1))
+        c = b.column("cluster").to_numpy()
+        m = np.stack([means[k] for k in c.tolist()]) if len(c) else np.empty((0, 2, 1))
+        return c, x, ((x[:, None] - m) ** 2).sum(axis=2).argmin(axis=1)
+
+    def summed(means):
+        def run(batches):
+            for b in batches:
+                c, x, half = halves(b, means)
+                keys, at = np.unique(np.stack([c, half]), axis=1, return_inverse=True)
+                total, n = np.zeros((keys.shape[1], x.shape[1])), np.bincount(at.ravel(), minlength=keys.shape[1])
+                np.add.at(total, at.ravel(), x)
+                k, d = total.shape
+                cols = [np.repeat(keys[0], d), np.repeat(keys[1], d), np.tile(np.arange(d), k), total.ravel(), np.repeat(n, d)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["cluster", "half", "pos", "total", "n"])
+
+        return run
+
+    def told(means):
+        def run(batches):
+            for b in batches:
+                half = halves(b, means)[2]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(half.astype(np.int64), pa.int64())], names=["id", "half"])
+
+        return run
+
+    for _ in range(steps):
+        sums = mine.mapInArrow(summed(means), "cluster long, half long, pos long, total double, n long").groupBy("cluster", "half", "pos").agg((F.sum("total") / F.sum("n")).alias("mean"))
+        new = {k: m.copy() for k, m in means.items()}
+        for r in sums.collect():
+            new[r.cluster][r.half, r.pos] = r["mean"]
+        moved = max((np.abs(new[k] - means[k]).max() for k in means), default=0.0)
+        means = new
+        if moved < 1e-9:
+            break
+    return mine.mapInArrow(told(means), f"id {dict(mine.dtypes)['id']}, half long")
+
+
+def refine(members: DataFrame, rounds: int = ROUNDS, most: int = MOST_CLUSTERS, steps: int = 20) -> DataFrame:
+    """members(id, cluster, relation, embedding) with impure clusters halved by 2-means, round by round, all at once.
+
+    Ends when nothing is impure or there are `most` clusters; of a round's clusters, in order, the second half gets the
+    next free number. Null vectors stay in the first half. A step is one job for all clusters.
     """
     from ..sources.shared import stage
 
-    cur = stage(members.select("id", "cluster", "relation", "embedding"))
+    cur = stage(members.select("id", F.col("cluster").cast("long").alias("cluster"), "relation", "embedding"))
     for _ in range(rounds):
         state = cur.agg(F.count_distinct("cluster"), F.max("cluster")).first()  # two numbers
         todo = [r["cluster"] for r in impure(cur).where("split").select("cluster").orderBy("cluster").collect()]  # at most `most` clusters
         if not todo or state[0] >= most:
             break
-        free = state[1] + 1
-        for c in todo:
-            half = kmeans(cur.where(F.col("cluster") == c), 2, seed).withColumnRenamed("cluster", "_half")
-            moved = F.when((F.col("cluster") == c) & (F.col("_half") == 1), free).otherwise(F.col("cluster"))
-            cur = stage(cur.join(half, "id", "left").withColumn("cluster", moved.cast("long")).drop("_half"))
-            free += 1
+        half = _halved(cur.where("embedding is not null"), todo, steps)
+        number = F.create_map(*[F.lit(x) for i, c in enumerate(todo) for x in (c, state[1] + 1 + i)])
+        moved = F.when(F.col("half") == 1, F.element_at(number, F.col("cluster"))).otherwise(F.col("cluster"))
+        cur = stage(cur.join(half, "id", "left").withColumn("cluster", moved).drop("half"))
     return cur
 
 

@@ -186,3 +186,38 @@ def test_a_document_of_10_megabytes(spark):
     rows = resolve.mentions_in_sentences(df, " the ").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("start").alias("a"), F.max("start").alias("b")).collect()
     assert {tuple(r) for r in rows} == {(1, 550_000, 4, 4), (2, 1, 3000, 3000)}
     assert time.time() - began < 60
+
+
+def test_refinement_equals_a_model(spark):
+    """2-means of all impure clusters at once, round by round, against numpy."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + rng.normal(size=(14, 5)) * 0.5 for c in rng.normal(size=(9, 5)) * 2])
+    relation = [f"r{(i // 14) % 4}" for i in range(len(x))]
+    start = [(i // 14) // 3 for i in range(len(x))]
+    cluster = np.array(start)
+    for _ in range(3):
+        names = []
+        for c in sorted(set(cluster.tolist())):
+            n = sorted((relation[i] for i in np.flatnonzero(cluster == c)))
+            k = sorted((n.count(r) for r in set(n)), reverse=True)
+            if len(n) >= 4 and len(k) > 1 and k[1] >= max(2, int(len(n) * 0.2)):
+                names.append(c)
+        if not names:
+            break
+        free = cluster.max() + 1
+        for at, c in enumerate(names):
+            i = np.flatnonzero(cluster == c)
+            a = x[i[0]]
+            m = np.array([a, x[i[((x[i] - a) ** 2).sum(axis=1).argmax()]]])
+            for _step in range(20):
+                half = ((x[i][:, None] - m) ** 2).sum(axis=2).argmin(axis=1)
+                new = np.array([x[i][half == h].mean(axis=0) if (half == h).any() else m[h] for h in (0, 1)])
+                done = np.abs(new - m).max() < 1e-9
+                m = new
+                if done:
+                    break
+            half = ((x[i][:, None] - m) ** 2).sum(axis=2).argmin(axis=1)
+            cluster[i[half == 1]] = free + at
+    df = spark.createDataFrame([(i, int(c), r, v.tolist()) for i, (c, r, v) in enumerate(zip(start, relation, x, strict=True))], "id long, cluster long, relation string, embedding array<double>")
+    got = {r.id: r.cluster for r in learning.refine(df, rounds=3).collect()}
+    assert got == dict(enumerate(cluster.tolist())) and len(set(got.values())) > 5
