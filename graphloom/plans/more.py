@@ -17,6 +17,7 @@ from ..operators import qa as Q
 from ..operators import resolve as C
 from ..operators import similarity as M
 from ..operators import stability as S
+from ..sources import backfill as H
 from ..sources import corpus as B
 from ..sources.shared import forget, shared_path
 from ..streaming import engine as Z
@@ -691,3 +692,22 @@ def linker_best(spark, d):
     p = W.table(spark, d, "part")
     asked = p.select(F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)")).alias("mention"))
     return K.link_mentions(asked, p.select(F.col("p_name").alias("alias"), F.col("p_partkey").cast("string").alias("cui"))).select("mention", "alias", "cui", *_r("score"))
+
+
+# ---- a log of extractors, filled again
+
+
+@query("""WITH n AS (SELECT doc_id, string_split(trim(regexp_replace(substr(text, 1, 200), '[\\x00-\\x20]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL)
+  SELECT x.extractor, x.n AS run, doc_id AS set_id, w[1] AS s, x.r AS r, w[len(w)] AS o FROM n, (VALUES ('b1', 2, 'raises'), ('b2', 1, 'treats')) x(extractor, n, r)""")
+def backfilled_log(spark, d):
+    """Two extractors over the documents' beginnings; the first is filled again by another model, the second stays."""
+    text = F.trim(F.regexp_replace(F.substring("text", 1, 200), "[\\x00-\\x20]+", " "))
+    notes = W.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("long").alias("set_id"), F.lit(0).cast("long").alias("note"), text.alias("text"))
+    path, w = shared_path(spark), F.split("text", " ")
+    says = lambda r: lambda n: n.select("set_id", "note", F.array(F.struct(w[0].alias("s"), F.lit(r).alias("r"), F.element_at(w, -1).alias("o"))).alias("triples"))
+    H.backfill(spark, path, notes, {"b1": ("first", says("causes")), "b2": ("first", says("treats"))})
+    forget(spark, path)
+    H.backfill(spark, path, notes, {"b1": ("second", says("raises")), "b2": ("first", says("never"))})
+    versions = [{name: x["version"] for name, x in m["extractors"].items()} for m in H.history(spark, path)]
+    run = F.when(F.col("version") == versions[0]["b1"], 1).when(F.col("version") == versions[0]["b2"], 1).otherwise(2)
+    return H.read_log(spark, path).select("extractor", run.alias("run"), "set_id", F.explode("triples").alias("t")).select("extractor", "run", "set_id", "t.s", "t.r", "t.o")
