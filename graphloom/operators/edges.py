@@ -6,6 +6,8 @@ normalised object. Every fold is one aggregation on (set_id, s, r, k), so a hot
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,3 +265,8 @@ def display_edges(edges: DataFrame) -> DataFrame:
     rank = F.when(status == "uncertain", 2).when(status == "weak", 1).otherwise(0)
     out = edges.groupBy("s", "o").agg(F.array_join(F.sort_array(F.collect_set("r")), ",").alias("relations"), F.max(rank).alias("_k"), F.count("*").alias("n"))
     return out.withColumn("status", F.get(F.array(*[F.lit(x) for x in SEVERITY]), "_k")).drop("_k")
+
+
+def bag(*graphs: DataFrame) -> DataFrame:
+    """s, r, o of all graphs together; what several of them hold, or one holds twice, stays as often."""
+    return reduce(DataFrame.unionByName, [g.select("s", "r", "o") for g in graphs])

@@ -711,3 +711,11 @@ def backfilled_log(spark, d):
     versions = [{name: x["version"] for name, x in m["extractors"].items()} for m in H.history(spark, path)]
     run = F.when(F.col("version") == versions[0]["b1"], 1).when(F.col("version") == versions[0]["b2"], 1).otherwise(2)
     return H.read_log(spark, path).select("extractor", run.alias("run"), "set_id", F.explode("triples").alias("t")).select("extractor", "run", "set_id", "t.s", "t.r", "t.o")
+
+
+@query(f"""WITH {TV}, {LI}, b AS (SELECT s, r, o FROM tv UNION ALL SELECT s, r, o FROM li UNION ALL SELECT s, r, o FROM li WHERE polarity = 'negative')
+  SELECT r, count(*) AS n, count(DISTINCT s || '|' || o) AS pairs FROM b GROUP BY r""")
+def bag_merge(spark, d):
+    """Triples of two tables, one of them in part twice, with repeats kept."""
+    li = W.lineitem(spark, d)
+    return E.bag(W.events(spark, d), li, li.where("polarity = 'negative'")).groupBy("r").agg(F.count("*").alias("n"), F.count_distinct(F.concat_ws("|", "s", "o")).alias("pairs"))

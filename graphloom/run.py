@@ -150,21 +150,26 @@ def generate_aligned_qa(spark: SparkSession, o: Options) -> dict[str, DataFrame]
 
 
 def compare_to_baselines(spark: SparkSession, o: Options) -> dict[str, DataFrame]:
-    """A row for each extractor and one for the engine: mean GED, Jaccard and drift of sets, QA scores; none for extractors without triples."""
+    """A row for each extractor and one for the engine: mean GED, Jaccard and drift of sets, QA scores; none for extractors without triples.
+
+    Unsupported shares a note and conflict records are the engine's alone. Also as the eight columns of the report.
+    """
     out = None
     for name in [*o.baselines, "engine"]:
         if name == "engine":
             done = run_state_engine(spark, o)
             drift, graph, n = done["stability"], done["graph"], F.lit(1)
+            more = done["support"].agg(F.avg("mean").alias("unsupported")).join(done["conflicts"].agg(F.count("*").alias("conflicts")))
         else:
             t = stage(readers.extractor_log(spark, o.log, name))
             drift, graph, n = S.drift(S.note_pairs(t, weak=True), o.drift_tau), t.select("s", "r", "o"), F.lit(int(not t.isEmpty()))
+            more = spark.createDataFrame([(None, None)], "unsupported double, conflicts long")
         row = drift.agg(F.avg("mean_ged").alias("ged"), F.avg("mean_jaccard").alias("jaccard"), F.avg("drift").alias("drift"))
-        if o.qa:
-            row = row.join(_answers(spark, o, graph)["qa_summary"].select("exact", "hit"))
+        qa = _answers(spark, o, graph)["qa_summary"].select("exact", "hit") if o.qa else spark.createDataFrame([(None, None)], "exact double, hit double")
+        row = row.join(qa).join(more)  # a row each
         row = row.select(F.lit(name).alias("extractor"), *[F.when(n > 0, F.col(c)).alias(c) for c in row.columns])
         out = row if out is None else out.unionAll(row)
-    return {"comparison": out}
+    return {"comparison": out, "comparison_table": sinks.comparison_table(out, o.drift_tau)}
 
 
 def run_full_pipeline(spark: SparkSession, o: Options) -> dict[str, DataFrame]:

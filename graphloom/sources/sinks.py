@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
+
+
+def _finite(c: Column, kind: DataType) -> Column:
+    """c with NaN and infinite numbers, however deep they lie, as nulls; c itself where its type can hold none."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~(F.isnan(c) | (F.abs(c) == float("inf"))), c)
+    if not any(x in kind.simpleString() for x in ("double", "float")):
+        return c
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, x: _finite(x, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_finite(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN and infinite doubles become null."""
-    out = []
-    for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
-        bad = F.isnan(c) | (F.abs(c) == float("inf"))
-        out.append(F.when(~bad, c).alias(name) if kind in ("double", "float") else c)
-    return df.select(*out)
+    """NaN and infinite doubles become null, also inside arrays, maps and structs."""
+    return df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -101,3 +112,17 @@ def html(title: str, tables: dict[str, DataFrame], limit: int = 25) -> str:
         body = "".join("<tr>" + "".join(f"<td>{cell(x)}</td>" for x in r) + "</tr>" for r in df.limit(limit).collect())
         out.append(f"<h2>{escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
     return "\n".join(out)
+
+
+def comparison_table(rows: DataFrame, tau: float = 0.2) -> DataFrame:
+    """The eight columns of a comparison: rows(extractor, ged, jaccard, drift, exact, hit, unsupported, conflicts)."""
+    # Headings of the report.
+    names = ("Method", "GED mean", "Jaccard mean", f"Drift@{tau:g}", "QA EM", "QA R@1", "Unsupported (note)", "Conflict rec.")
+    return rows.select(*[F.col(c).alias(n) for c, n in zip(("extractor", "ged", "jaccard", "drift", "exact", "hit", "unsupported", "conflicts"), names, strict=True)])
+
+
+def write_comparison(rows: DataFrame, path: str, tau: float = 0.2) -> None:
+    """The comparison as Markdown and as CSV, a row a method; what is missing is a dash there and nothing here."""
+    table = comparison_table(rows, tau).orderBy("Method").coalesce(1)
+    write_csv(table, f"{path.rstrip('/')}/csv")
+    table.sparkSession.createDataFrame([("## Summary table\n\n" + markdown(table),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/markdown")

@@ -134,3 +134,18 @@ def test_state_engine_with_vectors(spark, options, tmp_path):
     assert {"tummy ache", "belly pain", "headache"} <= plain and merged == {"tummy ache": 2, "headache": 1}
     told = {r.q_id: (r.exact, r.hit) for r in out["qa"].collect()}
     assert told == {0: (False, True), 1: (True, True), 2: (False, False)}
+
+
+def test_comparison_report(spark, tmp_path):
+    rows = spark.createDataFrame([("engine", 0.5, float("nan"), 0.25, 1.0, None, 0.125, 3), ("b1", None, None, None, None, None, None, None)], "extractor string, ged double, jaccard double, drift double, exact double, hit double, unsupported double, conflicts long")
+    sinks.write_comparison(rows, f"file://{tmp_path}/report")
+    table = next((tmp_path / "report/csv").glob("*.csv")).read_text().splitlines()
+    assert table == ["Method,GED mean,Jaccard mean,Drift@0.2,QA EM,QA R@1,Unsupported (note),Conflict rec.", "b1,,,,,,,", "engine,0.5,,0.25,1.0,,0.125,3"]
+    text = next((tmp_path / "report/markdown").glob("*.txt")).read_text()
+    assert "| engine | 0.5000 | — | 0.2500 | 1.0000 | — | 0.1250 | 3 |" in text and "| b1 | — |" in text
+
+
+def test_numbers_that_json_cannot_hold(spark):
+    df = spark.createDataFrame([(1, [1.0, float("nan")], {"a": float("inf")}, ("x", [(2.0, "y"), (float("-inf"), "z")])), (2, None, None, None)], "id long, a array<double>, m map<string,double>, s struct<n:string,l:array<struct<v:double,t:string>>>")
+    got = [r.asDict(True) for r in sinks.nan_to_null(df).orderBy("id").collect()]
+    assert got == [{"id": 1, "a": [1.0, None], "m": {"a": None}, "s": {"n": "x", "l": [{"v": 2.0, "t": "y"}, {"v": None, "t": "z"}]}}, {"id": 2, "a": None, "m": None, "s": None}]
