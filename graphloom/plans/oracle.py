@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.relation import CUES, FACT_VERBS, PASSIVE
 from ..functions.text import AGENTIVE, HEAD_STOPS
+from .views import FACTS, LINES, RELATIONS
 
 TV = """tv AS (
   SELECT user_id AS set_id, strftime(ts, '%Y-%m-%d') AS note, 'u' || user_id AS s,
@@ -51,13 +52,13 @@ def quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-FACTS = [
-    "Acetaminophen is metabolized by the liver.", "Furosemide is a diuretic.", "ACE inhibitors treat hypertension.", "Aspirin can cause gastric bleeding.",
-    "Smoking increases the risk of lung cancer.", "Metformin is used to treat type 2 diabetes.", "Cyclosporine suppresses the immune system.",
-    "Warfarin interacts with aspirin.", "Statins lower cholesterol.", "Insulin regulates blood sugar.", "Ibuprofen relieves the pain.",
-    "Vaccines prevent an infection.", "Nothing here", "Diabetes is treated with insulin", "Caffeine raises blood pressure.", "",
-]
-FACT_ROWS = "f(id, fact) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {quoted(x)})" for i, x in enumerate(FACTS)) + ")"
+def formed(forms) -> str:
+    """The form of each part's key, its name and brand in place."""
+    case = f"CASE p_partkey % {len(forms)} " + " ".join(f"WHEN {i} THEN {quoted(x)}" for i, x in enumerate(forms)) + " END"
+    return f"replace(replace({case}, '{{a}}', p_name), '{{b}}', p_brand)"
+
+
+FACT_ROWS = f"f AS (SELECT p_partkey AS id, {formed(FACTS)} AS fact FROM part)"
 CUE_OF = "CASE " + " ".join(f"WHEN regexp_matches(t, {quoted(p)}) THEN {quoted(n)}" for n, p, _ in CUES) + " ELSE 'general relation' END"
 RELATION_OF = "CASE cue " + " ".join(f"WHEN {quoted(n)} THEN {quoted(r)}" for n, _, r in CUES) + " ELSE 'related_to' END"
 
@@ -78,14 +79,9 @@ def _parsed() -> str:
 
 FACT = f"{FACT_ROWS}, fp AS (SELECT id, {_parsed()} FROM (SELECT id, trim(fact) AS t FROM f))"
 PREFIX = "(?i)^(\\s*(" + "|".join(x.replace(" ", "\\s+") for x in AGENTIVE) + ")\\s+){1,4}"
-RELATION_ROWS = [
-    ("bleeding", "caused_by", "aspirin"), ("aspirin", "causes", "bleeding"), ("aspirin", "causes", "caused by ulcer"), ("caused by aspirin", "treats", "due to pain"),
-    ("liver", "metabolizes", "drug"), ("a", "root_cause_of", "b"), ("x", "Treated By", "treated with y"), ("caused by due to aspirin", "related to", "z"),
-]
-RR = "rr(id, s, r, o) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {', '.join(map(quoted, x))})" for i, x in enumerate(RELATION_ROWS)) + ")"
+RR = "rr AS (SELECT p_partkey AS id, " + ", ".join(f"{formed([x[i] for x in RELATIONS])} AS {c}" for i, c in enumerate("sro")) + " FROM part)"
 STRIP = lambda x: f"trim(regexp_replace({x}, {quoted(PREFIX)}, ''))"
-LINES = ["a | b | c", "a | | c", "a | b", "none", "", "x|y|z|w", 'Answer: "liver"', "Unknown.", "result: 'x'", "NR", "LABEL_1", "LABEL_7", "CID", "Used To", "not related"]
-LN = "ln(id, line) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {quoted(x)})" for i, x in enumerate(LINES)) + ")"
+LN = f"ln AS (SELECT p_partkey AS id, {formed(LINES)} AS line FROM part)"
 #: Letters of the texts that decompose, by what NFKD leaves of them: a letter and a mark, which becomes a space.
 ACCENTS = {"à": "a", "á": "a", "â": "a", "ä": "a", "ç": "c", "è": "e", "é": "e", "ê": "e", "ë": "e", "í": "i", "î": "i", "ï": "i", "ñ": "n", "ó": "o", "ô": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u"}
 _plain = "lower(coalesce(text, ''))"

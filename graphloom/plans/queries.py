@@ -169,32 +169,32 @@ def sentence_split(spark, d):
 def relation_cue(spark, d):
     c = R.cue(F.col("text"))
     docs = W.table(spark, d, "documents").select("doc_id", c.alias("cue")).withColumn("relation", R.cue_relation(F.col("cue")))
-    facts = W.facts(spark).select((-1 - F.col("id")).alias("doc_id"), R.cue(F.col("fact")).alias("cue")).withColumn("relation", R.cue_relation(F.col("cue")))
+    facts = W.facts(spark, d).select((-1 - F.col("id")).alias("doc_id"), R.cue(F.col("fact")).alias("cue")).withColumn("relation", R.cue_relation(F.col("cue")))
     return docs.unionAll(facts)
 
 
 @query
 def fact_parse(spark, d):
     p = R.parse_fact(F.col("fact"))
-    return W.facts(spark).select("id", p.alias("p")).select("id", F.col("p.s").alias("s"), F.col("p.r").alias("r"), F.col("p.o").alias("o"))
+    return W.facts(spark, d).select("id", p.alias("p")).select("id", F.col("p.s").alias("s"), F.col("p.r").alias("r"), F.col("p.o").alias("o"))
 
 
 @query
 def fact_questions(spark, d):
-    p = W.facts(spark).select("id", R.parse_fact(F.col("fact")).alias("p")).where("p is not null")
+    p = W.facts(spark, d).select("id", R.parse_fact(F.col("fact")).alias("p")).where("p is not null")
     return p.select("id", F.posexplode(R.questions(F.col("p.s"), F.col("p.r"), F.col("p.o"))).alias("pos", "question")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query
 def passive_swap(spark, d):
     p = R.preprocess(F.col("s"), F.col("r"), F.col("o"))
-    return W.relation_rows(spark).select("id", p.alias("p")).select("id", "p.s", "p.r", "p.o")
+    return W.relation_rows(spark, d).select("id", p.alias("p")).select("id", "p.s", "p.r", "p.o")
 
 
 @query
 def line_parse(spark, d):
     t = T.triple_line(F.col("line"))
-    rows = W.lines(spark).select("id", t.alias("t"), T.answer_line(F.col("line")).alias("answer"), R.head_label(F.col("line")).alias("label"))
+    rows = W.lines(spark, d).select("id", t.alias("t"), T.answer_line(F.col("line")).alias("answer"), R.head_label(F.col("line")).alias("label"))
     return rows.select("id", F.col("t.s").alias("s"), F.col("t.r").alias("r"), F.col("t.o").alias("o"), "answer", "label")
 
 

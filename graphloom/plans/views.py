@@ -46,25 +46,38 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("label"), F.col("lang").alias("gold"), F.col("doc_id").alias("seq"))
 
 
-def facts(spark: SparkSession) -> DataFrame:
-    """Sentences that facts, relations and answers are parsed from."""
-    rows = [
-        "Acetaminophen is metabolized by the liver.", "Furosemide is a diuretic.", "ACE inhibitors treat hypertension.", "Aspirin can cause gastric bleeding.",
-        "Smoking increases the risk of lung cancer.", "Metformin is used to treat type 2 diabetes.", "Cyclosporine suppresses the immune system.",
-        "Warfarin interacts with aspirin.", "Statins lower cholesterol.", "Insulin regulates blood sugar.", "Ibuprofen relieves the pain.",
-        "Vaccines prevent an infection.", "Nothing here", "Diabetes is treated with insulin", "Caffeine raises blood pressure.", "",
-    ]
-    return spark.createDataFrame(list(enumerate(rows)), "id long, fact string")
-
-
-def relation_rows(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("bleeding", "caused_by", "aspirin"), ("aspirin", "causes", "bleeding"), ("aspirin", "causes", "caused by ulcer"), ("caused by aspirin", "treats", "due to pain"),
-        ("liver", "metabolizes", "drug"), ("a", "root_cause_of", "b"), ("x", "Treated By", "treated with y"), ("caused by due to aspirin", "related to", "z"),
-    ]
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, s string, r string, o string")
-
-
-def lines(spark: SparkSession) -> DataFrame:
-    rows = ["a | b | c", "a | | c", "a | b", "none", "", "x|y|z|w", "Answer: \"liver\"", "Unknown.", "result: 'x'", "NR", "LABEL_1", "LABEL_7", "CID", "Used To", "not related"]
-    return spark.createDataFrame(list(enumerate(rows)), "id long, line string")
+# Sentences, relations and lines that are made of each part's name {a} and brand {b}, by its key.
+FACTS = (
+    "{a} is metabolized by the {b}.", "{a} is a diuretic.", "{a} treat {b}.", "{a} can cause {b} bleeding.", "{a} increases the risk of {b}.", "{a} is used to treat type 2 {b}.",
+    "{a} suppresses the immune system.", "{a} interacts with {b}.", "{a} lower {b}.", "{a} regulates blood {b}.", "{a} relieves the {b}.", "{a} prevent an {b}.",
+    "Nothing here but {a}", "{a} is treated with {b}", "{a} raises {b} pressure.", "",
+)
+RELATIONS = (
+    ("{a}", "caused_by", "{b}"), ("{b}", "causes", "{a}"), ("{a}", "causes", "caused by {b}"), ("caused by {a}", "treats", "due to {b}"), ("{a}", "metabolizes", "{b}"),
+    ("{a}", "root_cause_of", "{b}"), ("{a}", "Treated By", "treated with {b}"), ("caused by due to {a}", "related to", "{b}"),
+)
+LINES = (
+    "{a} | b | {b}", "{a} | | {b}", "{a} | {b}", "none", "", "{a}|y|{b}|w", 'Answer: "{a}"', "Unknown {a}.", "result: '{b}'", "NR", "LABEL_1", "LABEL_7", "CID", "Used To {a}", "not related {b}",
+)
+
+
+def _formed(forms: tuple[str, ...]):
+    """The form of each part's key, its name and brand in place."""
+    form = F.get(F.array(*[F.lit(x) for x in forms]), (F.col("p_partkey") % len(forms)).cast("int"))
+    return F.replace(F.replace(form, F.lit("{a}"), F.col("p_name")), F.lit("{b}"), F.col("p_brand"))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, fact: a sentence a part, from which facts, relations and answers are parsed."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), _formed(FACTS).alias("fact"))
+
+
+def relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, s, r, o: a triple a part, some of them passive."""
+    ends = [_formed(tuple(x[i] for x in RELATIONS)).alias(c) for i, c in enumerate("sro")]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *ends)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, line: what a model may answer, a line a part."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), _formed(LINES).alias("line"))
