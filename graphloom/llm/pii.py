@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, text_or_empty
-from .spans import find_spans
+from .spans import find_spans, splice
 
 #: Spark setting of the secret key, and the key of sessions without one: set your own where texts are given away.
 KEY_SETTING, KEY = "spark.graphloom.pii.key", "graphloom"
@@ -261,14 +261,7 @@ def anonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     shown = named.withColumn("new", _shown(F.col("kind"), F.col("value"), F.col("norm"), F.col("new")))
     per_text = shown.groupBy(hash_).agg(F.sort_array(F.collect_list(F.struct("s", "e", "new", "first"))).alias(parts))
     mended = dirty.join(per_text, hash_, "left")
-    text = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("t")),
-        lambda a, x: F.struct(
-            x["e"].alias("at"),
-            F.concat(a["t"], F.array(F.substr(F.col("text"), (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int")), x["new"])).alias("t"),
-        ),
-        lambda a: F.concat(F.array_join(a["t"], ""), F.substr(F.col("text"), (a["at"] + 1).cast("int"))),
-    )
+    text = splice(F.col("text"), F.col(parts))
     n = F.coalesce(F.size(F.filter(parts, lambda x: x["first"])), F.lit(0)).cast("long")
     mended = mended.withColumn("text", F.coalesce(text, "text")).withColumn("n_entities", n)
     return clean.unionByName(mended.drop(hash_, parts))
