@@ -21,6 +21,8 @@ POOL, MOST_READ = 4, 8_192
 APART = (0.5, 0.6, 0.7, 0.8)
 NEAREST, SHARED = 7, 3
 BLOCK = 1024
+#: rows of a block pair that are looked at together
+ROWS = 256
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
@@ -103,16 +105,18 @@ def _checked(threshold: float, shared: int):
             hit &= block[:, None] != block[None, :]
         if not hit.any():
             return None
-        root = np.arange(len(cid))
+        root, parts = np.arange(len(cid)), [slice(at, at + ROWS) for at in range(0, len(cid), ROWS)]
         for _ in range(len(cid)):  # the smallest member that links reach
-            low = np.minimum(root, np.where(hit, root[None, :], len(cid)).min(axis=1))
+            low = np.minimum(root, np.concatenate([np.where(hit[p], root[None, :], len(cid)).min(axis=1) for p in parts]))
             if (low == root).all():
                 break
             root = low[low]
         last = key % MOST_PIVOTS  # a pair counts in the first list that both are in: no other shared pivot up to its last
         few = np.unique(near[near <= last])
-        held = (near[:, :, None] == few[None, None, :]).any(axis=1).astype(np.float32)
-        links = (hit & (held @ held.T == shared)) @ n
+        row, at = np.nonzero(near <= last)
+        held = np.zeros((len(cid), len(few)), np.float32)
+        held[row, np.searchsorted(few, near[row, at])] = 1
+        links = np.concatenate([(hit[p] & (held[p] @ held.T == shared)) @ n for p in parts])
         some = np.flatnonzero(hit.any(axis=1))
         return cid[some], cid[root[some]], links[some]
 
