@@ -1,4 +1,4 @@
-"""Groups of near copies by the exact Jaccard similarity of word shingles: prefix filter, check, connected components."""
+"""Groups of near copies by the exact Jaccard similarity of word shingles: SimHash, prefix filter, check, connected components."""
 
 from __future__ import annotations
 
@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, release, slices, stage, text_or_empty
+from .simhash import fingerprint, link_fingerprints
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BLOCK = 256
+#: Bits of the sketch of a set.
+SKETCH = 1024
 #: Shingles that many texts hold come last in the order of the prefixes. They are told by counts in one text of
 #: ORDER_BY, of which the HEAVIEST most frequent count: that only saves work, any order finds the same links.
 ORDER_BY, OFTEN, HEAVIEST = 16, 8, 200_000
@@ -93,14 +96,34 @@ def class_of(have: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(have.tobytes()).digest()[:8], "little", signed=True)
 
 
+def sketch(have: np.ndarray) -> bytes:
+    """Whether an odd number of the set's shingles falls on each bit."""
+    return np.packbits((np.bincount((have % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with sketches x and y (rows of 64-bit words) and m and n shingles can be at `similarity` or more.
+
+    A shingle that one of two sets lacks turns one bit, so they differ in at least as many shingles as their sketches in bits.
+    """
+    apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), abs(m - n))
+    both = (m + n - apart) / 2
+    return both >= similarity * (m + n - both) - 1e-9
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH // 64)
+
+
 def _classes(words: int):
     def run(batches):
         release()
         for b in slices(batches):
-            sets = [shingles(t, words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("hash"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["hash", "cid", "size"]
-            )
+            texts = b.column("text").to_pylist()
+            sets = [shingles(t, words) for t in texts]
+            fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            cols = [b.column("hash"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["hash", "cid", "size", "fp", "sketch"])
 
     return run
 
@@ -144,6 +167,54 @@ def _alike(words: int, similarity: float):
     return run
 
 
+def _maybe(similarity: float):
+    """The pairs whose sketches and sizes allow the similarity."""
+
+    def run(batches):
+        for b in batches:
+            m, n = b.column("m").to_numpy(), b.column("n").to_numpy()
+            ok = may_link(_sketches(b.column("x")), _sketches(b.column("y")), m, n, similarity)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _in_lists(similarity: float):
+    """Pairs of each list's members with different roots that may be linked; rows come sorted by (key, bi, bj)."""
+
+    def pairs(t: pa.Table):
+        key, bi, bj, own, cid, size, root = (t.column(c).to_numpy() for c in ("key", "bi", "bj", "_b", "cid", "size", "root"))
+        sk = _sketches(t.column("sketch"))
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
+        stop = np.repeat(np.append(head[1:], len(key)), np.diff(np.append(head, len(key))))
+        at, shift, out = np.arange(len(key)), 1, []
+        while len(at := at[at + shift < stop[at]]):
+            to = at + shift
+            i = at[(root[at] != root[to]) & ((bi[at] == bj[at]) | (own[at] != own[to])) & (np.minimum(size[at], size[to]) >= np.maximum(size[at], size[to]) * similarity - 1e-9)]
+            i = i[may_link(sk[i], sk[i + shift], size[i], size[i + shift], similarity)]
+            out.append(np.stack([np.minimum(cid[i], cid[i + shift]), np.maximum(cid[i], cid[i + shift])]))
+            shift += 1
+        if out and (found := np.unique(np.concatenate(out, axis=1), axis=1)).size:
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    def run(batches):
+        release()
+        left = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            left = t if left is None else pa.concat_tables([left, t])
+            last = [left.column(c).to_numpy() for c in ("key", "bi", "bj")]
+            same = np.logical_and.reduce([x == x[-1] for x in last])
+            stop = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+            if stop:
+                yield from pairs(left.slice(0, stop).combine_chunks())
+                left = left.slice(stop)
+        if left is not None and len(left):
+            yield from pairs(left.combine_chunks())
+
+    return run
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are at `similarity` or more."""
     x = sets.select(F.col("cid").alias("a"), F.col("packed").alias("x"))
@@ -151,13 +222,23 @@ def _linked(pairs: DataFrame, sets: DataFrame, words: int, similarity: float) ->
     return stage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike(words, similarity), "a long, b long"), "alike")
 
 
+def _by_simhash(classes: DataFrame) -> DataFrame:
+    """(a, b) of classes whose fingerprints are linked: equal ones, or those that SimHash's lists join."""
+    first = classes.groupBy("fp").agg(F.min("cid").alias("c"))
+    equal = classes.join(first, "fp").where("cid <> c").select(F.col("c").alias("a"), F.col("cid").alias("b"))
+    x, y = first.select(F.col("fp").alias("a"), F.col("c").alias("x")), first.select(F.col("fp").alias("b"), F.col("c").alias("y"))
+    near = link_fingerprints(first.select("fp")).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return equal.unionByName(near)
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """hash (MD5 of the text), root of every distinct text of docs(text): texts with one root are linked to each other.
 
     Links are texts with a Jaccard similarity of `similarity` or more over their distinct shingles; null text is empty,
     and texts without words are one class. Texts with equal shingles are one class, too. Linked sets share one of the
-    first (1 - similarity) of their shingles in a common order, so lists keyed by those hold all links. Members of a
-    list are compared with its first; then only members that this has not joined, with each other, in blocks.
+    first (1 - similarity) of their shingles in a common order, so lists keyed by those hold all links. Texts that SimHash
+    joins are compared first, and members of a list with its first; then only members that this has not joined, with each
+    other, in blocks. Sketches tell most pairs apart before texts are fetched.
     """
     spark = docs.sparkSession
     texts = docs.select(text_or_empty().alias("text")).withColumn("hash", F.md5(F.col("text").cast("binary")))
@@ -165,32 +246,31 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     often = some.mapInArrow(_frequent(words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     often = np.array([r["key"] for r in often.orderBy(F.desc("n"), "key").limit(HEAVIEST).collect()], np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(often)
-    told = stage(texts.select("hash", "text").mapInArrow(_classes(words), "hash string, cid long, size long"), "told")
-    classes = stage(told.groupBy("cid").agg(F.min("hash").alias("hash"), F.first("size").alias("size")), "classes")
+    told = stage(texts.select("hash", "text").mapInArrow(_classes(words), "hash string, cid long, size long, fp long, sketch binary"), "told")
+    classes = told.groupBy("cid").agg(F.min(F.struct("hash", "size", "fp", "sketch")).alias("c"))
+    classes = stage(classes.select("cid", "c.*"), "classes")
 
     flat = texts.select("text").mapInArrow(_prefixes(words, similarity, shared), "key long, cid long")
     by = Window.partitionBy("key")
     flat = flat.withColumn("low", F.min("cid").over(by)).withColumn("high", F.max("cid").over(by)).where("low < high").drop("high")
     flat = stage(flat.distinct(), "lists")
-    wanted = classes.select("cid", "hash").join(flat.select("cid").distinct(), "cid")
-    wanted = texts.dropDuplicates(["hash"]).join(wanted, "hash").select("cid", "text")
+    first = flat.where("cid <> low").select(F.col("low").alias("a"), F.col("cid").alias("b")).unionByName(_by_simhash(classes)).distinct()
+    x = classes.select(F.col("cid").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
+    y = classes.select(F.col("cid").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y"))
+    first = stage(first.join(x, "a").join(y, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_maybe(similarity), "a long, b long"), "first")
+
+    wanted = flat.select("cid").unionByName(first.select(F.explode(F.array("a", "b")).alias("cid"))).distinct()
+    wanted = texts.dropDuplicates(["hash"]).join(classes.select("cid", "hash").join(wanted, "cid"), "hash").select("cid", "text")
     sets = stage(wanted.mapInArrow(_packed, "cid long, packed binary"), "packed")
 
-    first = _linked(flat.where("cid <> low").select(F.col("low").alias("a"), F.col("cid").alias("b")).distinct(), sets, words, similarity)
-    joined = connected_components(first)
-    flat = flat.join(classes.select("cid", "size"), "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
-    flat = flat.select("key", "cid", "size", F.coalesce("root", "cid").alias("root"))
+    joined = connected_components(_linked(first, sets, words, similarity))
+    flat = flat.select("key", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
     open_ = flat.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 and n > 2")
-    rows = flat.join(open_.select("key", "n"), "key").withColumn("_nb", F.ceil(F.col("n") / BLOCK).cast("long"))
+    rows = flat.join(open_.select("key", "n"), "key").join(classes.select("cid", "size", "sketch"), "cid").withColumn("_nb", F.ceil(F.col("n") / BLOCK).cast("long"))
     rows = rows.withColumn("_b", F.pmod(F.xxhash64("cid"), F.col("_nb"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
-    rows = rows.select("key", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), "_b", "cid", "size", "root")
-    some = F.sort_array(F.collect_list(F.struct("cid", "size", "root", "_b")))
-    near = lambda x, y: (x["cid"] < y["cid"]) & (x["root"] != y["root"]) & (F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * similarity - 1e-9)
-    lists = rows.groupBy("key", "bi", "bj").agg(some.alias("m")).withColumn("x", F.explode("m"))
-    lists = lists.where((F.col("bi") == F.col("bj")) | (F.col("x._b") == F.col("bi")))
-    pairs = lists.withColumn("y", F.explode(F.filter("m", lambda y: near(F.col("x"), y) | ((F.col("bi") != F.col("bj")) & (y["_b"] == F.col("bj")) & near(y, F.col("x"))))))
-    pairs = pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-    second = _linked(stage(pairs, "pairs"), sets, words, similarity)
+    rows = rows.select("key", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), "_b", "cid", "size", "root", "sketch")
+    rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    second = _linked(stage(rows.mapInArrow(_in_lists(similarity), "a long, b long").distinct(), "pairs"), sets, words, similarity)
     joined = connected_components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
     rooted = classes.select("cid").join(joined, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"))
     return told.select("hash", "cid").distinct().join(rooted, "cid").select("hash", "root")
