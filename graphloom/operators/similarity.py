@@ -4,6 +4,8 @@ Rows have id, v (an array) and a group within which they are compared; null, zer
 Every row lives in the ball of its nearest pivot. The angle is a metric, so a partner y of x, at most theta away, lives in a
 ball p only if angle(x, p) <= angle(x, nearest) + 2 * theta and x is within theta of what the ball's members span. There, angles to
 p differ by theta at most, so only neighbouring bands of width theta meet. Each pair meets once, where the smaller id lives.
+Where rows would visit more balls than all pairs of blocks copy them, as at low thresholds on spread vectors, packed blocks of
+all rows meet in a cross join instead, which shuffles and copies nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from ..sources.shared import stage
 
 #: pivots at most, rows of smallest hash among which they are chosen for each, rows of a block
 PIVOTS, OFFERED, BLOCK = 512, 4, 1024
+#: rows that are looked at at a time, visits a row from which on all blocks are crossed instead, rows of a packed block
+ROWS, VISITS, PACK = 256, 8, 512
 SLACK = 1e-9
 
 
@@ -60,7 +64,7 @@ def _homes(pivots: np.ndarray):
     """ball and angle of each row."""
 
     def run(batches):
-        for b in batches:
+        for b in _small(batches):
             a = np.arccos(np.clip(unit(_matrix(b.column("v"))) @ pivots.T, -1, 1)) if b.num_rows else np.empty((0, 1))
             home = a.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32)), pa.array(a[np.arange(len(a)), home])], names=[*b.schema.names, "ball", "angle"])
@@ -68,16 +72,40 @@ def _homes(pivots: np.ndarray):
     return run
 
 
+def _small(batches):
+    """Batches in slices of ROWS rows, so that what is made for each row and pivot stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
+def _meet(b: pa.RecordBatch, pivots: np.ndarray, spans: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Angles of rows to pivots, and which balls each has to visit."""
+    a = np.arccos(np.clip(unit(_matrix(b.column("v"))) @ pivots.T, -1, 1))
+    return a, (a <= b.column("angle").to_numpy()[:, None] + 2 * theta + SLACK) & (a <= spans[:, 1] + theta + SLACK) & (a >= spans[:, 0] - theta - SLACK)
+
+
+def _counted(pivots: np.ndarray, spans: np.ndarray, theta: float):
+    """How many visits the rows make, bands included."""
+
+    def run(batches):
+        for b in _small(batches):
+            a, meet = _meet(b, pivots, spans, theta)
+            row, ball = np.nonzero(meet)
+            band = np.floor(a[row, ball] / theta)
+            low, high = np.floor(spans[ball] / theta).T
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(((band + s >= low) & (band + s <= high)).sum()) for s in (-1, 0, 1))])], names=["visits"])
+
+    return run
+
+
 def _visits(pivots: np.ndarray, spans: np.ndarray, theta: float):
     """Each row as a member of its band at home, and as a guest of the bands where a partner may live."""
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _small(batches):
             home = b.column("ball").to_numpy().astype(np.int64)
-            a = np.arccos(np.clip(unit(_matrix(b.column("v"))) @ pivots.T, -1, 1))
-            meet = (a <= b.column("angle").to_numpy()[:, None] + 2 * theta + SLACK) & (a <= spans[:, 1] + theta + SLACK) & (a >= spans[:, 0] - theta - SLACK)
+            a, meet = _meet(b, pivots, spans, theta)
             row, ball = np.nonzero(meet)
             band = np.floor(a[row, ball] / theta).astype(np.int64)
             low, high = np.floor(spans[ball] / theta).astype(np.int64).T
@@ -91,6 +119,45 @@ def _visits(pivots: np.ndarray, spans: np.ndarray, theta: float):
     return run
 
 
+def _packed(batches):
+    """Rows of one group that follow each other, sorted by (g, id), in blocks of PACK at most: g, low and high (ids), raw (an Arrow stream)."""
+    for b in batches:
+        g = b.column("g").to_pylist()
+        cuts = [0, *[i for i in range(1, len(g)) if g[i] != g[i - 1]], len(g)]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            for at in range(start, stop, PACK):
+                part = b.slice(at, min(PACK, stop - at))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                ids = part.column("id")
+                cols = [part.column("g").slice(0, 1), ids.slice(0, 1), ids.slice(len(ids) - 1, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["g", "low", "high", "raw"])
+
+
+def _crossed(meet: Callable):
+    def run(batches):
+        for b in batches:
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = (pa.ipc.open_stream(z.as_buffer()).read_all() for z in (x, y))
+                yield from meet(x, y).combine_chunks().to_batches()
+
+    return run
+
+
+def crossed_blocks(rows: DataFrame, meet: Callable, schema: str) -> DataFrame:
+    """meet(members, guests) over all pairs of blocks of rows(id, v, g) in one group: quadratic, but nothing is shuffled to meet.
+
+    Blocks lie in order of (g, id), so the members' block holds the smaller ids; a block meets itself, too.
+    """
+    kind = dict(rows.dtypes)
+    in_order = rows.where("g is not null").select("id", "v", "g").repartitionByRange("g", "id").sortWithinPartitions("g", "id")
+    blocks = stage(in_order.mapInArrow(_packed, f"g {kind['g']}, low {kind['id']}, high {kind['id']}, raw binary"))
+    a, b = (blocks.select(*[F.col(c).alias(f"{c}{side}") for c in ("g", "low", "high", "raw")]) for side in "ab")
+    met = a.join(b.hint("shuffle_replicate_nl"), (F.col("ga") >= F.col("gb")) & (F.col("ga") <= F.col("gb")) & (F.col("lowa") <= F.col("highb")) & (F.col("lowa") <= F.col("lowb")))
+    return met.select(F.col("rawa").alias("x"), F.col("rawb").alias("y")).mapInArrow(_crossed(meet), schema)
+
+
 def met_blocks(rows: DataFrame, threshold: float, meet: Callable, schema: str) -> DataFrame:
     """meet(members, guests) over all blocks of rows(id, v, g) that can hold a pair with cosine >= threshold > 0.
 
@@ -108,6 +175,9 @@ def met_blocks(rows: DataFrame, threshold: float, meet: Callable, schema: str) -
     for r in homes.groupBy("ball").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect():  # a row a pivot
         spans[r.ball] = r.low, r.high
     spans[~np.isfinite(spans).all(axis=1)] = 4 * np.pi, 4 * np.pi  # empty balls are visited by nobody
+    visits = homes.mapInArrow(_counted(pivots, spans, theta), "visits long").agg(F.sum("visits"), F.count("*")).first()
+    if (visits[0] or 0) > VISITS * max(1, homes.count()):
+        return crossed_blocks(homes.select("id", "v", "g"), meet, schema)
     seen = stage(homes.mapInArrow(_visits(pivots, spans, theta), f"{fields}, ball long, band long, member boolean"))
     key = ["g", "ball", "band"]
     sizes = seen.groupBy(*key).agg(F.ceil(F.count_if("member") / BLOCK).alias("_m"), F.ceil(F.count_if(~F.col("member")) / BLOCK).alias("_g")).where("_m > 0 and _g > 0")

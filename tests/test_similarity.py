@@ -89,3 +89,18 @@ def test_linkage_of_5000_vectors(spark):
     assert got == dict(enumerate(home.tolist()))
     some = np.concatenate([np.arange(i, i + 125) for i in range(0, 1000, 125)])
     assert dict(enumerate(S.merge_locally(S.unit(x[some]), np.ones(len(some)), 0.72).tolist())) == sequential(x[some], 0.72)
+
+
+def test_low_thresholds_cross_packed_blocks(spark, monkeypatch):
+    """Rows are not copied for each ball; blocks meet in a cross join, with the pairs of brute force."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(90, 6))
+    rows = spark.createDataFrame([(i, x[i].tolist(), i % 3) for i in range(90)], "vec_id long, embedding array<double>, label int")
+    crossed, original = [], S.crossed_blocks
+    monkeypatch.setattr(S, "crossed_blocks", lambda *a: crossed.append(1) or original(*a))
+    monkeypatch.setattr(S, "PACK", 7)
+    monkeypatch.setattr(S, "VISITS", 2)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if i % 3 == j % 3 and u[i] @ u[j] >= 0.3}
+    got = [(r.a, r.b) for r in S.cosine_pairs(rows, 0.3, group="label").collect()]
+    assert crossed and len(got) == len(want) and set(got) == want
