@@ -151,6 +151,11 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(raw, pa.binary())], names=["cid", "packed"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
 def _alike(words: int, similarity: float):
     def run(batches):
         release()
@@ -159,9 +164,7 @@ def _alike(words: int, similarity: float):
             for z in {*b.column("x").to_pylist(), *b.column("y").to_pylist()}:
                 made[z] = shingles(zlib.decompress(z).decode("utf-8"), words)
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = made[x], made[y]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+                ok.append(_similar(made[x], made[y], similarity))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -179,42 +182,132 @@ def _maybe(similarity: float):
     return run
 
 
-def _in_lists(similarity: float):
-    """Pairs of each list's members with different roots that may be linked; rows come sorted by (key, bi, bj)."""
-
-    def pairs(t: pa.Table):
-        key, bi, bj, own, cid, size, root = (t.column(c).to_numpy() for c in ("key", "bi", "bj", "_b", "cid", "size", "root"))
-        sk = _sketches(t.column("sketch"))
-        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
-        stop = np.repeat(np.append(head[1:], len(key)), np.diff(np.append(head, len(key))))
-        at, shift, out = np.arange(len(key)), 1, []
-        while len(at := at[at + shift < stop[at]]):
-            to = at + shift
-            i = at[(root[at] != root[to]) & ((bi[at] == bj[at]) | (own[at] != own[to])) & (np.minimum(size[at], size[to]) >= np.maximum(size[at], size[to]) * similarity - 1e-9)]
-            i = i[may_link(sk[i], sk[i + shift], size[i], size[i + shift], similarity)]
-            out.append(np.stack([np.minimum(cid[i], cid[i + shift]), np.maximum(cid[i], cid[i + shift])]))
-            shift += 1
-        if out and (found := np.unique(np.concatenate(out, axis=1), axis=1)).size:
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+def _starts(t: pa.Table) -> np.ndarray:
+    """Where the blocks (key, bi, bj) of a sorted table start."""
+    of = [t.column(c).to_numpy() for c in ("key", "bi", "bj")]
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in of])]))
+
+
+def _blocks(batches, rows: int = 2048):
+    """Tables of whole blocks, some `rows` rows each; rows come sorted by (key, bi, bj)."""
+    left = None
+    for b in slices(batches, rows):
+        t = pa.Table.from_batches([b])
+        left = t if left is None else pa.concat_tables([left, t])
+        if last := int(_starts(left)[-1]):
+            yield left.slice(0, last).combine_chunks()
+            left = left.slice(last)
+    if left is not None and len(left):
+        yield left.combine_chunks()
+
+
+def _candidates(t: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs within blocks that may be linked and have different roots, likeliest by their sketches first; each row's block."""
+    bi, bj, own, cid, size, root = (t.column(c).to_numpy() for c in ("bi", "bj", "_b", "cid", "size", "root"))
+    sk, starts = _sketches(t.column("sketch").combine_chunks()), _starts(t)
+    lengths = np.diff(np.append(starts, len(t)))
+    stop, at, out = np.repeat(starts + lengths, lengths), np.arange(len(t)), [np.zeros((2, 0), np.int64)]
+    for shift in range(1, len(t)):
+        if not len(at := at[at + shift < stop[at]]):
+            break
+        to = at + shift
+        i = at[(root[at] != root[to]) & ((bi[at] == bj[at]) | (own[at] != own[to])) & (np.minimum(size[at], size[to]) >= np.maximum(size[at], size[to]) * similarity - 1e-9)]
+        i = i[may_link(sk[i], sk[i + shift], size[i], size[i + shift], similarity)]
+        out.append(np.stack([i, i + shift]))
+    i, j = np.concatenate(out, axis=1)
+    apart = np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1, dtype=np.int64) / (size[i] + size[j])
+    order = np.lexsort((np.maximum(cid[i], cid[j]), np.minimum(cid[i], cid[j]), apart))
+    return i[order], j[order], np.repeat(np.arange(len(starts)), lengths)
+
+
+def _forest(root: np.ndarray, i: np.ndarray, j: np.ndarray, linked) -> list[int]:
+    """Which of the pairs (i, j), in this order, are linked and join roots that those before do not."""
+    up, out = {}, []
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for k, (a, b, x, y) in enumerate(zip(i.tolist(), j.tolist(), root[i].tolist(), root[j].tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y and linked(a, b):
+            up[y] = x
+            out.append(k)
+    return out
+
+
+def _pairs(cid: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distinct (a, b) with a < b of the ids at these places."""
+    return np.unique(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])]), axis=1)
+
+
+def _likely(similarity: float):
+    """Of the blocks' pairs that may be linked, those that would join their roots: fewer than there are members."""
 
     def run(batches):
         release()
-        left = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            left = t if left is None else pa.concat_tables([left, t])
-            last = [left.column(c).to_numpy() for c in ("key", "bi", "bj")]
-            same = np.logical_and.reduce([x == x[-1] for x in last])
-            stop = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
-            if stop:
-                yield from pairs(left.slice(0, stop).combine_chunks())
-                left = left.slice(stop)
-        if left is not None and len(left):
-            yield from pairs(left.combine_chunks())
+        for t in _blocks(batches):
+            i, j, _ = _candidates(t, similarity)
+            some = _forest(t.column("root").to_numpy(), i, j, lambda a, b: True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(t.column("cid").to_numpy(), i[some], j[some])], names=["a", "b"])
+
+    return run
+
+
+UNDECIDED = "a long, b long, key long, bi long, bj long, _b long, cid long, size long, root long, sketch binary"
+
+
+def _undecided(similarity: float):
+    """A block's pairs (a, b) that may still be linked; where they are more than its members, the members' rows instead."""
+
+    def run(batches):
+        release()
+        for t in _blocks(batches):
+            i, j, block = _candidates(t, similarity)
+            members = np.unique(np.concatenate([i, j]))
+            few = np.bincount(block[i], minlength=block[-1] + 1) <= np.bincount(block[members], minlength=block[-1] + 1)
+            a, b = _pairs(t.column("cid").to_numpy(), i[few[block[i]]], j[few[block[i]]])
+            rows = t.take(pa.array(members[~few[block[members]]])).combine_chunks()
+            nulls = [pa.nulls(len(a), f.type) for f in t.schema]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *nulls], names=["a", "b", *t.schema.names])
+            for r in rows.to_batches():
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int64())] * 2 + r.columns, names=["a", "b", *t.schema.names])
 
     return run
 
 
+def _decided(words: int, similarity: float):
+    """Links that join the blocks' roots: all pairs that may be linked are compared until they are one."""
+
+    def run(batches):
+        release()
+        for t in _blocks(batches, 256):
+            i, j, _ = _candidates(t, similarity)
+            cid, packed, made = t.column("cid").to_numpy(), t.column("packed"), {}
+
+            def of(k):
+                if (c := cid[k]) not in made:  # noqa: B023
+                    made[c] = shingles(zlib.decompress(packed[k].as_py()).decode("utf-8"), words)  # noqa: B023
+                return made[c]  # noqa: B023
+
+            some = _forest(t.column("root").to_numpy(), i, j, lambda a, b: _similar(of(a), of(b), similarity))  # noqa: B023
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(cid, i[some], j[some])], names=["a", "b"])
+
+    return run
+
+
+def _different(rows: DataFrame) -> DataFrame:
+    """rows of blocks without those of blocks that have the same members on the same sides as another; told by 128 bits."""
+    side, key = F.col("_b") == F.col("bi"), ["key", "bi", "bj"]
+    told = rows.groupBy(*key).agg(
+        F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cid", side)).alias("_x"), F.sum(F.xxhash64(F.lit(SEED), side, "cid").cast("decimal(38,0)")).alias("_s")
+    )
+    first = told.groupBy("_n", "_x", "_s").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    return rows.join(first, key, "left_semi")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are at `similarity` or more."""
     x = sets.select(F.col("cid").alias("a"), F.col("packed").alias("x"))
@@ -231,6 +324,21 @@ def _by_simhash(classes: DataFrame) -> DataFrame:
     return equal.unionByName(near)
 
 
+def _joined(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) once the links(a, b) are there, too."""
+    return connected_components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
+def _dealt(lists: DataFrame, joined: DataFrame, classes: DataFrame) -> DataFrame:
+    """Lists with several roots as pairs of blocks (bi, bj): key, bi, bj, own block, cid, size, root, sketch, sorted within partitions."""
+    flat = lists.select("key", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    open_ = flat.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 and n > 2")
+    rows = flat.join(open_.select("key", "n"), "key").join(classes.select("cid", "size", "sketch"), "cid").withColumn("_nb", F.ceil(F.col("n") / BLOCK).cast("long"))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("cid"), F.col("_nb"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
+    rows = rows.select("key", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), "_b", "cid", "size", "root", "sketch")
+    return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """hash (MD5 of the text), root of every distinct text of docs(text): texts with one root are linked to each other.
 
@@ -238,7 +346,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     and texts without words are one class. Texts with equal shingles are one class, too. Linked sets share one of the
     first (1 - similarity) of their shingles in a common order, so lists keyed by those hold all links. Texts that SimHash
     joins are compared first, and members of a list with its first; then only members that this has not joined, with each
-    other, in blocks. Sketches tell most pairs apart before texts are fetched.
+    other, in blocks: first the likeliest pairs that would join a block's roots, then all that are left, within a task
+    that holds the block's texts, so that no more rows are made than members. Sketches tell most pairs apart before texts are fetched.
     """
     spark = docs.sparkSession
     texts = docs.select(text_or_empty().alias("text")).withColumn("hash", F.md5(F.col("text").cast("binary")))
@@ -264,13 +373,11 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     sets = stage(wanted.mapInArrow(_packed, "cid long, packed binary"), "packed")
 
     joined = connected_components(_linked(first, sets, words, similarity))
-    flat = flat.select("key", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
-    open_ = flat.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 and n > 2")
-    rows = flat.join(open_.select("key", "n"), "key").join(classes.select("cid", "size", "sketch"), "cid").withColumn("_nb", F.ceil(F.col("n") / BLOCK).cast("long"))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("cid"), F.col("_nb"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
-    rows = rows.select("key", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), "_b", "cid", "size", "root", "sketch")
-    rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    second = _linked(stage(rows.mapInArrow(_in_lists(similarity), "a long, b long").distinct(), "pairs"), sets, words, similarity)
-    joined = connected_components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
+    likely = _dealt(flat, joined, classes).mapInArrow(_likely(similarity), "a long, b long").distinct()
+    joined = _joined(joined, _linked(stage(likely, "pairs"), sets, words, similarity))
+    left = stage(_dealt(flat, joined, classes).mapInArrow(_undecided(similarity), UNDECIDED), "undecided")
+    many = _different(left.where("key is not null").drop("a", "b")).join(sets, "cid").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    links = stage(many.mapInArrow(_decided(words, similarity), "a long, b long"), "decided")
+    joined = _joined(joined, links.unionByName(_linked(left.where("a is not null").select("a", "b").distinct(), sets, words, similarity)))
     rooted = classes.select("cid").join(joined, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"))
     return told.select("hash", "cid").distinct().join(rooted, "cid").select("hash", "root")

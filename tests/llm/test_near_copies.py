@@ -1,3 +1,6 @@
+import hashlib
+from collections import Counter
+
 import numpy as np
 
 from graphloom.llm import shingles
@@ -33,3 +36,41 @@ def test_simhash_finds_links_without_lists(spark, monkeypatch):
     texts = [" ".join(base), " ".join(base[:-1]), " ".join(f"v{i}" for i in range(900))]
     got = {r["hash"]: r["root"] for r in shingles.near_copies(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
     assert len(got) == 3 and len(set(got.values())) == 2
+
+
+def test_groups_that_sketches_do_not_tell_apart_make_no_pairs(spark, monkeypatch):
+    base, other = [f"w{i}" for i in range(300)], [f"w{i}" if not 100 <= i < 129 else f"v{i}" for i in range(300)]
+    texts = [" ".join([*words, f"{name}{i}"]) for name, words in (("x", base), ("y", other)) for i in range(40)]
+    made, stage = {}, shingles.stage
+
+    def counted(df, name="stage"):
+        out = stage(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(shingles, "stage", counted)
+    got = shingles.near_copies(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert len(got) == 80 and sorted(Counter(r["root"] for r in got).values()) == [40, 40]
+    assert made["pairs"] < 2 * 80 and made["decided"] == 0
+
+
+def test_links_that_only_blocks_find_are_kept(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(12):
+            words = list(words)
+            for at in rng.integers(0, len(words), 1):
+                words[at] = f"r{rng.integers(10**9)}"
+            texts.append(" ".join(words))
+    sets = [set(shingles.shingles(t).tolist()) for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                up = [up[j] if x == up[i] else x for x in up]
+    got = {r["hash"]: r["root"] for r in shingles.near_copies(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    roots = [got[hashlib.md5(t.encode()).hexdigest()] for t in texts]
+    assert len(set(zip(roots, up, strict=True))) == len(set(roots)) == len(set(up))
