@@ -169,3 +169,11 @@ def test_reports(spark, tmp_path):
     r = S.report(spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double"), "x").first()
     assert r.ci_upper - r.mean == pytest.approx(4.302653 * 1.5275252 / 3**0.5, abs=1e-4)
     assert S.report(spark.createDataFrame([], "x double"), "x").first().mean is None
+
+
+def test_few_texts_are_decomposed_at_a_time(spark):
+    df = spark.createDataFrame([("naïve café",), ("plain",), (None,)], "t string")
+    out = T.with_surface(df, "t", "s")
+    assert sorted(r["s"] for r in out.collect()) == ["", "nai ve cafe", "plain"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
