@@ -11,18 +11,37 @@ from ..sources.shared import stage
 from ..functions import vector as V
 
 
-def ranked_lookup(graph: DataFrame, questions: DataFrame) -> DataFrame:
+#: Rows of a graph that a task of a lookup holds, on average.
+PIECE = 1 << 18
+
+
+def pieces(graph: DataFrame) -> int:
+    """Partitions for a lookup in the graph: they grow with its rows, so that what a task sorts and counts does not."""
+    return max(graph.sparkSession.sparkContext.defaultParallelism, -(-graph.count() // PIECE))
+
+
+def ranked_lookup(graph: DataFrame, questions: DataFrame, n: int | None = None) -> DataFrame:
     """q_id, rank, answer, n: candidates of questions(q_id, s, relations, o), one of s and o being "?".
 
     relations: the relation and its aliases; repeats after lower-casing count again. Ranked by count, then name.
+    n: partitions (see `pieces`). Triples are counted where they have been dealt, not where they are read, whose pieces
+    may be of any size; a triple that is there very often is dealt to several tasks first.
     """
+    n = n or pieces(graph)
     q = questions.where((F.col("s") == "?") != (F.col("o") == "?"))
-    q = q.withColumn("r", F.explode("relations")).withColumn("_r", F.lower(F.trim("r")))
-    q = q.select("q_id", "_r", F.when(F.col("o") == "?", T.qa_entity(F.col("s"))).alias("_s"), F.when(F.col("s") == "?", T.qa_entity(F.col("o"))).alias("_o"))
-    g = graph.groupBy(T.qa_entity(F.col("s")).alias("gs"), F.lower(F.trim("r")).alias("gr"), T.qa_entity(F.col("o")).alias("go"), "s", "o").agg(F.count("*").alias("n"))
-    ask_o = q.where("_o is null").join(g, (F.col("_s") == F.col("gs")) & (F.col("_r") == F.col("gr"))).select("q_id", F.col("o").alias("answer"), "n")
-    ask_s = q.where("_s is null").join(g, (F.col("_o") == F.col("go")) & (F.col("_r") == F.col("gr"))).select("q_id", F.col("s").alias("answer"), "n")
-    found = ask_o.unionAll(ask_s).groupBy("q_id", "answer").agg(F.sum("n").alias("n"))
+    q = q.withColumn("_all", F.transform("relations", lambda r: F.lower(F.trim(r)))).withColumn("_r", F.explode(F.array_distinct("_all")))
+    q = q.withColumn("times", F.size(F.filter("_all", lambda r: r == F.col("_r"))))
+    q = q.select("q_id", "_r", "times", F.when(F.col("o") == "?", T.qa_entity(F.col("s"))).alias("_s"), F.when(F.col("s") == "?", T.qa_entity(F.col("o"))).alias("_o"))
+    triple = ["s", "_r", "o", "_at"]
+    g = graph.select("s", F.lower(F.trim("r")).alias("_r"), "o", (F.spark_partition_id() % 16).alias("_at"))
+    g = g.repartition(n, *triple).groupBy(*triple).agg(F.count("*").alias("n"))
+
+    def asked(known: str, end: str, answer: str) -> DataFrame:
+        side = g.select(T.qa_entity(F.col(end)).alias(known), "_r", F.col(answer).alias("answer"), "n").where(F.col(known).isNotNull() & F.col("_r").isNotNull())
+        ask = q.where(F.col(known).isNotNull()).select("q_id", "_r", known, "times").repartition(n, known, "_r")
+        return ask.join(side.repartition(n, known, "_r"), [known, "_r"]).select("q_id", "answer", (F.col("n") * F.col("times")).alias("n"))
+
+    found = asked("_s", "s", "o").unionAll(asked("_o", "o", "s")).repartition(n, "q_id").groupBy("q_id", "answer").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("q_id").orderBy(F.desc("n"), F.lower("answer"), "answer")
     return found.withColumn("rank", F.row_number().over(w)).select("q_id", F.col("rank").cast("long").alias("rank"), "answer", "n")
 
@@ -58,11 +77,13 @@ def expand_aliases(graph: DataFrame, aliases: DataFrame) -> DataFrame:
 RECALL_AT, EXACT_AT, LINES = 0.75, 0.90, 100
 
 
-def similar(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
+def similar(candidates: DataFrame, vectors: DataFrame, n: int | None = None) -> DataFrame:
     """candidates(q_id, rank, answer, gold) with `similarity`: 1 for one entity, else the cosine of their vectors(surface, embedding).
 
-    Missing vectors and empty texts are 0 apart. Each distinct pair of texts is compared once.
+    Missing vectors and empty texts are 0 apart. Each distinct pair of texts is compared once. n: partitions of the candidates.
     """
+    if n:
+        candidates = candidates.repartition(n, "answer", "gold")
     pairs = candidates.select("answer", "gold").distinct()
     v = vectors.select(F.col("surface").alias("_s"), F.col("embedding").alias("_e")).dropDuplicates(["_s"])
     told = pairs.join(v.withColumnRenamed("_e", "_a"), F.trim("answer") == F.col("_s"), "left").drop("_s")
@@ -78,11 +99,11 @@ def valid(questions: DataFrame) -> DataFrame:
     return questions.withColumn("error", F.when((F.col("s") == "?") == (F.col("o") == "?"), "exactly one of subject and object must be ?"))
 
 
-def scored(ranked: DataFrame, questions: DataFrame, vectors: DataFrame, recall_at: float = RECALL_AT, exact_at: float = EXACT_AT) -> DataFrame:
-    """A row for every question(q_id, s, o, answer): error, n_candidates, best, exact, hit, top1, rr; all null with an error."""
+def scored(ranked: DataFrame, questions: DataFrame, vectors: DataFrame, recall_at: float = RECALL_AT, exact_at: float = EXACT_AT, n: int | None = None) -> DataFrame:
+    """A row for every question(q_id, s, o, answer): error, n_candidates, best, exact, hit, top1, rr; all null with an error. n: see `ranked_lookup`."""
     q = valid(questions).select("q_id", "error", F.col("answer").alias("gold"))
-    told = similar(ranked.join(q.select("q_id", "gold"), "q_id").select("q_id", "rank", "answer", "gold"), vectors)
-    sums = told.groupBy("q_id").agg(
+    told = similar(ranked.join(q.select("q_id", "gold"), "q_id").select("q_id", "rank", "answer", "gold"), vectors, n)
+    sums = (told.repartition(n, "q_id") if n else told).groupBy("q_id").agg(
         F.count("*").alias("n"), F.max("similarity").alias("best"), F.max(F.when(F.col("rank") == 1, F.col("similarity"))).alias("first"),
         F.min(F.when(F.col("similarity") >= exact_at, F.col("rank"))).alias("at"),
     )

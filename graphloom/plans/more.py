@@ -374,7 +374,9 @@ def _asked(spark, d):
 def _qa_rows(spark, d):
     q = _asked(spark, d)
     v = W.table(spark, d, "embeddings").where("vec_id % 3 > 0").select(F.concat(F.lit("s"), "vec_id").alias("surface"), "embedding")
-    return q, Q.scored(Q.ranked_lookup(W.lineitem(spark, d), q), q, v, 0.2, 0.4)
+    graph = W.lineitem(spark, d)
+    n = Q.pieces(graph)
+    return q, Q.scored(Q.ranked_lookup(graph, q, n), q, v, 0.2, 0.4, n)
 
 
 @query(f"""WITH {LI}, {ASKED} SELECT q_id, CASE WHEN NOT ok THEN 'exactly one of subject and object must be ?' END AS error, CASE WHEN ok THEN n END AS n_candidates, CASE WHEN ok THEN round(best, 6) END AS best,
