@@ -148,7 +148,7 @@ def retrieve(questions: DataFrame, lines: DataFrame, k: int = LINES, anchor_poin
     three characters: ids meet by that run, and the text of those lines alone is fetched to look. A question first
     scores the lines of its heaviest, then rarest term; its k-th best score so far is a bar. Terms that together weigh
     less than the bar bring no line that others don't, so their lists are left alone; a question whose other terms all
-    weigh less is done.
+    weigh less is done. Questions with the same terms, as far as any line has them, are scored as one.
     """
     usable = F.filter(F.transform("anchors", lambda x: F.lower(F.trim(x))), lambda x: (x != "") & (x != "?") & x.isNotNull())
     q = questions.select("q_id", usable.alias("anchors")).select("q_id", F.filter("anchors", lambda x: F.length(x) > 2).alias("long"), T.overlap_words(F.array_join("anchors", " ")).alias("ws"))
@@ -167,26 +167,34 @@ def retrieve(questions: DataFrame, lines: DataFrame, k: int = LINES, anchor_poin
     term = q.select("q_id", F.explode(F.concat(told("a", "long"), told("w", "ws"))).alias("t")).groupBy("q_id", "t").agg(F.count("*").alias("n"))
     term = term.select("q_id", "t", (F.col("n") * F.when(F.col("t").startswith("a"), anchor_points).otherwise(1)).alias("weight"))
     post = stage(held_by.select("line_id", F.explode(F.concat(told("a", "la"), told("w", "lw"))).alias("t")).join(term.select("t").distinct(), "t", "left_semi"))
-    term = stage(term.join(post.groupBy("t").agg(F.count("*").alias("df")), "t"))
+    hit = term.join(post.groupBy("t").agg(F.count("*").alias("df")), "t")
+    # terms without a line tell nothing: questions whose other terms and weights are the same are asked once
+    same = stage(hit.groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("t", "weight", "df"))).alias("ts")))
+    kinds = stage(same.groupBy("ts").agg(F.min("q_id").alias("kind")))
+    of_kind = same.join(kinds, "ts").select("q_id", "kind")
+    term = stage(kinds.select("kind", F.explode("ts").alias("x")).select("kind", "x.*"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(q, "q_id").join(held_by, "line_id")
-        anchors = F.size(F.filter("long", lambda x: F.array_contains("la", x)))
-        return both.select("q_id", "line_id", (anchor_points * anchors + F.size(F.array_intersect("ws", "lw"))).alias("score"))
+        """Every pair's score: the weights of the kind's terms among those of the line."""
+        asks = term.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("t", "weight"))).alias("ws"))
+        has = held_by.select("line_id", F.concat(told("a", "la"), told("w", "lw")).alias("ts"))
+        both = pairs.join(has, "line_id").join(asks, "kind")
+        return both.select("kind", "line_id", F.aggregate(F.map_values(F.map_filter("ws", lambda t, _: F.array_contains("ts", t))), F.lit(0).cast("long"), lambda a, x: a + x).cast("int").alias("score"))
 
     def best(hits: DataFrame) -> DataFrame:
-        order = Window.partitionBy("q_id").orderBy(F.desc("score"), "line_id")
+        order = Window.partitionBy("kind").orderBy(F.desc("score"), "line_id")
         return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
-    of = Window.partitionBy("q_id")
+    of = Window.partitionBy("kind")
     first = term.withColumn("rest", F.sum("weight").over(of) - F.col("weight")).withColumn("_n", F.row_number().over(of.orderBy(F.desc("weight"), "df", "t"))).where("_n = 1")
-    one = stage(best(scored(first.select("q_id", "t").join(post, "t").select("q_id", "line_id"))))
-    bars = one.where(F.col("rank") == k).select("q_id", F.col("score").alias("bar"))
-    bars = stage(first.select("q_id", "rest").join(bars, "q_id", "left"))
+    one = stage(best(scored(first.select("kind", "t").join(post, "t").select("kind", "line_id"))))
+    bars = one.where(F.col("rank") == k).select("kind", F.col("score").alias("bar"))
+    bars = stage(first.select("kind", "rest").join(bars, "kind", "left"))
     upward = F.sum("weight").over(of.orderBy("weight", F.desc("df"), "t").rowsBetween(Window.unboundedPreceding, 0))
-    needed = term.withColumn("_up", upward).join(bars.where("bar is null or rest >= bar"), "q_id").where("bar is null or _up >= bar")
-    more = best(scored(needed.select("q_id", "t").join(post, "t").select("q_id", "line_id").distinct()))
-    return one.join(bars.where("bar is not null and rest < bar"), "q_id", "left_semi").unionByName(more)
+    needed = term.withColumn("_up", upward).join(bars.where("bar is null or rest >= bar"), "kind").where("bar is null or _up >= bar")
+    more = best(scored(needed.select("kind", "t").join(post, "t").select("kind", "line_id").distinct()))
+    found = one.join(bars.where("bar is not null and rest < bar"), "kind", "left_semi").unionByName(more)
+    return of_kind.join(found, "kind").select("q_id", "line_id", "score", "rank")
 
 
 def prompt(lines: DataFrame, retrieved: DataFrame, questions: DataFrame) -> DataFrame:
