@@ -292,7 +292,7 @@ def average_linkage(vectors: DataFrame, threshold: float, id_: str = "vec_id", v
     A mean at the threshold needs a pair at it, so nothing crosses the components of such pairs. A component of up to LOCAL
     clusters is merged by one task. In larger ones, each round finds the nearest cluster of each through the cosine
     join (product of means >= threshold implies cosine >= threshold) and merges all that are each other's nearest;
-    components that have become small enough leave. Equal vectors are one cluster from the start. Ties go to smaller ids.
+    clusters that have none are done and leave, and so do components that have become small enough. Equal vectors are one cluster from the start. Ties go to smaller ids.
     """
 
     def nearest(members, guests):
@@ -341,7 +341,8 @@ def average_linkage(vectors: DataFrame, threshold: float, id_: str = "vec_id", v
         if merged.isEmpty():
             break
         second = live.select(F.col("id").alias("to"), F.col("v").alias("_v"), F.col("size").alias("_s"))
-        grown = live.join(merged, "id", "left").join(second, "to", "left")
+        # a merged cluster is never nearer to others than its parts were: one without a neighbour at the threshold is done
+        grown = live.join(best.select("id"), "id", "left_semi").join(merged, "id", "left").join(second, "to", "left")
         mean = F.zip_with("v", "_v", lambda p, q: (p * F.col("size") + q * F.col("_s")) / (F.col("size") + F.col("_s")))
         grown = grown.select("id", F.coalesce(mean, "v").alias("v"), (F.col("size") + F.coalesce("_s", F.lit(0))).alias("size"), "part")
         live = stage(grown.join(merged.select(F.col("to").alias("id")), "id", "left_anti"))

@@ -82,6 +82,16 @@ def test_linkage_equals_the_sequential_one(spark, monkeypatch, local):
     assert got == want and 8 < len(set(want.values())) < 170
 
 
+def test_linkage_rounds_are_of_open_clusters(spark, monkeypatch):
+    """Clusters without a neighbour at the threshold leave: the rounds end once few are open, not once few are left."""
+    rounds, original = [], S.met_blocks
+    monkeypatch.setattr(S, "met_blocks", lambda *a: rounds.append(a[0].count()) or original(*a))
+    monkeypatch.setattr(S, "LOCAL", 20)
+    x = np.random.default_rng(4).normal(size=(120, 6))
+    assert {r.id: r.cluster for r in S.average_linkage(frame(spark, x), 0.7).collect()} == sequential(x, 0.7)
+    assert len(set(sequential(x, 0.7).values())) > 20 and len(rounds) <= 6 and rounds[-1] < 50
+
+
 def test_linkage_of_5000_vectors(spark):
     x = cluster_cloud(3, 40, 125, dims=24, noise=0.45)
     got = {r.id: r.cluster for r in S.average_linkage(frame(spark, x), 0.72).collect()}
