@@ -565,6 +565,35 @@ def test_lm_probabilities_add_up():
             assert j == 0 and num[at] == 0 or j > 0
 
 
+def test_lm_score_is_the_networks(monkeypatch):
+    """Texts are encoded once, where they are counted; a score is the network's log10 probability of the text's ids and end, and nothing else."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", "the bird and the bee", "a", "rare wordings \u00e9t\u00e9 the bird", "", "x " * 90]
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array([4, 1, None, 2, 3, 5]), "text": texts, "held_out": [True, False, False, True, False, False]})
+    out = pa.Table.from_batches(lm._counts(path)([rows]))
+    units = out.filter(out["docs"].is_valid()).select(lm.ENCODED).combine_chunks().to_batches()
+    sub = lm.Subwords(path)
+    numbers = [sub.numbers(lm.words_of(t)) for t in texts]
+    ids = [sub.ids[sub.spread(x)[0]].astype(np.int64) for x in numbers]
+    counts, want = Counter(), np.zeros((A.VOCAB, A.VOCAB))
+    for i in (1, 2, 4, 5):
+        counts.update(lm.words_of(texts[i]))
+        np.add.at(want, ([A.END, *ids[i]], [*ids[i], A.END]), 1)
+    told = [r for r in out.to_pylist() if r["docs"] is None]
+    assert {r["word"]: r["n"] for r in told if r["word"]} == counts and {r["pair"]: r["n"] for r in told if r["word"] is None} == {a * A.VOCAB + b: want[a, b] for a, b in zip(*np.nonzero(want), strict=True)}
+    log_class, log_in = A.prior(want)
+    params = A.initial()
+    shared = type("Shared", (), {"value": ({b"the": 2, b"x": 90}, log_class, log_in, A.pack(params), None, None, 97, 6, 4)})
+    monkeypatch.setattr(lm.Subwords, "library", lambda *a: pytest.fail("encoded again"))
+    got = {r["doc_id"]: r for b in lm._scored(path, shared)(units) for r in b.to_pylist()}
+    model = A.Model(params, log_class, log_in)
+    for i, doc in enumerate(rows.column("doc_id").to_pylist()):
+        assert got[doc]["score"] == pytest.approx(model.log_probs(streamed(ids[i])).astype(float).sum() / np.log(10), abs=2e-4)
+        words = lm.words_of(texts[i])
+        assert got[doc]["n_tokens"] == len(words) + 1 and got[doc]["known"] == sum(w in (b"the", b"x") for w in words) + 1
+        assert {t["w"]: t["n"] for t in got[doc]["tail"]} == Counter(w for w in words if w not in (b"the", b"x"))
+
+
 def test_equal_texts_score_equally(spark):
     texts = ["a bird in the hand is worth two", "", "x " * 40, "a bird in the hand is worth two", "another one with words of its own", "a bird in the hand is worth two"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
