@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +74,12 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def prefix(have: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in the common order; sets at `similarity` or more share one of them."""
-    order = np.lexsort((have, np.isin(have, often)))
-    return have[order[: len(have) - math.ceil(similarity * len(have) - 1e-9) + 1]]
+    """The first shingles of a sorted set in the common order; sets at `similarity` or more share one of them. `often` is sorted.
+
+    The set is looked up in `often` by halving: what a text costs must not grow with how many shingles are frequent.
+    """
+    hit = often[np.minimum(np.searchsorted(often, have), len(often) - 1)] == have if len(often) else np.zeros(len(have), bool)
+    return np.concatenate([have[~hit], have[hit]])[: len(have) - math.ceil(similarity * len(have) - 1e-9) + 1]
 
 
 def _frequent(words: int):
@@ -146,8 +149,9 @@ def _prefixes(words: int, similarity: float, shared):
 
 def _packed(batches):
     """Texts are smaller than their shingles: those are made anew where they are compared."""
+    press = zstandard.ZstdCompressor(level=1)
     for b in slices(batches):
-        raw = [zlib.compress(t.encode("utf-8"), 6) for t in b.column("text").to_pylist()]
+        raw = [press.compress(t.encode("utf-8")) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(raw, pa.binary())], names=["cid", "packed"])
 
 
@@ -162,7 +166,7 @@ def _alike(words: int, similarity: float):
         for b in slices(batches, 64):
             ok, made = [], {}
             for z in {*b.column("x").to_pylist(), *b.column("y").to_pylist()}:
-                made[z] = shingles(zlib.decompress(z).decode("utf-8"), words)
+                made[z] = shingles(zstandard.decompress(z).decode("utf-8"), words)
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                 ok.append(_similar(made[x], made[y], similarity))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -289,7 +293,7 @@ def _decided(words: int, similarity: float):
 
             def of(k):
                 if (c := cid[k]) not in made:  # noqa: B023
-                    made[c] = shingles(zlib.decompress(packed[k].as_py()).decode("utf-8"), words)  # noqa: B023
+                    made[c] = shingles(zstandard.decompress(packed[k].as_py()).decode("utf-8"), words)  # noqa: B023
                 return made[c]  # noqa: B023
 
             some = _forest(t.column("root").to_numpy(), i, j, lambda a, b: _similar(of(a), of(b), similarity))  # noqa: B023
@@ -353,7 +357,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     texts = docs.select(text_or_empty().alias("text")).withColumn("hash", F.md5(F.col("text").cast("binary")))
     some = texts.where(F.pmod(F.xxhash64("hash"), F.lit(ORDER_BY)) == 0).select("text")
     often = some.mapInArrow(_frequent(words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    often = np.array([r["key"] for r in often.orderBy(F.desc("n"), "key").limit(HEAVIEST).collect()], np.int64).view(np.uint64)
+    often = np.sort(np.array([r["key"] for r in often.orderBy(F.desc("n"), "key").limit(HEAVIEST).collect()], np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(often)
     told = stage(texts.select("hash", "text").mapInArrow(_classes(words), "hash string, cid long, size long, fp long, sketch binary"), "told")
     classes = told.groupBy("cid").agg(F.min(F.struct("hash", "size", "fp", "sketch")).alias("c"))
